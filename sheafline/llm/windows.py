@@ -36,7 +36,7 @@ from .hashing import BYTE_CODES, Anchors, U, mix, span_hash, text_bytes, word_co
 
 #: Text bytes per bucket of hashes, per shard of stretches and documents per group.
 BUCKET_BYTES = 8 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 GROUP_DOCS = 256
 GROUP_BYTES = 2 << 20
 #: An anchor with more different stretches than this is resolved window by window.
