@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, packing, quality_classifier, quality_rules, rlz_dedup, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, rlz_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -16,10 +16,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +58,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op2_suffix_array_dedup, op4_toxicity, op5_quality_rules, op6_byte_bpe, op7_substring_dedup,
+        op1_embedding_dedup, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_byte_bpe, op7_substring_dedup,
         op8_quality_classifier, op9_best_fit_packing, op10_html_extraction,
     )
     return {f.__name__: f for f in found}
