@@ -164,7 +164,7 @@ def margins(sums: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 class Scorer:
     def __init__(self, z: np.ndarray, bias: float, curve: np.ndarray):
-        self.z, self.bias, self.curve = z.tolist(), bias, curve
+        self.weights, self.z, self.bias, self.curve = z, z.tolist(), bias, curve
         self.cache: dict[str, complex] = {}
 
     def _word(self, word: str) -> complex:
@@ -247,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document by a model fit on the bounded sample."""
     scorer = train(sampled(docs, labels, "toxic", HELD_OUT, SAMPLE))
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((scorer.z, scorer.bias, scorer.curve))  # BUCKETS numbers
+    model = spark.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.curve))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*model.value)
