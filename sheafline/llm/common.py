@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -75,3 +75,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 def one_row_per_doc(docs: DataFrame) -> DataFrame:
     """Only the two columns that the operators read; other columns may clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def kept_rows(docs: DataFrame, make_scorer: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text passes, with all their columns; no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make_scorer()
+        for part in slices(batches):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            yield part.filter(pa.array([passes(t) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

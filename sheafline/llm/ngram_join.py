@@ -413,6 +413,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that come first in their component, with all their columns."""
-    first = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(first, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
+    """The first document of each component, with all its columns.
+
+    Rows without an id are kept; of rows that repeat an id all or none are.
+    """
+    first = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept__id"))
+    kept = docs.join(first, docs["doc_id"].cast("long") == F.col("kept__id"), "left_semi")
+    return kept.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import one_row_per_doc, py_id_mod, slices
+from .common import kept_rows, one_row_per_doc, py_id_mod, slices
 from .toxicity import sampled
 
 HELD_OUT = (3, 1)
@@ -228,3 +228,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     return one_row_per_doc(docs).mapInArrow(run, RESULT)
+
+
+def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are predicted good."""
+    crf = train(sampled(docs, labels, "quality", HELD_OUT, SAMPLE))
+    model = docs.sparkSession.sparkContext.broadcast((crf.weights, crf.trans, crf.scale, crf.curve))
+
+    def passes():
+        own = LineCrf(*model.value)
+        return lambda text: own.score(text) >= CUTOFF
+
+    return kept_rows(docs, passes)

@@ -25,12 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import gram_hash, prefix_sums
-from .windows import Units, remove_repeats
+from .windows import Units, remove_repeats, rewritten, with_text
 
 WIDTH = 13
 ANCHOR = 5
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-TEXTS = "doc_id long, text string"
 UNITS = Units(WIDTH, ANCHOR, words=True)
 
 
@@ -99,7 +98,7 @@ def digests(own: pa.Table, codes: np.ndarray, offsets: np.ndarray, gone: np.ndar
 
 
 def kept_texts(own: pa.Table, codes: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
-    return pa.table([own.column("doc_id"), pa.array([x.decode() for x in kept_words(own, offsets, gone)], pa.string())], names=["doc_id", "text"])
+    return with_text(own, [x.decode() for x in kept_words(own, offsets, gone)])
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -107,5 +106,5 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The operator's own output: the documents' ids and remaining texts."""
-    return remove_repeats(docs, UNITS, mark_factors, kept_texts, TEXTS)
+    """The operator's own output: the documents with their remaining words."""
+    return rewritten(docs, UNITS, mark_factors, kept_texts)

@@ -28,12 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .windows import Units, remove_repeats
+from .windows import Units, remove_repeats, rewritten, with_text
 
 WIDTH = 50
 ANCHOR = 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-TEXTS = "doc_id long, text string"
 
 
 def sort_names(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,7 +150,7 @@ def digests(own: pa.Table, codes: np.ndarray, offsets: np.ndarray, gone: np.ndar
 def kept_texts(own: pa.Table, codes: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.Table:
     """The remaining bytes as text; a character that lost some of its bytes goes whole."""
     texts = [codes[s:e][~gone[s:e]].tobytes().decode("utf-8", "ignore") for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return pa.table([own.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    return with_text(own, texts)
 
 
 UNITS = Units(WIDTH, ANCHOR, words=False)
@@ -162,5 +161,5 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The operator's own output: the documents' ids and remaining texts."""
-    return remove_repeats(docs, UNITS, mark_repeats, kept_texts, TEXTS)
+    """The operator's own output: the documents with their remaining texts."""
+    return rewritten(docs, UNITS, mark_repeats, kept_texts)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_mod, one_row_per_doc, py_id_mod, slices
+from .common import id_mod, kept_rows, one_row_per_doc, py_id_mod, slices
 
 BUCKETS = 1 << 18
 WIDTH = 12
@@ -261,3 +261,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             )
 
     return one_row_per_doc(docs).mapInArrow(run, RESULT)
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that are not predicted toxic."""
+    scorer = train(sampled(docs, labels, "toxic", HELD_OUT, SAMPLE))
+    model = docs.sparkSession.sparkContext.broadcast((scorer.weights, scorer.bias, scorer.curve))
+
+    def passes():
+        own = Scorer(*model.value)
+        return lambda text: own.score(text) < CUTOFF
+
+    return kept_rows(docs, passes)

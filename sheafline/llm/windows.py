@@ -324,16 +324,43 @@ def finish(units: Units, finisher: Finisher) -> Callable[[pa.Table, pa.Table], p
     return run
 
 
-def remove_repeats(docs: DataFrame, units: Units, resolver: Resolver, finisher: Finisher, result: str) -> DataFrame:
-    """One result row for each row of ``docs`` with an id; see the module's text."""
+def remove_repeats(docs: DataFrame, units: Units, resolver: Resolver, finisher: Finisher, result: str, carried: bool = False) -> DataFrame:
+    """One result row for each row of ``docs`` with an id; see the module's text.
+
+    With ``carried`` the finisher also sees the other columns, as ``c0``, ``c1``, ...
+    """
     own = one_row_per_doc(docs).where(F.col("doc_id").isNotNull())
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     groups = int(max(1, size["n"] // GROUP_DOCS, size["bytes"] // GROUP_BYTES)) | 1
     buckets = int(min(max(8, size["bytes"] // BUCKET_BYTES), 1 << 20))
     shards = int(min(max(8, size["bytes"] // SHARD_BYTES), 1 << 20))
-
-    grouped = own.withColumn("grp", group_column(groups))
+    full = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(other_columns(docs) if carried else [])),
+    )
+    grouped = full.withColumn("grp", group_column(groups))
     mail = announce(own, units, buckets, groups).groupBy("key").applyInArrow(weigh(groups), PACKED).withColumnRenamed("key", "grp")
     sent = grouped.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(answer(units, shards), STRETCHES)
     marks = sent.groupBy("shard").applyInArrow(resolve(units, resolver), MARKS)
     return grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(finish(units, finisher), result)
+
+
+def other_columns(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+
+
+def with_text(own: pa.Table, texts: list[str]) -> pa.Table:
+    """A finisher's table: the documents with other texts, and what they carry."""
+    kept = [n for n in own.column_names if n not in ("text", "grp")]
+    return own.select(kept).add_column(1, "text", pa.array(texts, pa.string()))
+
+
+def rewritten(docs: DataFrame, units: Units, resolver: Resolver, finisher: Finisher) -> DataFrame:
+    """``docs`` with the texts that ``finisher`` leaves; rows without an id stay as they are."""
+    names = other_columns(docs)
+    types = dict(docs.dtypes)
+    schema = ", ".join(["doc_id long", "text string", *(f"c{i} {types[c]}" for i, c in enumerate(names))])
+    out = remove_repeats(docs, units, resolver, finisher, schema, carried=True)
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    out = out.select(*(F.col(own.get(c, c.lower())).alias(c) for c in docs.columns))
+    return out.unionByName(docs.where(F.col("doc_id").isNull()).select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in out.dtypes)))
