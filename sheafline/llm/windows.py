@@ -39,8 +39,9 @@ BUCKET_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 GROUP_DOCS = 256
 GROUP_BYTES = 2 << 20
-#: An anchor with more different stretches than this is resolved window by window.
-MANY = 256
+#: An anchor with more different stretches than this is resolved window by window;
+#: up to it, an anchor's stretches fill no more than a shard.
+MANY = 1 << 14
 
 REPEAT, ASK, ASK_SPLIT = 1, 2, 3
 PACKED = "key long, kind int, docs binary, a binary, b binary"
@@ -165,7 +166,7 @@ def announce(docs: DataFrame, units: Units, buckets: int, groups: int) -> DataFr
     return docs.mapInArrow(run, PACKED)
 
 
-def weigh(groups: int) -> Callable[[pa.Table], pa.Table]:
+def weigh(groups: int, many: int) -> Callable[[pa.Table], pa.Table]:
     """Step 1, after the shuffle: what becomes of each stretch in a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -189,7 +190,7 @@ def weigh(groups: int) -> Callable[[pa.Table], pa.Table]:
         of_anchor = np.cumsum(new_anchor) - 1
         variants = np.bincount(of_anchor[new])[of_anchor]
         first = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        flags = np.where(docs > first, REPEAT, np.where(variants > MANY, ASK_SPLIT, np.where(variants > 1, ASK, 0))).astype(np.uint8)
+        flags = np.where(docs > first, REPEAT, np.where(variants > many, ASK_SPLIT, np.where(variants > 1, ASK, 0))).astype(np.uint8)
         some = flags > 0
         return pa.Table.from_batches([batch(PACKED_ARROW, replies(docs[some], reply_id(anchor[some], span[some]), flags[some], groups))], PACKED_ARROW)
 
@@ -339,7 +340,7 @@ def remove_repeats(docs: DataFrame, units: Units, resolver: Resolver, finisher:
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(other_columns(docs) if carried else [])),
     )
     grouped = full.withColumn("grp", group_column(groups))
-    mail = announce(own, units, buckets, groups).groupBy("key").applyInArrow(weigh(groups), PACKED).withColumnRenamed("key", "grp")
+    mail = announce(own, units, buckets, groups).groupBy("key").applyInArrow(weigh(groups, MANY), PACKED).withColumnRenamed("key", "grp")
     sent = grouped.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(answer(units, shards), STRETCHES)
     marks = sent.groupBy("shard").applyInArrow(resolve(units, resolver), MARKS)
     return grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(finish(units, finisher), result)
