@@ -38,7 +38,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def sort_names(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by several keys (first one leading), and their names from 1 on."""
     if len(keys) == 1:
-        order = np.argsort(keys[0], kind="stable")
+        order = np.argsort(keys[0])
     else:
         order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
@@ -50,17 +50,20 @@ def sort_names(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, names
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes in sorted order; symbols are integers from 1 on."""
+def suffix_array(symbols: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Starts of all suffixes, or of the wanted ones, in sorted order.
+
+    Symbols are integers from 1 on; ``wanted`` is a flag for each position.
+    """
     n = len(symbols)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
+        return np.array(sorted((i for i in range(n) if wanted is None or wanted[i]), key=lambda i: symbols[i:].tolist()), np.int64)
     t = np.concatenate([symbols.astype(np.int64), [0, 0, 0]])
     top = int(t.max()) + 1
     # the difference cover {1, 2}: positions 1 mod 3, then those 2 mod 3
     ones, twos = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
-    if top < 1 << 20:
+    if top < 1 << 21:
         keys = [(t[sample] * top + t[sample + 1]) * top + t[sample + 2]]
     else:
         keys = [t[sample], t[sample + 1], t[sample + 2]]
@@ -75,21 +78,24 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     if n % 3 == 1:  # the position just past the end only served as a mark
         sorted_sample = sorted_sample[sorted_sample < n]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.argsort(t[zeros] * (n + 3) + rank[zeros + 1], kind="stable")]
+    if wanted is not None:
+        zeros, sorted_sample = zeros[wanted[zeros]], sorted_sample[wanted[sorted_sample]]
+    zeros = zeros[np.argsort(t[zeros] * (n + 3) + rank[zeros + 1])]
     # merge: how many samples of either kind come before each suffix 0 mod 3
     of_ones = sorted_sample[sorted_sample % 3 == 1]
     of_twos = sorted_sample[sorted_sample % 3 == 2]
     before = np.searchsorted(t[of_ones] * (n + 3) + rank[of_ones + 1], t[zeros] * (n + 3) + rank[zeros + 1])
-    pair = lambda i: (t[i], t[i + 1] * (n + 3) + rank[i + 2])
-    (a, b), (c, d) = pair(of_twos), pair(zeros)
-    both = np.lexsort((np.concatenate([np.ones(len(a), bool), np.zeros(len(c), bool)]), np.concatenate([b, d]), np.concatenate([a, c])))
-    is_two = both < len(a)
-    upto = np.cumsum(is_two)
-    where = both[~is_two] - len(a)
-    before[where] += upto[~is_two]
-    out = np.empty(n, np.int64)
+    if top * top * (n + 3) < 1 << 63:
+        key = lambda i: (t[i] * top + t[i + 1]) * (n + 3) + rank[i + 2]
+        before += np.searchsorted(key(of_twos), key(zeros))
+    else:  # the key would not fit: sort both kinds together
+        both = np.concatenate([of_twos, zeros])
+        order = np.lexsort((rank[both + 2], t[both + 1], t[both]))
+        two = order < len(of_twos)
+        before[order[~two] - len(of_twos)] += np.cumsum(two)[~two]
+    out = np.empty(len(zeros) + len(sorted_sample), np.int64)
     place = np.arange(len(zeros)) + before
-    taken = np.zeros(n, bool)
+    taken = np.zeros(len(out), bool)
     taken[place] = True
     out[place] = zeros
     out[~taken] = sorted_sample
@@ -120,8 +126,7 @@ def mark_repeats(codes: np.ndarray, offsets: np.ndarray, docs: np.ndarray, count
     of = np.repeat(np.arange(len(docs)), counts)
     nth = np.arange(int(counts.sum()))
     window[begin[of] + nth - (np.cumsum(counts) - counts)[of]] = nth
-    order = suffix_array(symbols)
-    order = order[window[order] >= 0]
+    order = suffix_array(symbols, window >= 0)
     spread = np.zeros(len(symbols), np.uint8)
     spread[at] = codes
     equal = same_prefix(spread, order[1:], order[:-1], width)
