@@ -84,7 +84,7 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         """Ids of one cut-out piece: the library's model on its byte letters."""
         if (ids := self.pieces.get(piece) or self.old_pieces.get(piece)) is None:
-            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            spelled = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
             ids = pack_ids([t.id for t in self.model.tokenize(spelled)])
         if len(self.pieces) >= CACHE_WORDS:
             self.old_pieces, self.pieces = self.pieces, {}

@@ -20,7 +20,6 @@ ends is labelled along its length too; nothing is cut off.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import kept_rows, one_row_per_doc, py_id_mod, slices
-from .toxicity import sampled
+from .toxicity import FEW, folds, sampled
 
 HELD_OUT = (3, 1)
 SAMPLE = {1: 2500, 0: 1500}
@@ -196,19 +195,23 @@ def fit_curve(share: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(rows: list[tuple[int, str, int]], part: int = 4) -> LineCrf:
+def train(rows: list[tuple[int, str, int]]) -> LineCrf:
+    """The field, and the curve from documents that were set aside from it."""
     y = np.array([r[2] for r in rows])
+    texts = [r[1] for r in rows]
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        lean = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return LineCrf(np.zeros((3 * N_SHAPE, 2)), np.zeros((2, 2)), np.ones(3 * N_SHAPE), np.array([lean, 0.0]))
-    texts = [r[1] for r in rows]
-    aside = np.array([zlib.crc32(t.encode()) % part == 0 for t in texts])
-    if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
-        aside = np.zeros(len(rows), bool)
-    crf = train_crf([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
-    use = aside if aside.any() else np.ones(len(rows), bool)
-    crf.curve = fit_curve(np.array([crf.good_share(t) for t, u in zip(texts, use, strict=True) if u]), y[use])
+        return LineCrf(np.zeros((3 * N_SHAPE, 2)), np.zeros((2, 2)), np.ones(3 * N_SHAPE), np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0]))
+    found, truth, crf = [], [], None
+    for use, aside in folds(texts, y):
+        crf = train_crf([t for t, u in zip(texts, use, strict=True) if u], y[use])
+        found += [crf.good_share(t) for t, a in zip(texts, aside, strict=True) if a]
+        truth += y[aside].tolist()
+    if crf is None or len(texts) < FEW:
+        crf = train_crf(texts, y)
+    if len(set(truth)) < 2:
+        found, truth = [crf.good_share(t) for t in texts], y.tolist()
+    crf.curve = fit_curve(np.array(found), np.array(truth))
     return crf
 
 

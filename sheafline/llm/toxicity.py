@@ -220,25 +220,45 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, modulus: tuple[int,
     return sorted((r["doc_id"], r["text"], r["y"]) for r in chosen.collect())
 
 
-def train(rows: list[tuple[int, str, int]], part: int = 4) -> Scorer:
-    """One document in ``part`` fits the curve, the others the embeddings."""
-    if len({y for _, _, y in rows}) < 2:
-        share = float(np.mean([y for _, _, y in rows])) if rows else 0.0
-        lean = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return Scorer(np.zeros(BUCKETS), 0.0, np.array([lean, 0.0, 0.0]))
-    aside = np.array([zlib.crc32(t.encode()) % part == 0 for _, t, _ in rows])  # copies of a text fall on one side
+#: With fewer labelled documents than this, all of them serve the embeddings and the curve, in turns.
+FEW = 1500
+
+
+def fitted(texts: list[str], y: np.ndarray) -> Scorer:
+    trainer = Trainer(texts, y)
+    trainer.fit()
+    return Scorer(*trainer.bucket_logits(), np.array([0.0, 1.0, 0.0]))
+
+
+def folds(texts: list[str], y: np.ndarray, part: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(to train on, aside) splits in which both sides have both labels; copies of a text stay together.
+
+    One split where there are many documents, else one per part.
+    """
+    side = np.array([zlib.crc32(t.encode()) % part for t in texts])
+    for k in range(part if len(texts) < FEW else 1):
+        aside = side == k
+        if len(set(y[~aside].tolist())) == 2 and aside.any():
+            yield ~aside, aside
+
+
+def train(rows: list[tuple[int, str, int]]) -> Scorer:
+    """The embeddings, and the curve from documents that were set aside from them."""
     y = np.array([r[2] for r in rows])
     texts = [r[1] for r in rows]
-    if len(set(y[aside].tolist())) < 2 or len(set(y[~aside].tolist())) < 2:
-        aside = np.zeros(len(rows), bool)
-    trainer = Trainer([t for t, a in zip(texts, aside, strict=True) if not a], y[~aside])
-    trainer.fit()
-    z, bias = trainer.bucket_logits()
-    del trainer
-    scorer = Scorer(z, bias, np.array([0.0, 1.0, 0.0]))
-    use = aside if aside.any() else np.ones(len(rows), bool)
-    evidence = np.array([scorer.evidence(t) for t, u in zip(texts, use, strict=True) if u])
-    scorer.curve = fit_curve(evidence, y[use])
+    if len(set(y.tolist())) < 2:
+        share = float(y.mean()) if rows else 0.0
+        return Scorer(np.zeros(BUCKETS), 0.0, np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0.0, 0.0]))
+    found, truth, scorer = [], [], None
+    for use, aside in folds(texts, y):
+        scorer = fitted([t for t, u in zip(texts, use, strict=True) if u], y[use])
+        found += [scorer.evidence(t) for t, a in zip(texts, aside, strict=True) if a]
+        truth += y[aside].tolist()
+    if scorer is None or len(texts) < FEW:
+        scorer = fitted(texts, y)
+    if len(set(truth)) < 2:
+        found, truth = [scorer.evidence(t) for t in texts], y.tolist()
+    scorer.curve = fit_curve(np.array(found), np.array(truth))
     scorer.cache.clear()
     return scorer
 
