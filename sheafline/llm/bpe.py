@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -114,9 +115,17 @@ class ByteBpe:
 
     def _plain(self, text: str, out: list[int]) -> None:
         known = self.cache.get
-        for word in self.pattern.findall(text):
+        for word in self.pattern.findall(text) if settled(text) else self._cut(text):
             out.extend(known(word) or self._word(word))
 
+    def _cut(self, text: str) -> list[str]:
+        """Pre-tokens of a text with characters that libraries class by different Unicode versions.
+
+        Such a character is split like a letter, a digit or neither, as the tokenizers library has it.
+        """
+        stands = {ord(c): library_class(c) for c in set(text) if unicodedata.category(c) == "Cn"}
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(stands))]
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if self.special is None or not any(map(text.__contains__, self.added)):
@@ -136,6 +145,26 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
+def settled(text: str) -> bool:
+    """Whether all libraries class the text's characters alike."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return not any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+@lru_cache(maxsize=4096)
+def library_class(char: str) -> str:
+    """A letter, a digit or a private character that is split as ``char`` is."""
+    from tokenizers import Regex, pre_tokenizers
+
+    for pattern, stand in ((r"\p{L}", "z"), (r"\p{N}", "0")):
+        if pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(char):
+            return stand
+    return "\U000f0000"
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     return ByteBpe(path)

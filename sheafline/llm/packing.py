@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet
+from .bpe import byte_alphabet, settled
 from .common import one_row_per_doc, slices, written
 
 CAPACITY = 2048
@@ -99,11 +99,11 @@ class WordTokenizer:
             self.words[word] = out
             return out
         core = word.rstrip(CLOSING)
-        if core.isalpha() and not ODD_CASE.search(word) and (core.isascii() or unicodedata.is_normalized("NFC", word)):
+        if core.isalpha() and not ODD_CASE.search(word) and (core.isascii() or unicodedata.is_normalized("NFC", word) and settled(word)):
             out = self._piece(core.lower())
             if len(core) < len(word):
                 out += self._piece(word[len(core) :])
-        elif ODD_CASE.search(word):
+        elif ODD_CASE.search(word) or not settled(word):
             out = self.library(word)
         else:
             out = b"".join(map(self._piece, self.pattern.findall(unicodedata.normalize("NFC", word).lower())))
