@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafline.plans import table_queries, text_queries
+from sheafline.plans import structure_queries, table_queries, text_queries
 
-ALL = table_queries.QUERIES | text_queries.QUERIES
+ALL = table_queries.QUERIES | text_queries.QUERIES | structure_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
