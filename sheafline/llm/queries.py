@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, embedding_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, rlz_dedup, suffix_dedup, toxicity
 from .common import table
+from .oracles import ORACLES
 
 
 def vocabulary(name: str) -> str:
@@ -65,4 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the others: models, token ids and extraction can't be stated in SQL."""
+    return dict(ORACLES)
