@@ -11,7 +11,7 @@ a logistic curve that is fit on labelled documents the CRF was not trained on.
 
 Labels are learnt only from rows whose ``crc32(doc_id) mod 3`` is not 1 and from
 at most ``SAMPLE`` labelled documents of each class, chosen by a hash of their
-id.  Null, empty and blank texts have no line and get the curve's value for a
+id, without very long ones (``toxicity.TRAIN_CHARS``).  Null, empty and blank texts have no line and get the curve's value for a
 marginal of one half.  Scores depend on the text alone.  Lines over ``PIECE``
 characters are scored in pieces of that length, so that a text without line
 ends is labelled along its length too; nothing is cut off.

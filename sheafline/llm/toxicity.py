@@ -18,7 +18,7 @@ scoring tasks get one number per subword bucket: a broadcast of fixed size.
 
 Labels are learnt only from rows whose ``crc32(doc_id) mod 4`` is not 2 and from
 at most ``SAMPLE`` labelled documents of each class, chosen by a hash of their
-id.  Null and empty texts have no segment and get the curve's value for no
+id, without those over ``TRAIN_CHARS``.  Null and empty texts have no segment and get the curve's value for no
 evidence.  Scores depend on the text alone, so repeated rows score alike.
 """
 
@@ -42,8 +42,8 @@ GRAMS = (3, 4)
 SEGMENT = 12
 #: Labelled documents of each class that training may use.
 SAMPLE = {1: 2500, 0: 4000}
-#: Longest text, in words, of a document used in training; longer ones are not sampled.
-TRAIN_WORDS = 6000
+#: Longest text, in characters, of a document used in training; longer ones are left out of the sample.
+TRAIN_CHARS = 48_000
 EPOCHS = 6
 CUTOFF = 0.3
 CACHE_WORDS = 400_000
@@ -215,7 +215,7 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, modulus: tuple[int,
     for y, most in sample.items():
         part = own.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         one = part if one is None else one.unionByName(part)
-    texts = one_row_per_doc(docs).where(F.col("text").isNotNull() & (F.length("text") <= 8 * TRAIN_WORDS))
+    texts = one_row_per_doc(docs).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
     chosen = texts.join(F.broadcast(one.select("doc_id", "y")), "doc_id").dropDuplicates(["doc_id"])  # at most sum(sample) rows
     return sorted((r["doc_id"], r["text"], r["y"]) for r in chosen.collect())
 
