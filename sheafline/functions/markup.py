@@ -59,3 +59,38 @@ def table_line(*cells: Column) -> Column:
     """One line of a Markdown table; bars are escaped and line ends become breaks."""
     shown = [F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "\r\n|\r|\n", "<br>") for c in cells]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |"))
+
+
+def decoded_component(c: Column) -> Column:
+    """Per cent escapes decoded; plus signs stay, and so does text that does not decode."""
+    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+
+
+#: Media types of embedded pictures by extension.
+MEDIA = {"bmp": "image/bmp", "emf": "image/emf", "gif": "image/gif", "jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "svg": "image/svg+xml", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "wmf": "image/wmf"}
+
+
+def media_type(extension: Column) -> Column:
+    pairs = [F.lit(x) for item in MEDIA.items() for x in item]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(extension)), F.lit("application/octet-stream"))
+
+
+def resolved_path(base: Column, target: Column) -> Column:
+    """A part's path relative to another part's folder; ``..`` stops at the root."""
+    folder = F.when(F.startswith(target, F.lit("/")), F.lit("")).otherwise(F.regexp_replace(base, r"[^/]*$", ""))
+    steps = F.split(F.concat(folder, F.regexp_replace(target, r"#.*$", "")), "/")
+    empty = F.array().cast("array<string>")
+    kept = F.aggregate(
+        steps, empty,
+        lambda done, s: F.when((s == "") | (s == "."), done).when(s == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(empty)).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.array_join(kept, "/")
+
+
+def duration_clock(c: Column) -> Column:
+    """An ISO 8601 duration of days, hours, minutes and seconds as a clock; others stay as they are."""
+    shape = r"^(-?)P(?:(\d{1,6})D)?(?:T(?:(\d{1,6})H)?(?:(\d{1,6})M)?(?:(\d{1,6})(?:\.\d+)?S)?)?$"
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(c, shape, k), F.lit("")).cast("long"), F.lit(0))
+    total = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
+    clock = F.format_string("%s%02d:%02d:%02d", F.regexp_extract(c, shape, 1), F.floor(total / 3600).cast("long"), F.floor(F.pmod(total, F.lit(3600)) / 60).cast("long"), F.pmod(total, F.lit(60)))
+    return F.when(c.rlike(shape) & c.rlike(r"\d"), clock).otherwise(c)

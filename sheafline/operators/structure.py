@@ -75,3 +75,22 @@ def due_jobs(jobs: DataFrame, now) -> DataFrame:
     due = (F.col("state") == "queued") | ((F.col("state") == "retry") & (F.col("due_at") <= now)) | expired
     over = expired & (F.col("attempt") >= F.col("max_attempts"))
     return jobs.where(due).select("job_id", F.when(over, "failed").otherwise("running").alias("state"), F.when(over, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))
+
+
+def overlapping_merges(merges: DataFrame, block: int = 64) -> DataFrame:
+    """Pairs of merged rectangles of one sheet that share a cell.
+
+    Takes ``sheet, merge_id, top, left, bottom, right``.  Rectangles meet in the
+    blocks of rows they reach, by an equi-join, and each pair counts in its first
+    common block.
+    """
+    reach = F.explode(F.sequence(F.floor(F.col("top") / block), F.floor(F.col("bottom") / block))).alias("block")
+    a = merges.select("sheet", F.col("merge_id").alias("a"), F.col("top").alias("t1"), F.col("left").alias("l1"), F.col("bottom").alias("b1"), F.col("right").alias("r1"), reach)
+    b = merges.select("sheet", F.col("merge_id").alias("b"), F.col("top").alias("t2"), F.col("left").alias("l2"), F.col("bottom").alias("b2"), F.col("right").alias("r2"), reach)
+    meet = a.join(b, ["sheet", "block"]).where("a < b AND t1 <= b2 AND t2 <= b1 AND l1 <= r2 AND l2 <= r1")
+    return meet.where(F.col("block") == F.floor(F.greatest("t1", "t2") / block)).select("sheet", "a", "b")
+
+
+def feature_manifest(objects: DataFrame) -> DataFrame:
+    """Counts of each feature of a workbook, zeros left out: takes ``workbook, feature``."""
+    return objects.groupBy("workbook", "feature").agg(F.count("*").alias("n"))

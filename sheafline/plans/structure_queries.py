@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sheafline.functions import formulas as L
 from sheafline.functions import markup as M
 from sheafline.functions import text as X
 from sheafline.functions.coordinates import address_column, column_number, letters_column
@@ -126,6 +127,46 @@ def source_limits(s, d):
     return own
 
 
+def formula_shift(s, d):
+    size = F.col("p_size").cast("string")
+    own = load(s, d, "part").select("p_partkey", F.concat(F.lit("SUM(A"), size, F.lit(":$B$"), size, F.lit(')+Other!c7&"A1"+D$2*XFD1')).alias("f"))
+    return own.select("p_partkey", L.shifted(F.col("f"), 2, 3).alias("moved"), L.shifted(F.col("f"), -60, 0).alias("up"))
+
+
+def sheet_rename(s, d):
+    own = load(s, d, "nation").select("n_nationkey", F.concat(F.lit("'my data'!A1+Old!B2&\"Old!C3\"+older!D4+OLD!E"), (F.col("n_nationkey") + 1).cast("string")).alias("f"))
+    return own.select("n_nationkey", L.renamed_sheet(F.col("f"), "Old", "it's new").alias("a"), L.renamed_sheet(F.col("f"), "My Data", "x").alias("b"))
+
+
+def component_decoding(s, d):
+    own = load(s, d, "customer").select("c_custkey", F.concat(F.lit("a%20b+c%C3%A9"), F.col("c_custkey").cast("string")).alias("t"))
+    return own.select("c_custkey", M.decoded_component(F.col("t")).alias("decoded"))
+
+
+def media_types(s, d):
+    own = load(s, d, "part").withColumn("e", F.element_at(F.array(*map(F.lit, ("PNG", "jpg", "xyz"))), (F.col("p_partkey") % 3 + 1).cast("int")))
+    return own.select("p_partkey", M.media_type(F.col("e")).alias("media_type"))
+
+
+def path_resolution(s, d):
+    own = load(s, d, "supplier").withColumn("t", F.element_at(F.array(*map(F.lit, ("../media/i.png", "x/./y.xml#a", "/abs/z.xml", "../../../../up.xml"))), (F.col("s_suppkey") % 4 + 1).cast("int")))
+    return own.select("s_suppkey", M.resolved_path(F.lit("word/sub/document.xml"), F.col("t")).alias("path"))
+
+
+def iso_durations(s, d):
+    own = load(s, d, "part").withColumn("t", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("PT"), F.col("p_size").cast("string"), F.lit("H5M"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("-P1DT"), F.col("p_size").cast("string"), F.lit("S"))).otherwise("P1M"))
+    return own.select("p_partkey", M.duration_clock(F.col("t")).alias("clock"))
+
+
+def merge_overlaps(s, d):
+    own = load(s, d, "part").select((F.col("p_partkey") % 3).alias("sheet"), F.col("p_partkey").alias("merge_id"), F.col("p_partkey").alias("top"), (F.col("p_size") % 5).alias("left"), (F.col("p_partkey") + F.col("p_size")).alias("bottom"), (F.col("p_size") % 5 + 1).alias("right"))
+    return R.overlapping_merges(own)
+
+
+def features(s, d):
+    return R.feature_manifest(load(s, d, "events").select((F.col("user_id") % 10).alias("workbook"), F.col("event_type").alias("feature")))
+
+
 SLUGS = "s AS (SELECT p_partkey % 10 AS doc_id, p_partkey AS position, replace(regexp_replace(lower(trim(p_brand)), '[^\\p{L}\\p{N}\\p{M}\\p{Pc} -]', '', 'g'), ' ', '-') AS slug FROM part), a AS (SELECT doc_id, position, slug || CASE WHEN row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) = 1 THEN '' ELSE '-' || (row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) - 1) END AS anchor FROM s)"
 LETTERS = "CASE WHEN n > 702 THEN chr((65 + ((n - 703) // 676) % 26)::INTEGER) ELSE '' END || CASE WHEN n > 26 THEN chr((65 + ((n - 27) // 26) % 26)::INTEGER) ELSE '' END || chr((65 + (n - 1) % 26)::INTEGER)"
 
@@ -174,4 +215,24 @@ QUERIES = {
         "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k",
     ),
     "source_limits": (source_limits, "SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes, CASE WHEN octet_length(encode(text)) > 10000 THEN 'resourceLimit' END AS error_code FROM documents"),
+    "formula_shift": (
+        formula_shift,
+        "SELECT p_partkey, 'SUM(D' || (p_size + 2) || ':$B$' || p_size || ')+Other!F9&\"A1\"+G$2*#REF!' AS moved, 'SUM(#REF!:$B$' || p_size || ')+#REF!&\"A1\"+D$2*#REF!' AS up FROM part",
+    ),
+    "sheet_rename": (
+        sheet_rename,
+        "SELECT n_nationkey, '''my data''!A1+''it''''s new''!B2&\"Old!C3\"+older!D4+''it''''s new''!E' || (n_nationkey + 1) AS a, '''x''!A1+Old!B2&\"Old!C3\"+older!D4+OLD!E' || (n_nationkey + 1) AS b FROM nation",
+    ),
+    "component_decoding": (component_decoding, "SELECT c_custkey, 'a b+cé' || c_custkey AS decoded FROM customer"),
+    "media_types": (media_types, "SELECT p_partkey, ['image/png', 'image/jpeg', 'application/octet-stream'][p_partkey % 3 + 1] AS media_type FROM part"),
+    "path_resolution": (path_resolution, "SELECT s_suppkey, ['word/media/i.png', 'word/sub/x/y.xml', 'abs/z.xml', 'up.xml'][s_suppkey % 4 + 1] AS path FROM supplier"),
+    "iso_durations": (
+        iso_durations,
+        "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lpad(p_size::VARCHAR, 2, '0') || ':05:00' WHEN 1 THEN '-24:00:' || lpad(p_size::VARCHAR, 2, '0') ELSE 'P1M' END AS clock FROM part",
+    ),
+    "merge_overlaps": (
+        merge_overlaps,
+        "WITH m AS (SELECT p_partkey % 3 AS sheet, p_partkey AS id, p_partkey AS t, p_size % 5 AS l, p_partkey + p_size AS b FROM part) SELECT x.sheet, x.id AS a, y.id AS b FROM m x JOIN m y ON x.sheet = y.sheet AND x.id < y.id AND x.t <= y.b AND y.t <= x.b AND x.l <= y.l + 1 AND y.l <= x.l + 1",
+    ),
+    "feature_manifest": (features, "SELECT user_id % 10 AS workbook, event_type AS feature, count(*) AS n FROM events GROUP BY 1, 2"),
 }
