@@ -36,6 +36,7 @@ from .common import slices
 
 RESULT = "page_id long, url string, text string, n_chars long"
 
+#: Elements that start a line of their own.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -43,6 +44,7 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DECLARED = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose text is not part of the content.
 SKIPPED = frozenset("aside button dialog footer form head header iframe input label menu nav noscript object option script select style svg template textarea title".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Parts of a class or id, split at anything but letters and digits.
