@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about this many bytes inside a task.
 SLICE_BYTES = 4 << 20
+#: Slices for hashing, which holds several 8-byte numbers for each text byte.
+HASH_SLICE_BYTES = 3 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

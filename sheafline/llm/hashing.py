@@ -19,7 +19,7 @@ _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n, kept for the next call."""
     if len(_powers["up"]) < n:
-        size = 1 << int(n - 1).bit_length()
+        size = n + n // 4
         for name, base in (("up", BASE), ("down", INVERSE)):
             line = np.full(size, base, U)
             line[0] = 1

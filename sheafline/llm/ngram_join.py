@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_doc, slices, written
+from .common import HASH_SLICE_BYTES, one_row_per_doc, slices, written
 from .components import apart, components
 from .hashing import LOWER, U, gram_hash, mix, prefix_sums, span_hash, text_bytes, word_codes, word_spans
 from .windows import GROUP_DOCS, PACKED, PACKED_ARROW, batch, cut, group_of, replies, runs, uncut
@@ -95,7 +95,7 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def announce(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=HASH_SLICE_BYTES):
             doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             row, value = shingles(part.column("text"))
             # each document's size and two sums that stand for its set

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_row_per_doc, slices
+from .common import HASH_SLICE_BYTES, one_row_per_doc, slices
 from .hashing import BYTE_CODES, Anchors, U, mix, span_hash, text_bytes, word_codes, word_spans
 
 #: Text bytes per bucket of hashes, per shard of stretches and documents per group.
@@ -138,7 +138,7 @@ def announce(docs: DataFrame, units: Units, buckets: int, groups: int) -> DataFr
     """Step 1, before the shuffle: packed hashes by bucket, and repeats seen at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, limit=HASH_SLICE_BYTES):
             found = anchors_of(units, part.column("text"))[0]
             if not len(found.row):
                 continue
