@@ -10,6 +10,7 @@ from sheafline.functions import text as X
 from sheafline.functions.coordinates import address_column, column_number, letters_column
 from sheafline.operators import structure as R
 from sheafline.plans.table_queries import load
+from sheafline.streaming import events as E
 
 
 def xml_codec(s, d):
@@ -111,14 +112,12 @@ def report_means(s, d):
 
 def event_windows(s, d):
     """Extension: counts in hourly windows."""
-    own = load(s, d, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return own.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return E.windowed(load(s, d, "events")).withColumn("total", F.round("total", 4))
 
 
 def event_sessions(s, d):
-    """Extension: sessions of a user, which end after half an hour without events."""
-    own = load(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
-    return own.select("user_id", F.col("session_window.start").alias("start"), "n")
+    """Extension: sessions of a user."""
+    return E.sessions(load(s, d, "events"))
 
 
 def source_limits(s, d):

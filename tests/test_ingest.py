@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sheafline.operators import documents as D
 from sheafline.sources import files
-from sheafline.streaming import ingest
+from sheafline.streaming import events, ingest
 
 
 def test_files_are_detected(spark, tmp_path):
@@ -60,3 +60,18 @@ def test_containment(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (2, ""), (3, None)], "doc_id long, text string")
     probes = spark.createDataFrame([(9, "B C D e"), (8, "z")], "item_id long, text string")
     assert [tuple(r) for r in D.containment(docs, probes).collect()] == [(1, 9, 0.5)]
+
+
+def test_windows_of_a_stream_close_by_the_watermark(spark, tmp_path):
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    rows = spark.createDataFrame([("a", "2024-01-01 00:10:00", 1.0), ("a", "2024-01-01 00:50:00", 2.0), ("b", "2024-01-01 01:05:00", 3.0)], "event_type string, t string, value double")
+    rows = rows.select(F.to_timestamp("t").alias("ts"), "event_type", "value")
+    rows.write.parquet(source)
+    events.window_stream(spark, source, rows.schema, target, check).awaitTermination()
+    rows.select((F.col("ts") + F.expr("interval 3 hours")).alias("ts"), "event_type", "value").write.mode("append").parquet(source)
+    for _ in range(2):
+        events.window_stream(spark, source, rows.schema, target, check).awaitTermination()
+    got = {(str(r["start"]), r["event_type"]): (r["n"], r["total"]) for r in spark.read.parquet(target).collect()}
+    whole = {(str(r["start"]), r["event_type"]): (r["n"], r["total"]) for r in events.windowed(rows).collect()}
+    assert got and got.items() <= {**whole, **got}.items() and all(got[k] == whole[k] for k in got if k in whole)
+    assert ("2024-01-01 00:00:00", "a") in got
