@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import one_row_per_doc, slices
 
 #: Pre-tokens kept per Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 #: Fixed value: the public byte-level pre-tokenizer's pattern.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -186,6 +186,7 @@ def encode_decode(docs: DataFrame, vocab_path: str) -> DataFrame:
                 [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hex), pa.array(text_hex)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.cache.clear()  # Python workers live on after a task
 
     return one_row_per_doc(docs).mapInArrow(run, RESULT)
 
@@ -198,6 +199,7 @@ def encode(docs: DataFrame, vocab_path: str) -> DataFrame:
         for part in slices(batches):
             ids = [bpe.encode(t or "") for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        bpe.cache.clear()
 
     return one_row_per_doc(docs).mapInArrow(run, "doc_id long, ids array<int>")
 

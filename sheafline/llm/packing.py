@@ -39,7 +39,7 @@ from .common import one_row_per_doc, slices, written
 CAPACITY = 2048
 END_ID = 0
 #: Words, and word pieces, in each half of the cache.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, lo long, hi long, seq_base long, seq_offset long"
 
@@ -74,6 +74,10 @@ class WordTokenizer:
         self.model = self.tok.model
         self.letters = {b: c for b, c in byte_alphabet().items() if chr(b) != c}
         self.pattern = regex.compile(PRE_TOKEN)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the caches; Python workers live on after a task."""
         # Young and old halves: what the young half asks the old one for stays.
         self.words, self.old_words = {}, {}
         self.pieces, self.old_pieces = {}, {}
@@ -141,6 +145,7 @@ def tokenized(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY) -> Dat
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        tok.forget()
 
     return one_row_per_doc(docs).mapInArrow(run, PIECES)
 

@@ -46,7 +46,7 @@ SAMPLE = {1: 2500, 0: 4000}
 TRAIN_CHARS = 48_000
 EPOCHS = 6
 CUTOFF = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 HELD_OUT = (4, 2)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
