@@ -86,15 +86,25 @@ def runs_of_roles(turns: DataFrame) -> DataFrame:
     return numbered.groupBy("conv_id", "run", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
+def trigrams(rows: DataFrame, key: str) -> DataFrame:
+    """``key, g``: the distinct word trigrams of each text.
+
+    The words are a column of their own, so they are split once and not again for
+    each trigram.
+    """
+    words = rows.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0))).alias("c"))
+    whole = F.filter(pairs, lambda p: p["c"].isNotNull())
+    return words.where(F.size("w") >= 3).select(key, F.array_distinct(F.transform(whole, lambda p: F.concat_ws(" ", p["a"], p["b"], p["c"]))).alias("g"))
+
+
 def containment(docs: DataFrame, probes: DataFrame) -> DataFrame:
     """Share of each probe's distinct word trigrams that each document has.
 
     Joined on hashed trigrams, of which only the probes' own are kept; pairs
     without a shared trigram give no row.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    grams = lambda w: F.when(F.size(w) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")))).otherwise(F.array().cast("array<string>"))
-    asked = probes.select("item_id", grams(words(F.col("text"))).alias("g")).select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    have = docs.select("doc_id", F.explode(grams(words(F.col("text")))).alias("gram"))
+    asked = trigrams(probes, "item_id").select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    have = trigrams(docs, "doc_id").select("doc_id", F.explode("g").alias("gram"))
     shared = have.join(asked, "gram").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
     return shared.select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("containment"))
