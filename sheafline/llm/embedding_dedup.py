@@ -175,7 +175,7 @@ def best(pairs: DataFrame, limits: DataFrame | None, k: int) -> DataFrame:
     ranked = pairs.withColumn("r", F.row_number().over(w))
     if limits is None:
         return ranked.where(F.col("r") <= k).drop("r")
-    return ranked.join(limits, "a", "left").where(F.col("r") <= F.coalesce("k", F.lit(k))).drop("r", "k")
+    return ranked.join(limits, "a", "left").where(F.col("r") <= F.greatest("k", F.lit(k))).drop("r", "k")
 
 
 def local_join(rows: pa.Table) -> pa.Table:
@@ -189,13 +189,21 @@ def local_join(rows: pa.Table) -> pa.Table:
     return pa.table({"a": ids[i], "b": ids[j], "sim": sim[i, j]}, schema=PAIRS_ARROW)
 
 
+def worst_entries(graph: DataFrame, limits: DataFrame | None, k: int) -> DataFrame:
+    """What a pair must beat to enter each list: a list below its own limit takes any."""
+    held = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("least"))
+    limit = F.lit(k)
+    if limits is not None:
+        held, limit = held.join(limits, "a", "left"), F.greatest("k", F.lit(k))
+    return held.select("a", F.when(F.col("c") >= limit, F.col("least")).otherwise(F.lit(-2.0)).alias("worst"))
+
+
 def descend(centres: DataFrame, graph: DataFrame, limits: DataFrame | None, k: int, rounds: int, floor: float) -> DataFrame:
     """NN-descent rounds on the lists ``a, b, sim``; returns better lists."""
     edges = graph.where(F.col("sim") >= floor).count()
     old = None
     for done in range(1, rounds + 1):
-        held = F.count("*") >= F.lit(k)
-        worst = graph.groupBy("a").agg(F.when(held, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+        worst = worst_entries(graph, limits, k)
         marked = graph.withColumn("fresh", F.lit(True)) if old is None else graph.join(old.select("a", "b", F.lit(False).alias("o")), ["a", "b"], "left").select("a", "b", "sim", F.col("o").isNull().alias("fresh"))
         around = marked.select("a", "b", "fresh").unionByName(marked.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
         around = around.groupBy("a", "b").agg(F.max("fresh").alias("fresh")).unionByName(centres.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(True).alias("fresh")))
@@ -248,7 +256,7 @@ def neighbours(centres: DataFrame, floor: float) -> DataFrame:
         while True:  # enlarge saturated lists
             full = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("least"))
             have = full if limits is None else full.join(limits, "a", "left")
-            limit = F.lit(k) if limits is None else F.coalesce("k", F.lit(k))
+            limit = F.lit(k) if limits is None else F.greatest("k", F.lit(k))
             wide = have.where((F.col("c") >= limit) & (F.col("least") >= floor) & (limit < MAX_K)).select("a", (2 * limit).cast("int").alias("k2"))
             if wide.isEmpty():
                 break

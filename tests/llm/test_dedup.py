@@ -175,5 +175,27 @@ def test_embeddings(spark):
     assert sorted(map(tuple, got.collect())) == brute.vector_links(rows)
 
 
+def spread_group(n, pair_cosine, width=64, seed=2):
+    """Rows of one label, all pairs of which have about the same cosine."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=width)
+    centre /= np.linalg.norm(centre)
+    spread = np.sqrt((1 / pair_cosine - 1) / width)
+    return [(i, (centre + rng.normal(size=width) * spread).tolist(), 0) for i in range(n)]
+
+
+def test_lists_below_their_own_limit_take_any_pair(spark):
+    graph = spark.createDataFrame([(1, i, 0.99 - i / 1000) for i in range(10, 20)] + [(2, i, 0.99) for i in range(10, 20)], "a long, b long, sim double")
+    limits = spark.createDataFrame([(1, 20)], "a long, k int")
+    got = {r["a"]: r["worst"] for r in embedding_dedup.worst_entries(graph, limits, 10).collect()}
+    assert got == {1: -2.0, 2: 0.99}
+
+
+def test_enlarged_lists_fill(spark):
+    rows = spread_group(300, 0.95)
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
+    assert sorted(map(tuple, got.collect())) == brute.vector_links(rows)
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
