@@ -17,7 +17,10 @@ link with nothing.
     is enlarged, and rounds go on, until no list is saturated.
 3.  *Audit.*  A bounded sample of centres is compared with all centres of its
     label, in blocks.  If the graph has less than ``RECALL`` of the sample's
-    edges, all lists are enlarged and the rounds go on.
+    edges, all lists are enlarged and the rounds go on.  After the last audit,
+    centres whose list is still saturated, and those of a label and list length
+    with less recall than that, over the floor or over the threshold, are
+    compared exactly with all vectors of their label, in blocks.
 4.  *Links.*  Pairs of balls that the angles and radii cannot rule out are kept
     as edges; those that they cannot confirm as a whole either are compared
     member by member.  Counts of links and components follow.
@@ -54,6 +57,9 @@ RECALL = 0.97
 #: A bucket or neighbourhood is handled in pieces of at most this many vectors.
 PIECE = 256
 MAX_K = 640
+#: Audited centres of each length of enlarged lists, and vectors in a block of exact comparison.
+LENGTH_SAMPLE = 100
+BLOCK = 2048
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -223,7 +229,7 @@ def descend(centres: DataFrame, graph: DataFrame, limits: DataFrame | None, k: i
 
 def brute(sample: DataFrame, centres: DataFrame, floor: float) -> DataFrame:
     """Pairs (a of the bounded sample, b of all centres) of one label over the floor, in blocks."""
-    rows = sample.collect()  # at most AUDIT_SAMPLE vectors
+    rows = sample.collect()  # at most AUDIT_SAMPLE vectors, or LENGTH_SAMPLE a list length
     ids, labels = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows])
     xs = [np.array(r["x"]) for r in rows]
     held = centres.sparkSession.sparkContext.broadcast((ids, labels, xs))
@@ -245,33 +251,165 @@ def brute(sample: DataFrame, centres: DataFrame, floor: float) -> DataFrame:
     return centres.mapInArrow(run, PAIRS)
 
 
-def neighbours(centres: DataFrame, floor: float) -> DataFrame:
-    """Directed edges ``a, b, sim`` over the floor, by NN-descent with audits."""
+PACKED = "label long, width int, piece int, ids binary, centres binary, x binary"
+PACKED_ARROW = pa.schema([("label", pa.int64()), ("width", pa.int32()), ("piece", pa.int32()), ("ids", pa.binary()), ("centres", pa.binary()), ("x", pa.binary())])
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """``vec_id, label, centre, x`` in rows of about ``BLOCK`` vectors of one label and width."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        ids, centres = (rows.column(c).to_numpy().astype("<i8").tobytes() for c in ("vec_id", "centre"))
+        key = [[rows.column(c)[0].as_py()] for c in ("label", "width", "piece")]
+        return pa.table([*key, [ids], [centres], [matrix(rows.column("x")).astype("<f8").tobytes()]], schema=PACKED_ARROW)
+
+    own = points.select("vec_id", "label", "centre", "x", F.size("x").alias("width"))
+    count = own.groupBy("label", "width").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("pieces")).select(apart("label"), "width", "pieces")
+    own = own.join(F.broadcast(count), ["label", "width"]).withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int")).drop("pieces")
+    return own.groupBy("label", "width", "piece").applyInArrow(run, PACKED)
+
+
+def block_pairs(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """Each two blocks of one label and width; with ``once`` in one direction."""
+    both = left.select("label", "width", *(F.col(c).alias(f"{c}_a") for c in ("piece", "ids", "centres", "x"))).join(
+        right.select("label", "width", *(F.col(c).alias(f"{c}_b") for c in ("piece", "ids", "centres", "x"))), ["label", "width"]
+    )
+    both = both.where("piece_a <= piece_b") if once else both
+    return both.repartition(both.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("label", "width", "piece_a", "piece_b"))
+
+
+def block_sims(part: pa.RecordBatch) -> Iterator[tuple]:
+    """Ids, centres and cosines of each pair of blocks, and whether it is a block with itself."""
+    for r in part.to_pylist():
+        ids = [np.frombuffer(r[f"ids_{s}"], "<i8") for s in "ab"]
+        own = [np.frombuffer(r[f"centres_{s}"], "<i8") for s in "ab"]
+        x = [np.frombuffer(r[f"x_{s}"], "<f8").reshape(len(i), -1) for s, i in zip("ab", ids, strict=True)]
+        yield *ids, *own, x[0] @ x[1].T, r["piece_a"] == r["piece_b"]
+
+
+def across(hot: DataFrame, cold: DataFrame, floor: float) -> DataFrame:
+    """All pairs over the floor of a centre in ``hot`` and one in ``cold``, as ``a, b, sim``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for a, b, _, _, sim, _ in block_sims(part):
+                i, j = np.nonzero(sim >= floor)
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(sim[i, j])], schema=PAIRS_ARROW)
+
+    own = F.col("vec_id").alias("centre")
+    return block_pairs(packed(hot.select("*", own)), packed(cold.select("*", own)), once=False).mapInArrow(run, PAIRS)
+
+
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the links (row, column) of a table of rows by columns that connect what all of them do."""
+    free_row, free_col = linked.any(axis=1), np.ones(linked.shape[1], bool)
+    rows, cols = [], []
+    for start in range(len(linked)):
+        if not free_row[start]:
+            continue
+        free_row[start] = False
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & free_col):
+                free_col[j] = False
+                more = np.flatnonzero(linked[:, j] & free_row)
+                free_row[more] = False
+                rows += [i, *more.tolist()]
+                cols += [j] * (1 + len(more))
+                todo += more.tolist()
+    return np.array(rows, np.int64), np.array(cols, np.int64)
+
+
+def exact(points: DataFrame, threshold: float) -> DataFrame:
+    """All links among ``points`` of different balls, by blocks, without a row a pair.
+
+    Rows ``p, n``: links of ``p`` in a block; rows ``p, q``: links that connect what all of them do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for a, b, ca, cb, sim, same in block_sims(part):
+                linked = (sim >= threshold) & (ca[:, None] != cb[None, :])
+                i, j = forest(linked)
+                sides = [(a, linked.sum(axis=1))] if same else [(a, linked.sum(axis=1)), (b, linked.sum(axis=0))]
+                for ids, n in sides:
+                    some = n > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(int(some.sum()), pa.int64()), pa.array(n[some].astype(np.int64))], names=["p", "q", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.nulls(len(i), pa.int64())], names=["p", "q", "n"])
+
+    blocks = written(packed(points), "blocks")
+    return block_pairs(blocks, blocks, once=True).mapInArrow(run, "p long, q long, n long")
+
+
+def turned(pairs: DataFrame) -> DataFrame:
+    """Each pair in both directions, once."""
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+def missing(truth: DataFrame, edges: DataFrame, group: DataFrame, threshold: float) -> list:
+    """Per label and list length: edges wanted and missed over the floor, and over the threshold."""
+    found = truth.join(edges.select("a", "b", F.lit(1).alias("found")), ["a", "b"], "left").join(group, "a")
+    lost, over = F.col("found").isNull(), F.col("sim") >= threshold
+    counts = (F.count("*").alias("wanted"), F.count_if(lost).alias("missed"), F.count_if(over).alias("wanted_links"), F.count_if(lost & over).alias("missed_links"))
+    return found.groupBy("label", "k").agg(*counts).collect()  # no more rows than sampled centres
+
+
+def whole(wanted: int, missed: int) -> bool:
+    return missed <= (1 - RECALL) * wanted
+
+
+def neighbours(centres: DataFrame, floor: float, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Directed edges ``a, b, sim`` over the floor, by NN-descent with audits, and the ``hot`` centres ``a``.
+
+    Hot are centres whose list is full at its last size, and those of a label and
+    list length that fail the last audit.  Their edges to other centres are
+    complete, by comparison in blocks; edges among them are left to ``exact``.
+    """
     k, limits = K, None
     graph = written(best(seeds(centres, SEED_TABLES), None, k), "graph")
-    sample = centres.orderBy(F.xxhash64("vec_id"), "vec_id").limit(AUDIT_SAMPLE)
-    truth = written(brute(sample, centres, floor), "audit")
+    order = F.xxhash64("vec_id")
+    sample = centres.orderBy(order, "vec_id").limit(AUDIT_SAMPLE)
+    base = written(brute(sample, centres, floor), "audit")
     for audit in range(AUDITS):
         graph = descend(centres, graph, limits, k, ROUNDS, floor)
         while True:  # enlarge saturated lists
             full = graph.groupBy("a").agg(F.count("*").alias("c"), F.min("sim").alias("least"))
             have = full if limits is None else full.join(limits, "a", "left")
             limit = F.lit(k) if limits is None else F.greatest("k", F.lit(k))
-            wide = have.where((F.col("c") >= limit) & (F.col("least") >= floor) & (limit < MAX_K)).select("a", (2 * limit).cast("int").alias("k2"))
+            full = have.where((F.col("c") >= limit) & (F.col("least") >= floor)).select("a", limit.alias("limit"))
+            wide = full.where(F.col("limit") < MAX_K).select("a", (2 * F.col("limit")).cast("int").alias("k2"))
             if wide.isEmpty():
                 break
             limits = wide.withColumnRenamed("k2", "k") if limits is None else limits.join(wide, "a", "full").select("a", F.coalesce("k2", "k").alias("k"))
             limits = written(limits, "limits")
             graph = descend(centres, graph, limits, k, 3, floor)
-        edges = graph.where(F.col("sim") >= floor)
-        both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim")), "edges")
-        wanted = truth.count()
-        missed = truth.join(both, ["a", "b"], "left_anti").count()
-        if missed <= (1 - RECALL) * wanted or audit == AUDITS - 1:
-            # what the audit has found is known to hold
-            return both.unionByName(truth).unionByName(truth.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+        truth, group = base, centres.select(F.col("vec_id").alias("a"), "label")
+        if limits is None:
+            group = group.withColumn("k", F.lit(k))
+        else:
+            group = group.join(limits, "a", "left").withColumn("k", F.greatest("k", F.lit(k)))
+            # each length of enlarged lists is audited by a sample of its own
+            nth = F.row_number().over(Window.partitionBy("k").orderBy(order, "vec_id"))
+            more = centres.join(limits.withColumnRenamed("a", "vec_id"), "vec_id").withColumn("nth", nth).where(F.col("nth") <= LENGTH_SAMPLE).drop("nth", "k")
+            truth = written(base.unionByName(brute(more, centres, floor)).groupBy("a", "b").agg(F.max("sim").alias("sim")), "audit")
+        both = written(turned(graph.where(F.col("sim") >= floor)), "edges")
+        counts = missing(truth, both, group, threshold)
+        if audit == AUDITS - 1 or whole(sum(r["wanted"] for r in counts), sum(r["missed"] for r in counts)):
+            break
         k *= 2
-    raise AssertionError("unreachable")
+    failed = [(r["label"], r["k"]) for r in counts if not (whole(r["wanted"], r["missed"]) and whole(r["wanted_links"], r["missed_links"]))]
+    failed = centres.sparkSession.createDataFrame(failed, "label long, k int")
+    hot = written(full.select("a").unionByName(group.join(F.broadcast(failed), ["label", "k"]).select("a")).distinct(), "hot")
+    # what the audit has found is known to hold
+    both = both.unionByName(turned(truth))
+    if not hot.isEmpty():
+        of_hot = hot.withColumnRenamed("a", "vec_id")
+        cold = centres.join(of_hot, "vec_id", "left_anti")
+        both = both.unionByName(turned(across(centres.join(of_hot, "vec_id"), cold, floor)))
+        both = both.join(hot.withColumn("hot_a", F.lit(True)), "a", "left").join(hot.select(F.col("a").alias("b"), F.lit(True).alias("hot_b")), "b", "left")
+        both = both.where(F.col("hot_a").isNull() | F.col("hot_b").isNull()).select("a", "b", "sim")
+    return both.groupBy("a", "b").agg(F.max("sim").alias("sim")), hot
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -283,27 +421,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     # two balls may hold a link if the centres' angle is within the threshold's and both radii
     widest = info.agg(F.max("radius")).first()[0] or 0.0
     angle = math.acos(threshold)
-    edges = neighbours(centres, math.cos(min(angle + 2 * widest, math.pi / 2)))
+    edges, hot = neighbours(centres, math.cos(min(angle + 2 * widest, math.pi / 2)), threshold)
     a_info = info.select(F.col("vec_id").alias("a"), F.col("others").alias("a_others"), F.col("radius").alias("ra"))
     b_info = info.select(F.col("vec_id").alias("b"), F.col("others").alias("b_others"), F.col("radius").alias("rb"))
     turn = F.acos(F.greatest(F.least("sim", F.lit(1.0)), F.lit(-1.0)))
     pairs = written(edges.join(a_info, "a").join(b_info, "b").withColumn("turn", turn).where(F.col("turn") - F.col("ra") - F.col("rb") <= angle + 1e-9), "pairs")
     slack = 1e-9
     sure = (F.col("turn") + F.col("ra") + F.col("rb") <= angle - slack) | ((F.col("a_others") + F.col("b_others") == 0) & (F.col("sim") >= threshold))
-    whole = pairs.where(sure)
+    sure_pairs = pairs.where(sure)
     of_ball = members.select("vec_id", "centre", "x").unionByName(centres.select("vec_id", F.col("vec_id").alias("centre"), "x"))
     # the rest is compared member by member, in both directions, by the member's row
     doubt = pairs.where(~sure & (F.col("a_others") + F.col("b_others") > 0)).select("a", "b")
     left = of_ball.select(F.col("vec_id").alias("p"), F.col("centre").alias("a"), F.col("x").alias("px"))
     right = of_ball.select(F.col("vec_id").alias("q"), F.col("centre").alias("b"), F.col("x").alias("qx"))
     single = written(doubt.join(left, "a").join(right, "b").where(cosine("px", "qx") >= threshold).select("p", "q"), "singles")
-    # counts: in the ball, by whole balls, one by one
+    every_point = members.select("vec_id", "label", "centre", "x").unionByName(centres.select("vec_id", "label", F.col("vec_id").alias("centre"), "x"))
+    of_hot = written(exact(every_point.join(hot.withColumnRenamed("a", "centre"), "centre"), threshold), "exact")
+    # counts: in the ball, by whole balls, one by one, among hot balls
     inside = of_ball.select("vec_id", "centre").join(info.select(F.col("vec_id").alias("centre"), "others"), "centre")
-    by_ball = whole.groupBy(F.col("a").alias("centre")).agg(F.sum(F.col("b_others") + 1).alias("by_ball"))
+    by_ball = sure_pairs.groupBy(F.col("a").alias("centre")).agg(F.sum(F.col("b_others") + 1).alias("by_ball"))
     by_one = single.groupBy(F.col("p").alias("vec_id")).agg(F.count("*").alias("by_one"))
-    counts = inside.join(by_ball, "centre", "left").join(by_one, "vec_id", "left")
-    counts = counts.select("vec_id", (F.col("others") + F.coalesce("by_ball", F.lit(0)) + F.coalesce("by_one", F.lit(0))).alias("links"))
-    ties = members.select(F.col("vec_id").alias("a"), F.col("centre").alias("b")).unionByName(whole.select("a", "b")).unionByName(single.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    by_block = of_hot.where("q IS NULL").groupBy(F.col("p").alias("vec_id")).agg(F.sum("n").alias("by_block"))
+    counts = inside.join(by_ball, "centre", "left").join(by_one, "vec_id", "left").join(by_block, "vec_id", "left")
+    counts = counts.select("vec_id", (F.col("others") + F.coalesce("by_ball", F.lit(0)) + F.coalesce("by_one", F.lit(0)) + F.coalesce("by_block", F.lit(0))).alias("links"))
+    ties = members.select(F.col("vec_id").alias("a"), F.col("centre").alias("b")).unionByName(sure_pairs.select("a", "b")).unionByName(single.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    ties = ties.unionByName(of_hot.where("q IS NOT NULL").select(F.col("p").alias("a"), F.col("q").alias("b")))
     found = components(ties)
     every = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     out = every.join(counts, "vec_id", "left").join(found, F.col("vec_id") == F.col("member"), "left")

@@ -192,7 +192,21 @@ def test_lists_below_their_own_limit_take_any_pair(spark):
 
 
 def test_enlarged_lists_fill(spark):
-    rows = spread_group(300, 0.95)
+    rows = [(i, 0, v) for i, v, _ in spread_group(120, 0.95)]
+    centres = spark.createDataFrame(rows, "vec_id long, label long, x array<double>")
+    centres = centres.select("vec_id", "label", "x").cache()
+    graph = spark.createDataFrame([(i, (i + j) % 120, 0.99) for i in range(120) for j in range(1, 11)], "a long, b long, sim double")
+    limits = spark.createDataFrame([(i, 40) for i in range(120)], "a long, k int")
+    got = embedding_dedup.descend(centres, graph, limits, 10, 2, 0.9).groupBy("a").count().collect()
+    assert {r["count"] for r in got} == {40}
+
+
+@pytest.mark.parametrize("block", [17, 2048])
+def test_lists_full_at_the_cap_are_compared_exactly(spark, monkeypatch, block):
+    for name, value in (("MAX_K", 10), ("K", 10), ("AUDITS", 1), ("AUDIT_SAMPLE", 1), ("BLOCK", block)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rows = spread_group(90, 0.94, width=16)
+    rows += [(1000 + i, v, 0) for i, (_, v, _) in enumerate(spread_group(8, 0.95, width=16, seed=7))]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
     assert sorted(map(tuple, got.collect())) == brute.vector_links(rows)
 
