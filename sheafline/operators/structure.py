@@ -45,14 +45,14 @@ def covered_grid(origins: DataFrame) -> DataFrame:
     return wide.select("table_id", "row", "col", "r", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("col_span") - 1)).alias("c")).withColumn("origin", (F.col("r") == F.col("row")) & (F.col("c") == F.col("col")))
 
 
-def header_votes(first_rows: DataFrame) -> DataFrame:
+def header_votes(rows: DataFrame) -> DataFrame:
     """Per column: the header's kind, the body's dominant kind and share, and the vote.
 
-    Takes ``col, row, text`` of a table's first rows, row 0 being the candidate.
+    Takes ``col, row, text`` of a table, row 0 being the candidate.
     A column votes for a header if nine tenths of its body are of one kind other
     than text and the candidate is text.
     """
-    kinds = first_rows.select("col", "row", value_kind(F.col("text")).alias("kind"))
+    kinds = rows.select("col", "row", value_kind(F.col("text")).alias("kind"))
     head = kinds.where("row = 0").select("col", F.col("kind").alias("head_kind"))
     body = kinds.where("row > 0 AND kind <> 'blank'").groupBy("col", "kind").agg(F.count("*").alias("n"))
     most = body.groupBy("col").agg(F.max_by("kind", F.struct("n", "kind")).alias("body_kind"), F.max("n").alias("top"), F.sum("n").alias("all"))

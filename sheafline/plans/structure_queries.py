@@ -79,7 +79,7 @@ def covered_cells(s, d):
 
 
 def header_vote(s, d):
-    own = load(s, d, "customer").where("c_custkey < 50")
+    own = load(s, d, "customer")
     cells = own.select((F.col("c_custkey") + 1).cast("int").alias("row"), F.explode(F.array(F.struct(F.lit(1).alias("col"), F.col("c_name").alias("text")), F.struct(F.lit(2).alias("col"), F.col("c_nationkey").cast("string").alias("text")), F.struct(F.lit(3).alias("col"), F.format_number("c_acctbal", 2).alias("text")))).alias("c")).select("c.col", "row", "c.text")
     names = own.limit(1).select(F.lit(0).alias("row"), F.posexplode(F.array(F.lit("name"), F.lit("nation"), F.lit("balance"))).alias("i", "text")).select((F.col("i") + 1).alias("col"), "row", "text")
     return R.header_votes(cells.unionByName(names))

@@ -20,3 +20,10 @@ def test_query(spark, duck, name):
         assert query(spark, SF_DIR).count() > 0
     else:
         assert differences(spark, duck, query, sql, SF_DIR) == ""
+
+
+def test_header_vote_sees_all_customers(spark, tmp_path):
+    rows = [(k, f"name {k}" if k < 50 else str(k), k % 25, 1.0 * k) for k in range(1, 1000)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["col"]: r["body_kind"] for r in catalog.ALL["header_votes"][0](spark, str(tmp_path)).collect()}
+    assert got == {1: "number", 2: "number", 3: "number"}
