@@ -12,7 +12,9 @@ the stretches of text whose windows can repeat, and lets a *resolver* decide.
     stretches around one anchor is asked for the stretch itself.
 2.  The documents answer with those stretches, which go to a shard by anchor
     hash; stretches around an anchor with very many variants go there window by
-    window, by the window's hash, so no anchor makes a large shard.
+    window, by the window's hash, so no anchor makes a large shard.  Of one
+    window, a group of documents sends its least document's only and marks the
+    others' itself, so a hot window costs its shard one row a group.
 3.  The resolver marks, among a shard's stretches, the windows that a document
     with a smaller id has too.  Marks go back to the documents.
 
@@ -42,6 +44,8 @@ GROUP_BYTES = 2 << 20
 #: An anchor with more different stretches than this is resolved window by window;
 #: up to it, an anchor's stretches fill no more than a shard.
 MANY = 1 << 14
+#: Codes compared at once.
+WINDOW_SLICE = 1 << 20
 
 REPEAT, ASK, ASK_SPLIT = 1, 2, 3
 PACKED = "key long, kind int, docs binary, a binary, b binary"
@@ -201,6 +205,25 @@ def joined(rows: pa.Table, names: tuple[str, ...], types: tuple) -> list[np.ndar
     return [np.frombuffer(b"".join(rows.column(n).to_pylist()), t) for n, t in zip(names, types, strict=True)]
 
 
+def repeated_later(codes: np.ndarray, at: np.ndarray, width: int, window: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which windows a smaller one of ``docs`` has too; equal hashes are compared code by code."""
+    later = np.zeros(len(at), bool)
+    if not len(at):
+        return later
+    order = np.lexsort((docs, window))
+    new = np.ones(len(at), bool)
+    new[1:] = window[order][1:] != window[order][:-1]
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]  # the least document's
+    more = docs[order] > docs[first]
+    order, first = order[more], first[more]
+    step = max(1, WINDOW_SLICE // width)
+    for s in range(0, len(order), step):
+        a, b = order[s : s + step], first[s : s + step]
+        places = np.arange(width)
+        later[a] = (codes[at[a][:, None] + places] == codes[at[b][:, None] + places]).all(axis=1)
+    return later
+
+
 def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Step 2: a group of documents reads its messages and sends stretches and marks."""
 
@@ -235,6 +258,13 @@ def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
             split = np.repeat(split, many)
             one = found.first[split] + (np.arange(len(split)) - np.repeat(np.cumsum(many) - many, many))
             window = span_hash(found.sums, one, one + units.width)
+            # a window that a smaller document of the group has too is marked here, and its least document asks for all
+            later = repeated_later(codes, one, units.width, window, docs[split])
+            if later.any():
+                i = split[later]
+                fields = (docs[i], content[i].view(np.int64), one[later] - offsets[found.row[i]], np.ones(len(i), np.int64))
+                out.append((grp % shards, grp, 0, *(x.astype("<i8").tobytes() for x in fields), b""))
+                split, one, window = split[~later], one[~later], window[~later]
             shard = np.concatenate([shard, (window % U(shards)).astype(np.int64)])
             first, count, ask = np.concatenate([first, one]), np.concatenate([count, np.ones(len(one), np.int64)]), np.concatenate([ask, split])
         order = np.argsort(shard, kind="stable")

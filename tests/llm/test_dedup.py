@@ -68,6 +68,25 @@ def test_many_variants_are_resolved_window_by_window(spark, docs, monkeypatch):
     assert sorted(map(tuple, rlz_dedup.removed(rows).collect())) == brute.word_dedup(docs)
 
 
+def test_a_group_sends_one_copy_of_a_hot_window(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh", k=120))
+    texts = ["".join(rng.choices("stuvwxyz", k=80)) + passage + "".join(rng.choices("stuvwxyz", k=80)) for _ in range(40)]
+    units = windows.Units(50, suffix_dedup.UNITS.k, False)
+    own = pa.table({"doc_id": pa.array(range(40), pa.int64()), "text": texts, "grp": pa.array([0] * 40, pa.int64())})
+    found = windows.anchors_of(units, own.column("text"))[0]
+    ids = windows.reply_id(found.anchor_hash & windows.U((1 << 48) - 1), found.span)
+    mail = pa.Table.from_batches([windows.batch(windows.PACKED_ARROW, windows.replies(found.row.astype(np.int64), ids, np.full(len(ids), windows.ASK_SPLIT, np.uint8), 1))])
+    sent = windows.answer(units, 8)(own, mail).to_pylist()
+    asked = b"".join(r["codes"] for r in sent if r["kind"] == 1)
+    copies = [asked[i : i + 50] for i in range(0, len(asked), 50)]
+    assert len(copies) == len(set(copies))
+    marked = sum(len(r["docs"]) // 8 for r in sent if r["kind"] == 0)
+    assert len(copies) + marked == sum(len(t) - 49 for t in texts) and marked >= 39 * 71
+
+
 def test_jaccard(spark, docs):
     assert sorted(map(tuple, ngram_join.join(frame(spark, docs)).collect())) == brute.jaccard_components(docs)
 
