@@ -10,6 +10,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -27,16 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if path is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all machines share, from ``spark.checkpoint.dir``.
+
+    Only a local master, which is one machine, may do without that setting; there
+    a folder of its own is taken once for each application.
+    """
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        path = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="spark-"))
     return path.rstrip("/")
 
 
+_local: dict[str, str] = {}
+_block: ContextVar[list[str] | None] = ContextVar("block", default=None)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts lineage.
 
@@ -45,7 +55,49 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sheafline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (own := _block.get()) is not None:
+        own.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``written`` has made and nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "written_path", None)
+        if path is not None:
+            _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose written tables are deleted at its end, but those given to ``keep``.
+
+    What the block returns must read kept tables only.
+    """
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.written_path)
+        return table
+
+    before = _block.set(paths)
+    try:
+        yield keep
+    finally:
+        _block.reset(before)
+        if (outer := _block.get()) is not None:
+            outer.extend(kept)
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def id_mod(column: str, modulus: int):

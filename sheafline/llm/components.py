@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def apart(column: str):
@@ -38,11 +38,12 @@ def components(links: DataFrame) -> DataFrame:
     clean = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = written(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = None
-    while True:
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _hook(both, larger=True).where(F.col("a") != F.col("b")).distinct()
         small = _hook(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), larger=False).distinct()
-        edges = written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        before, edges = edges, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+        discard(before)
         new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(new) == state:
             break

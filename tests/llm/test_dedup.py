@@ -203,31 +203,91 @@ def spread_group(n, pair_cosine, width=64, seed=2):
     return [(i, (centre + rng.normal(size=width) * spread).tolist(), 0) for i in range(n)]
 
 
-def test_lists_below_their_own_limit_take_any_pair(spark):
-    graph = spark.createDataFrame([(1, i, 0.99 - i / 1000) for i in range(10, 20)] + [(2, i, 0.99) for i in range(10, 20)], "a long, b long, sim double")
-    limits = spark.createDataFrame([(1, 20)], "a long, k int")
-    got = {r["a"]: r["worst"] for r in embedding_dedup.worst_entries(graph, limits, 10).collect()}
-    assert got == {1: -2.0, 2: 0.99}
+EMBEDDINGS = "vec_id long, embedding array<double>, label int"
 
 
-def test_enlarged_lists_fill(spark):
-    rows = [(i, 0, v) for i, v, _ in spread_group(120, 0.95)]
-    centres = spark.createDataFrame(rows, "vec_id long, label long, x array<double>")
-    centres = centres.select("vec_id", "label", "x").cache()
-    graph = spark.createDataFrame([(i, (i + j) % 120, 0.99) for i in range(120) for j in range(1, 11)], "a long, b long, sim double")
-    limits = spark.createDataFrame([(i, 40) for i in range(120)], "a long, k int")
-    got = embedding_dedup.descend(centres, graph, limits, 10, 2, 0.9).groupBy("a").count().collect()
-    assert {r["count"] for r in got} == {40}
+def near(spark, rows, **options):
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, EMBEDDINGS).repartition(3), **options)
+    return sorted(map(tuple, found.collect()))
 
 
-@pytest.mark.parametrize("block", [17, 2048])
+def test_a_thousand_vectors_with_saturated_lists(spark):
+    rng = np.random.default_rng(4)
+    rows = spread_group(1000, 0.955)
+    rows += [(5000 + i, v, 0) for i, (_, v, _) in enumerate(spread_group(30, 0.95, seed=7))]
+    rows += [(9000 + i, rng.normal(size=64).tolist(), i % 2) for i in range(300)]
+    report = {}
+    assert near(spark, rows, report=report) == brute.vector_links(rows)
+    assert report["recall"] > embedding_dedup.RECALL and report["sampled_edges"] > 1000 and not report["exact_labels"]
+
+
+@pytest.mark.parametrize("block", [17, 1024])
 def test_lists_full_at_the_cap_are_compared_exactly(spark, monkeypatch, block):
-    for name, value in (("MAX_K", 10), ("K", 10), ("AUDITS", 1), ("AUDIT_SAMPLE", 1), ("BLOCK", block)):
+    for name, value in (("MAX_K", 10), ("BLOCK", block)):
         monkeypatch.setattr(embedding_dedup, name, value)
     rows = spread_group(90, 0.94, width=16)
     rows += [(1000 + i, v, 0) for i, (_, v, _) in enumerate(spread_group(8, 0.95, width=16, seed=7))]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3))
-    assert sorted(map(tuple, got.collect())) == brute.vector_links(rows)
+    assert near(spark, rows) == brute.vector_links(rows)
+
+
+def test_a_failed_audit_leads_to_exact_comparison(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "seeds", lambda lists, table, floor: spark.createDataFrame([], embedding_dedup.OFFERS))
+    monkeypatch.setattr(embedding_dedup, "AUDITS", 2)
+    rows = spread_group(40, 0.95, width=16) + [(100 + i, v, 1) for i, v, _ in spread_group(12, 0.95, width=16, seed=3)]
+    report = {}
+    assert near(spark, rows, report=report) == brute.vector_links(rows)
+    assert report["exact_labels"] and report["recall"] < 0.5
+
+
+def test_balls_in_doubt_are_compared_member_by_member(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=32)
+    middle /= np.linalg.norm(middle)
+    rows = []
+    for angle in (0.0, 0.3, 0.36, 0.42, 0.75):
+        side = rng.normal(size=32)
+        side -= (side @ middle) * middle
+        centre = np.cos(angle) * middle + np.sin(angle) * side / np.linalg.norm(side)
+        rows += [(len(rows) + i, (centre + rng.normal(size=32) * 0.015).tolist(), 3) for i in range(25)]
+    assert near(spark, rows) == brute.vector_links(rows)
+    assert any(25 > n > 0 or n > 25 for _, n, _, _ in brute.vector_links(rows))
+
+
+def test_repeated_ids_and_widths(spark):
+    same = [1.0, 2.0, 3.0]
+    rows = [(1, same, 0), (1, same, 0), (2, same, 0), (3, [1.0, 2.0], 0), (4, [2.0, 4.0], 0), (5, [1.0, 2.0], 1), (None, same, 0), (6, [], 0)]
+    assert near(spark, rows) == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_other_columns_may_clash(spark):
+    rows = [(i, v, 0, i, 1, 2.0, "x") for i, v, _ in spread_group(6, 0.99, width=8)]
+    own = spark.createDataFrame(rows, EMBEDDINGS + ", id int, n int, x double, centre string")
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(own).collect())) == brute.vector_links([r[:3] for r in rows])
+
+
+def test_working_tables_are_deleted(spark):
+    import glob
+
+    from sheafline.llm import common
+
+    folder = f"{common.shared_dir(spark)}/sheafline/*"
+    before = set(glob.glob(folder))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(spread_group(20, 0.95, width=8), EMBEDDINGS))
+    assert [t.rsplit("/", 1)[1].split("-")[0] for t in set(glob.glob(folder)) - before] == ["result"] and got.count() == 20
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from sheafline.llm import common
+
+    conf = Fake(get=lambda name, other: None)
+    cluster = Fake(sparkContext=Fake(getConf=lambda: conf, master="spark://host:7077", applicationId="a"), conf=conf)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(cluster)
+    told = Fake(get=lambda name, other: "hdfs://shared/tmp/")
+    assert common.shared_dir(Fake(sparkContext=Fake(getConf=lambda: told, master="spark://host:7077"), conf=conf)) == "hdfs://shared/tmp"
 
 
 def test_no_embeddings(spark):
