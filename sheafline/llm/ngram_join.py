@@ -9,24 +9,31 @@ case); two documents link when 100 * shared >= 75 * union.
     Documents with less than three quarters of their set left link with nothing.
 2.  Of each set of equal documents the smallest goes on.  In the order "rarest
     shingles first", linked documents share one of their first few shingles.
-    Each such shingle brings its documents to the group of its smallest one;
-    large groups are cut into blocks, each with that smallest document.
+    Each such shingle brings its documents to the group of its smallest one.
+    Linked sets differ in size by a quarter at most, so a large group is split
+    into overlapping windows of two neighbouring size classes; a window is cut
+    into blocks, each with the window's smallest document.
 3.  In a block, T-occurrence search by DivideSkip finds the partners of the
     smallest document, and then of the documents that are not linked to it,
     directly or not: of the query's inverted lists the longest are set aside,
     the others merged by a heap that skips what cannot reach the threshold, and
     the survivors looked up in the long lists by binary search.
-4.  Where a group has several blocks, the documents not yet linked with its
-    smallest one are sent to search all of its blocks, so no link is lost.
+4.  Where a window has several blocks, the documents not yet linked with its
+    smallest one search all of its blocks, in slices, so no link is lost and no
+    task takes in more than a block and a slice.
 5.  Links become components (``components``).
 
 Shingles that a task sees in ``MANY`` documents return at once, and one mark of
 each goes to the bucket, so frequent shingles make no large bucket.
 
+Shingles are told apart by 48 bits: with D distinct ones in the corpus, a given
+shingle meets another's number with probability D / 2**48 at most, and a link
+is wrong only where such meetings make up for what the overlap lacks.
+
 Null, empty and blank texts have an empty set and are alone.  With one to four
-words the whole sequence is the only shingle.  Rows that repeat an id and its
-text count as one document and give one row; of rows with the same id but other
-texts the sets are pooled.  Rows without an id are left out.
+words the whole sequence is the only shingle.  Rows that repeat an id count as
+one document and give one row: its set is the union of their sets.  Rows
+without an id are left out.
 """
 
 from __future__ import annotations
@@ -41,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_SLICE_BYTES, one_row_per_doc, slices, written
+from .common import HASH_SLICE_BYTES, one_row_per_doc, slices, working_tables, written
 from .components import apart, components
 from .hashing import LOWER, U, gram_hash, mix, prefix_sums, span_hash, text_bytes, word_codes, word_spans
 from .windows import GROUP_DOCS, PACKED, PACKED_ARROW, batch, cut, group_of, replies, runs, uncut
@@ -54,11 +61,11 @@ BUCKET_BYTES = 8 << 20
 TOKEN = U((1 << 48) - 1)
 #: Weight of a merged list against a looked-up one, from the DivideSkip paper.
 MU = 0.0085
-#: From this many list entries on, the short lists are counted in one array.
-DENSE = 20_000
+#: Salts of the two sums that stand for a set.
+SALTS = (U(0x5851F42D4C957F2D), U(0x14057B7EF767814F))
 
-SETS = "doc_id long, n long, set_a long, set_b long, tokens binary"
-FOUND = "a long, b long, owner long, blocks int"
+SETS = "doc_id long, n long, set_a long, set_b long, tokens binary, mixed boolean"
+FOUND = "a long, b long, owner long, win int, blocks int"
 
 
 def least_shared(n: int, m: int) -> int:
@@ -104,7 +111,7 @@ def announce(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
             sums = np.zeros((len(doc_ids), 2), U)
             some = n > 0
             if some.any():
-                for k, salt in enumerate((U(0x5851F42D4C957F2D), U(0x14057B7EF767814F))):
+                for k, salt in enumerate(SALTS):
                     sums[some, k] = np.add.reduceat(mix(value ^ salt), first[some])
             sets = np.concatenate([n.astype(U)[:, None], sums], 1)
             grp = group_of(doc_ids, groups)
@@ -174,41 +181,71 @@ def count(groups: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("tokens", pa.binary())])
+SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("tokens", pa.binary()), ("mixed", pa.bool_())])
 
 
 def assemble(rows: pa.Table) -> pa.Table:
-    """A group's documents with their shared shingles, rarest first, if enough are shared."""
+    """A group's documents with their shared shingles, rarest first, if enough are shared.
+
+    A document that comes in several rows may get a shingle several times.  It is
+    mixed if its rows differ: then size and sums are those of its largest row.
+    """
     kinds = rows.column("kind").to_pylist()
     cols = {c: rows.column(c).to_pylist() for c in ("docs", "a", "b")}
     take = lambda kind, c, t: np.frombuffer(b"".join(x for x, k in zip(cols[c], kinds, strict=True) if k == kind), t)
     doc_ids, sets = take(4, "docs", "<i8"), take(4, "a", "<u8").reshape(-1, 3)
     docs, token, size = take(1, "docs", "<i8"), take(1, "a", "<u8"), take(1, "b", "u1")
+    order = np.lexsort((-size.astype(np.int64), token, docs))
+    new = np.ones(len(order), bool)
+    new[1:] = (docs[order][1:] != docs[order][:-1]) | (token[order][1:] != token[order][:-1])
+    docs, token, size = docs[order][new], token[order][new], size[order][new]
     order = np.lexsort((token, size, docs))
     docs, token = docs[order], token[order]
     out = []
-    keep = np.lexsort((-sets[:, 0].astype(np.int64), doc_ids))
-    last = None
-    for i in keep.tolist():
-        doc = int(doc_ids[i])
-        if doc == last:
-            continue
-        last = doc
-        n = int(sets[i, 0])
-        s, e = np.searchsorted(docs, doc), np.searchsorted(docs, doc, "right")
-        enough = n and e - s >= least_any(n)
-        out.append((doc, n, *sets[i, 1:].astype(U).view(np.int64).tolist(), token[s:e].tobytes() if enough else None))
+    order = np.lexsort((sets[:, 2], sets[:, 1], -sets[:, 0].astype(np.int64), doc_ids))
+    doc_ids, sets = doc_ids[order], sets[order]
+    for doc, s, e in runs(doc_ids):
+        n, mixed = int(sets[s, 0]), bool((sets[s:e] != sets[s]).any())
+        low, high = np.searchsorted(docs, doc), np.searchsorted(docs, doc, "right")
+        enough = n and high - low >= least_any(n)
+        out.append((doc, n, *sets[s, 1:].astype(U).view(np.int64).tolist(), token[low:high].tobytes() if enough else None, mixed))
     return pa.Table.from_batches([batch(SETS_ARROW, out)], SETS_ARROW)
 
 
+def united(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, set_a, set_b`` of the union of each document's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, limit=HASH_SLICE_BYTES):
+            row, value = shingles(part.column("text"))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(x.view(np.int64)) for x in (value, *(mix(value ^ salt) for salt in SALTS)))], names=["doc_id", "value", "a", "b"])
+
+    each = docs.mapInArrow(run, "doc_id long, value long, a long, b long").distinct()
+
+    def wrapped(c: str):
+        low = F.pmod(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(str(1 << 64)).cast("decimal(38,0)"))
+        return F.when(low >= F.lit(str(1 << 63)).cast("decimal(38,0)"), low - F.lit(str(1 << 64)).cast("decimal(38,0)")).otherwise(low).cast("long")
+
+    return each.groupBy("doc_id").agg(F.count("*").alias("u"), wrapped("a").alias("ua"), wrapped("b").alias("ub"))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Steps 1: every document's set size and digest, and its shared shingles."""
+    """Step 1: every document's set size and digest, and its shared shingles."""
     own = one_row_per_doc(docs).where(F.col("doc_id").isNotNull())
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     groups = int(max(1, size["n"] // GROUP_DOCS, size["bytes"] // BUCKET_BYTES)) | 1
-    buckets = int(min(max(8, size["bytes"] // BUCKET_BYTES), 1 << 20))
+    buckets = int(max(8, size["bytes"] // BUCKET_BYTES))
     mail = announce(own, buckets, groups).groupBy("key").applyInArrow(count(groups), PACKED)
-    return mail.groupBy("key").applyInArrow(assemble, SETS)
+    sets = written(mail.groupBy("key").applyInArrow(assemble, SETS), "shingles")
+    mixed = sets.where("mixed").select("doc_id")
+    if not mixed.isEmpty():
+        whole = united(own.join(mixed, "doc_id", "left_semi"))
+        n = F.coalesce("u", "n")
+        enough = F.octet_length("tokens") / 8 >= F.ceil(3 * n / 4)
+        sets = sets.join(whole, "doc_id", "left").select("doc_id", n.alias("n"), F.coalesce("ua", "set_a").alias("set_a"), F.coalesce("ub", "set_b").alias("set_b"), F.when(enough, F.col("tokens")).alias("tokens"), "mixed")
+        sets = written(sets, "shingles")
+    return sets
 
 
 # the search ------------------------------------------------------------------
@@ -269,13 +306,8 @@ def search(query: np.ndarray, n: int, index: InvertedLists, sizes: np.ndarray) -
     aside = min(int(least / (MU * math.log2(longest + 1) + 1)), least - 1)
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
     least_short = least - aside
-    if sum(map(len, short)) > DENSE:
-        counts = np.bincount(np.concatenate(short), minlength=len(sizes))
-        found = [(int(d), int(counts[d])) for d in np.flatnonzero(counts >= least_short)]
-    else:
-        found = merge_skip([x.tolist() for x in short], least_short)
     out = []
-    for d, c in found:
+    for d, c in merge_skip([x.tolist() for x in short], least_short):
         need = least_shared(n, int(sizes[d]))
         rest = len(long)
         for x in reversed(long):
@@ -322,17 +354,19 @@ def search_block(docs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], fi
     return links, np.array([find(i) for i in range(len(docs))])
 
 
-FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("owner", pa.int64()), ("blocks", pa.int32())])
+FOUND_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("owner", pa.int64()), ("win", pa.int32()), ("blocks", pa.int32())])
 
 
 def search_shard(rows: pa.Table) -> pa.Table:
-    """All blocks of a shard: links (a, b), and documents to search on with (a, owner)."""
-    owner, block, blocks = (rows.column(c).to_numpy() for c in ("owner", "block", "blocks"))
+    """All blocks of a shard: links (a, b), and documents to search on with (a, owner, win)."""
+    owner, win, block, part, blocks, heads = (rows.column(c).to_numpy() for c in ("owner", "win", "block", "part", "blocks", "head"))
     docs, sizes, asks = (rows.column(c).to_numpy() for c in ("doc_id", "n", "asks"))
     tokens = rows.column("tokens")
-    order = np.lexsort((docs, block, owner))
-    new = np.ones(len(order), bool)
-    new[1:] = (owner[order][1:] != owner[order][:-1]) | (block[order][1:] != block[order][:-1])
+    # an asking document may be one of the block's own: it counts once, as asking
+    order = np.lexsort((~asks, docs, part, block, win, owner))
+    same = lambda *keys: np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
+    order = order[np.concatenate([[True], ~same(owner, win, block, part, docs)])] if len(order) else order
+    new = np.concatenate([[True], ~same(owner, win, block, part)]) if len(order) else np.zeros(0, bool)
     out = []
     cuts = [*np.flatnonzero(new).tolist(), len(order)]
     for s, e in zip(cuts, cuts[1:], strict=False):
@@ -340,13 +374,13 @@ def search_shard(rows: pa.Table) -> pa.Table:
         if e - s < 2:
             continue
         sets = [np.frombuffer(tokens[k].as_py(), "<u8") for k in i.tolist()]
-        head = int(owner[i[0]])
-        first = int(np.flatnonzero(docs[i] == head)[0]) if (docs[i] == head).any() else 0
+        first = int(np.flatnonzero(docs[i] == heads[i[0]])[0]) if (docs[i] == heads[i[0]]).any() else 0
         queries = np.flatnonzero(asks[i]).tolist()
         links, root = search_block(docs[i], sizes[i], sets, first, queries or None)
-        out += [(int(docs[i[a]]), int(docs[i[b]]), None, None) for a, b in links]
+        out += [(int(docs[i[a]]), int(docs[i[b]]), None, None, None) for a, b in links]
         if blocks[i[0]] > 1 and not queries:
-            out += [(int(docs[k]), None, head, int(blocks[k])) for k, r in zip(i.tolist(), root.tolist(), strict=True) if r != root[first]]
+            group = (int(owner[i[0]]), int(win[i[0]]), int(blocks[i[0]]))
+            out += [(int(docs[k]), None, *group) for k, r in zip(i.tolist(), root.tolist(), strict=True) if r != root[first]]
     return pa.Table.from_batches([batch(FOUND_ARROW, out)], FOUND_ARROW)
 
 
@@ -367,38 +401,61 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "tokens").mapInArrow(run, "token long, doc_id long")
 
 
+def placed_in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``owner, win, head, blocks, block, doc_id`` of the members of each owner's group."""
+    count = members.groupBy("owner").agg(F.count("*").alias("c")).select(apart("owner"), "c")
+    # sets of sizes n <= m link only if 4 n >= 3 m, so their classes differ by one at most
+    grade = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
+    both = F.when(F.col("c") > BLOCK_DOCS, F.array(grade, grade + 1)).otherwise(F.array(F.lit(0)))
+    rows = members.join(count, "owner")
+    small = rows.where(F.col("c") <= BLOCK_DOCS).select("owner", F.lit(0).alias("win"), F.col("owner").alias("head"), F.lit(1).alias("blocks"), F.lit(0).alias("block"), "doc_id")
+    large = rows.where(F.col("c") > BLOCK_DOCS).join(sizes, "doc_id").select("owner", "doc_id", F.explode(both).alias("win"))
+    window = large.groupBy("owner", "win").agg(F.min("doc_id").alias("head"), F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).cast("int").alias("blocks")).select(apart("owner"), "win", "head", "blocks")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    large = large.join(window, ["owner", "win"]).select("owner", "win", "head", "blocks", F.explode(F.when(F.col("head") == F.col("doc_id"), every).otherwise(own)).alias("block"), "doc_id")
+    return small.unionByName(large)
+
+
 def links(sets: DataFrame) -> DataFrame:
     """Steps 2 to 4: ``a, b`` pairs that connect all linked sets (not all pairs)."""
     kept = written(sets, "sets")
     prefix = prefixes(kept)
     owners = prefix.groupBy("token").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").select(apart("token"), "owner")
     members = written(prefix.join(owners, "token").select("owner", "doc_id").distinct(), "members")
-    sizes = members.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).cast("int").alias("blocks")).select(apart("owner"), "blocks")
-    placed = members.join(sizes, "owner")
-    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = placed.select("owner", "doc_id", "blocks", F.explode(F.when(F.col("owner") == F.col("doc_id"), every).otherwise(own)).alias("block"), F.lit(False).alias("asks"))
-    total = members.count()
-    shards = max(8, total // 1000)
+    placed = written(placed_in_blocks(members, kept.select("doc_id", "n")), "placed")
+    total = placed.count()
 
-    def searched(rows: DataFrame) -> DataFrame:
-        full = rows.join(kept.select("doc_id", "n", "tokens"), "doc_id").withColumn("shard", F.pmod(F.xxhash64("owner", "block"), F.lit(shards)))
+    def searched(rows: DataFrame, rows_in_all: int) -> DataFrame:
+        shards = max(8, rows_in_all // BLOCK_DOCS)
+        shard = F.pmod(F.xxhash64("owner", "win", "block", "part"), F.lit(shards))
+        full = rows.join(kept.select("doc_id", "n", "tokens"), "doc_id").withColumn("shard", shard)
         return written(full.groupBy("shard").applyInArrow(search_shard, FOUND), "found")
 
-    found = searched(placed)
+    found = searched(placed.withColumns({"part": F.lit(0), "asks": F.lit(False)}), total)
     pairs = found.where(F.col("b").isNotNull()).select("a", "b")
     left = found.where(F.col("owner").isNotNull())
     if not left.isEmpty():
-        asking = left.select("owner", F.col("a").alias("doc_id"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
-        again = placed.join(left.select("owner").distinct(), "owner", "left_semi")
-        again = again.join(asking.select("owner", "doc_id", "block"), ["owner", "doc_id", "block"], "left_anti").unionByName(asking)
-        pairs = pairs.unionByName(searched(again).where(F.col("b").isNotNull()).select("a", "b"))
+        # askers in slices, each of which meets every block of its window
+        parts = left.groupBy("owner", "win").agg(F.ceil(F.count("*") / F.lit(BLOCK_DOCS)).cast("int").alias("parts"), F.min("blocks").alias("blocks")).select(apart("owner"), "win", "parts", "blocks")
+        part = F.pmod(F.xxhash64("a", F.lit(1)), F.col("parts")).cast("int").alias("part")
+        asking = left.select("owner", "win", F.col("a").alias("doc_id")).distinct().withColumnRenamed("doc_id", "a").join(parts, ["owner", "win"])
+        asking = asking.select("owner", "win", F.lit(None).cast("long").alias("head"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"), part, F.lit(True).alias("asks"))
+        again = placed.join(parts.select("owner", "win", "parts"), ["owner", "win"])
+        again = again.select("owner", "win", "head", "blocks", "block", "doc_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+        both = written(again.unionByName(asking), "asking")
+        pairs = pairs.unionByName(searched(both, both.count()).where(F.col("b").isNotNull()).select("a", "b"))
     return pairs
 
 
 def join(docs: DataFrame) -> DataFrame:
     """Per document: set size and the smallest document reachable by links."""
-    sets = written(shingle_sets(docs), "shingles")
+    with working_tables(docs.sparkSession) as keep:
+        return keep(written(joined(docs), "classes"))
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    sets = shingle_sets(docs)
     full = sets.where("n > 0")
     same = full.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("head"), F.count("*").alias("c"))
     heads = same.select(F.col("head").alias("doc_id"))

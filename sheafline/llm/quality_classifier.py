@@ -11,7 +11,8 @@ a logistic curve that is fit on labelled documents the CRF was not trained on.
 
 Labels are learnt only from rows whose ``crc32(doc_id) mod 3`` is not 1 and from
 at most ``SAMPLE`` labelled documents of each class, chosen by a hash of their
-id, without very long ones (``toxicity.TRAIN_CHARS``).  Null, empty and blank texts have no line and get the curve's value for a
+id, without very long ones (``toxicity.TRAIN_CHARS``, ``TRAIN_TOTAL``) and up to
+``TRAIN_LINES`` lines in all, the documents with fewest lines first.  Null, empty and blank texts have no line and get the curve's value for a
 marginal of one half.  Scores depend on the text alone.  Lines over ``PIECE``
 characters are scored in pieces of that length, so that a text without line
 ends is labelled along its length too; nothing is cut off.
@@ -34,6 +35,8 @@ SAMPLE = {1: 2500, 0: 1500}
 CUTOFF = 0.5
 PIECE = 2000
 STEPS = 150
+#: Lines of all documents that the field is fit on, and (padded) of a batch of them.
+TRAIN_LINES, BATCH_LINES = 400_000, 100_000
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 SYMBOLS = b"#*$%&|<>"
@@ -145,14 +148,20 @@ class LineCrf:
 
 
 def train_crf(texts: list[str], y: np.ndarray) -> LineCrf:
-    docs = [(features(x), int(k)) for t, k in zip(texts, y, strict=True) if (x := lines_of(t))]
-    docs.sort(key=lambda d: len(d[0]))
+    split = [(x, int(k)) for t, k in zip(texts, y, strict=True) if (x := lines_of(t))]
+    split.sort(key=lambda d: len(d[0]))
+    upto = np.cumsum([len(x) for x, _ in split]) <= TRAIN_LINES
+    docs = [(features(x), k) for (x, k), ok in zip(split, upto.tolist(), strict=True) if ok or not upto.any()]
     scale = np.maximum(np.abs(np.concatenate([d[0] for d in docs])).max(0), 1e-6)
     weight = {k: len(docs) / (2 * max(1, sum(d[1] == k for d in docs))) for k in (0, 1)}
     batches = []
-    for at in range(0, len(docs), 256):
-        part = docs[at : at + 256]
-        t = max(len(d[0]) for d in part)
+    at = 0
+    while at < len(docs):  # sorted by length, so the last one of a batch is its longest
+        end = at + 1
+        while end < len(docs) and end - at < 256 and (end + 1 - at) * len(docs[end][0]) <= BATCH_LINES:
+            end += 1
+        part, at = docs[at:end], end
+        t = len(part[-1][0])
         x = np.zeros((len(part), t, 3 * N_SHAPE))
         mask = np.zeros((len(part), t), bool)
         for i, (f, _) in enumerate(part):

@@ -3,19 +3,21 @@
 Two fixed base rules fail a document outright.  Beside them, four rules compare
 a ratio with a cutoff that is *learned*: within each stratum (a language with
 enough labelled rows; the others are pooled) the documents labelled good form a
-holdout, and a cutoff may be used only if an exact (Clopper-Pearson) upper bound
-on the share of good documents it rejects stays below ``RISK``.  The error
-probability ``DELTA`` is divided by the number of (stratum, rule) pairs
-(Bonferroni); within a pair the candidate cutoffs are tested in a fixed order,
-from the most lenient on, stopping at the first that fails, which needs no
-further correction.  Of the certified cutoffs the most lenient one that rejects
-the most documents labelled bad is kept; a rule that catches no bad document is
-left off, so good documents are not spent for nothing.
+holdout, and each candidate cutoff gets an exact (Clopper-Pearson) upper bound
+on the share of good documents it rejects.  The error probability ``DELTA`` is
+divided by the number of candidates of all strata and rules (Bonferroni), so all
+bounds hold at once whatever is chosen by them.  Rules are added, those that
+catch most documents labelled bad first, each with the most lenient cutoff that
+catches most of them, while the bounds of a stratum add up to ``RISK`` at most:
+all its learned rules together reject no larger share of its good documents.  A
+rule that catches no bad document is left off, so good documents are not spent
+for nothing.
 
 Counting is a Spark aggregation over all labelled rows; the driver sees only one
 row of counts per stratum and label.  Null texts have no words and fail the
 base rule, as do all texts under 50 words.  Of repeated labels for a document
-the lowest is used.  Documents without a label are judged like any other.
+the lowest is used, and rows that repeat an id are one trial (the least by its
+measures).  Documents without a label are judged like any other.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from .common import slices, written
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 MIN_WORDS = 50
-#: The largest share of good documents that one rule may reject in a stratum.
-RISK = 0.01
+#: The largest share of good documents that the learned rules may reject in a stratum.
+RISK = 0.02
 #: The probability that any certified bound is wrong.
 DELTA = 0.05
 #: A stratum of its own needs this many good and labelled documents.
@@ -169,21 +171,36 @@ def exceeds(rule, cutoff: float):
     return F.col(top) > F.lit(cutoff) * F.col(bottom)
 
 
-def choose(good: int, good_over: list[int], bad_over: list[int], grid: list[float], delta: float, risk: float) -> float | None:
-    """The cutoff to use from counts over each candidate, lenient first."""
+def choose(good: int, good_over: list[int], bad_over: list[int], grid: list[float], delta: float, risk: float) -> tuple[float, float, int] | None:
+    """The cutoff to use from counts over each candidate, lenient first: (cutoff, its bound, bad documents caught)."""
     certified = []
     for cutoff, k, caught in zip(grid, good_over, bad_over, strict=True):
-        if not good or upper_bound(k, good, delta) > risk:
+        if not good or (bound := upper_bound(k, good, delta)) > risk:
             break
-        certified.append((caught, cutoff))
-    most = max((c for c, _ in certified), default=0)
-    return next((cutoff for caught, cutoff in certified if caught == most), None) if most else None
+        certified.append((cutoff, bound, caught))
+    most = max((c[2] for c in certified), default=0)
+    return next((c for c in certified if c[2] == most), None) if most else None
+
+
+def choose_all(good: int, over: dict[str, tuple[list[int], list[int]]], delta: float, risk: float) -> dict[str, float | None]:
+    """A stratum's cutoffs by rule: bounds add up to ``risk`` at most."""
+    out: dict[str, float | None] = {name: None for name, *_ in RULES}
+    left = risk
+    while True:
+        found = {name: choose(good, *over[name], grid, delta, left) for name, _, _, grid in RULES if out[name] is None}
+        found = {name: c for name, c in found.items() if c}
+        if not found:
+            return out
+        name = max(found, key=lambda n: found[n][2])
+        out[name], left = found[name][0], left - found[name][1]
 
 
 def calibrate(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float | None]]:
     """Cutoffs by stratum and rule; ``"*"`` is the pool of the small strata."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = features.where(~base_failed()).join(own, "doc_id")
+    trials = features.where(F.col("doc_id").isNotNull()).join(own, "doc_id")
+    fields = [c for c in features.columns if c != "doc_id"]
+    held = trials.groupBy("doc_id", "quality").agg(F.min(F.struct(*fields)).alias("f")).select("doc_id", "quality", "f.*").where(~base_failed())
     good = F.count_if(F.col("quality") == 1)
     sizes = held.groupBy("stratum").agg(good.alias("good")).where(F.col("good") >= MIN_STRATUM).orderBy(F.desc("good"), "stratum").limit(MAX_STRATA)
     strata = [r["stratum"] for r in sizes.collect()]
@@ -191,14 +208,13 @@ def calibrate(features: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     over = [F.count_if(exceeds(rule, c)).alias(f"{rule[0]}_{k}") for rule in RULES for k, c in enumerate(rule[3])]
     rows = held.groupBy(pooled.alias("pool"), "quality").agg(F.count("*").alias("n"), *over).collect()  # a few strata, two labels
     counts = {(r["pool"], r["quality"]): r for r in rows}
-    each = delta / (len(RULES) * (len(strata) + 1))
+    each = delta / (sum(len(grid) for *_, grid in RULES) * (len(strata) + 1))
     out: dict[str, dict[str, float | None]] = {}
     for pool in (*strata, "*"):
         g, b = counts.get((pool, 1)), counts.get((pool, 0))
-        out[pool] = {}
-        for name, _, _, grid in RULES:
-            of = lambda row: [row[f"{name}_{k}"] if row else 0 for k in range(len(grid))]  # noqa: E731, B023
-            out[pool][name] = choose(g["n"] if g else 0, of(g), of(b), grid, each, risk)
+        of = lambda row, name, grid: [row[f"{name}_{k}"] if row else 0 for k in range(len(grid))]
+        over = {name: (of(g, name, grid), of(b, name, grid)) for name, _, _, grid in RULES}
+        out[pool] = choose_all(g["n"] if g else 0, over, each, risk)
     return out
 
 

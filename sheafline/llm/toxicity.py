@@ -18,8 +18,10 @@ scoring tasks get one number per subword bucket: a broadcast of fixed size.
 
 Labels are learnt only from rows whose ``crc32(doc_id) mod 4`` is not 2 and from
 at most ``SAMPLE`` labelled documents of each class, chosen by a hash of their
-id, without those over ``TRAIN_CHARS``.  Null and empty texts have no segment and get the curve's value for no
-evidence.  Scores depend on the text alone, so repeated rows score alike.
+id, without those over ``TRAIN_CHARS`` and up to ``TRAIN_TOTAL`` characters a
+class; of rows that repeat an id the least text counts.  Null and empty texts
+have no segment and score 0.  Scores depend on the text alone, so repeated rows
+score alike.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_mod, kept_rows, one_row_per_doc, py_id_mod, slices
@@ -44,6 +46,8 @@ SEGMENT = 12
 SAMPLE = {1: 2500, 0: 4000}
 #: Longest text, in characters, of a document used in training; longer ones are left out of the sample.
 TRAIN_CHARS = 48_000
+#: Characters of all texts of a class used in training.
+TRAIN_TOTAL = 24_000_000
 EPOCHS = 6
 CUTOFF = 0.3
 CACHE_WORDS = 200_000
@@ -216,8 +220,10 @@ def sampled(docs: DataFrame, labels: DataFrame, column: str, modulus: tuple[int,
         part = own.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
         one = part if one is None else one.unionByName(part)
     texts = one_row_per_doc(docs).where(F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    chosen = texts.join(F.broadcast(one.select("doc_id", "y")), "doc_id").dropDuplicates(["doc_id"])  # at most sum(sample) rows
-    return sorted((r["doc_id"], r["text"], r["y"]) for r in chosen.collect())
+    chosen = texts.join(F.broadcast(one.select("doc_id", "y", "h")), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))  # at most sum(sample) rows
+    so_far = F.sum(F.length("text").cast("long")).over(Window.partitionBy("y").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= TRAIN_TOTAL)
+    return sorted((r["doc_id"], r["text"], r["y"]) for r in bounded.select("doc_id", "text", "y").collect())
 
 
 #: With fewer labelled documents than this, all of them serve the embeddings and the curve, in turns.

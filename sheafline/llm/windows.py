@@ -363,8 +363,8 @@ def remove_repeats(docs: DataFrame, units: Units, resolver: Resolver, finisher:
     own = one_row_per_doc(docs).where(F.col("doc_id").isNotNull())
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     groups = int(max(1, size["n"] // GROUP_DOCS, size["bytes"] // GROUP_BYTES)) | 1
-    buckets = int(min(max(8, size["bytes"] // BUCKET_BYTES), 1 << 20))
-    shards = int(min(max(8, size["bytes"] // SHARD_BYTES), 1 << 20))
+    buckets = int(max(8, size["bytes"] // BUCKET_BYTES))
+    shards = int(max(8, size["bytes"] // SHARD_BYTES))
     full = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
         *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(other_columns(docs) if carried else [])),

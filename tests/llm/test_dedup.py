@@ -97,13 +97,31 @@ def test_jaccard_in_several_blocks(spark, monkeypatch):
     base = [f"w{i}" for i in range(60)]
     docs = []
     for i in range(60):
-        w = list(base)
+        w = list(base) + [f"t{j}" for j in range(i % 7 * 6)]
         for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
             w[rng.randrange(60)] = f"v{rng.randrange(9)}"
         docs.append((i, " ".join(w)))
     assert sorted(map(tuple, ngram_join.join(frame(spark, docs)).collect())) == brute.jaccard_components(docs)
 
 
+def test_jaccard_of_frequent_shingles_in_repeated_rows(spark):
+    rng = random.Random(8)
+    shared, line = [f"s{i}" for i in range(54)], [f"l{i}" for i in range(90)]
+    docs = []
+    for i in range(200):
+        own = [f"d{i}x{j}" for j in range(54)]
+        docs.append((i, " ".join(shared + own if i % 2 else line + own[: rng.randrange(4, 40)])))
+    rows = frame(spark, docs).repartition(3).unionByName(frame(spark, docs).repartition(4))
+    assert sorted(map(tuple, ngram_join.join(rows).collect())) == brute.jaccard_components(docs)
+
+
+def test_rows_of_one_id_make_one_set(spark):
+    line = "a b c d e f g h i j"
+    docs = [(1, line), (1, "k l m n o p q"), (2, line + " x y"), (3, "k l m n o p q"), (3, line), (4, None), (4, "k l"), (5, "")]
+    got = sorted(map(tuple, ngram_join.join(frame(spark, docs).repartition(3)).collect()))
+    assert got == [(1, 9, 1), (2, 8, 2), (3, 9, 1), (4, 1, 4), (5, 0, 5)]
+
+
 def test_kept_documents(spark, docs):
     rows = frame(spark, docs)
     first = {d for d, _, c in brute.jaccard_components(docs) if d == c}

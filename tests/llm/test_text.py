@@ -141,11 +141,29 @@ def test_binomial_bound():
 
 def test_cutoffs_are_certified():
     grid = [4.0, 3.0, 2.0, 1.0]
-    assert quality_rules.choose(2000, [0, 0, 1, 400], [0, 5, 5, 90], grid, 0.01, 0.01) == 3.0
+    assert quality_rules.choose(2000, [0, 0, 1, 400], [0, 5, 5, 90], grid, 0.01, 0.01)[0] == 3.0
     assert quality_rules.choose(2000, [0, 0, 0, 0], [0, 0, 0, 0], grid, 0.01, 0.01) is None
     assert quality_rules.choose(0, [0] * 4, [9] * 4, grid, 0.01, 0.01) is None
 
 
+def test_the_rules_of_a_stratum_share_its_risk():
+    rules = quality_rules.RULES
+    zeros = lambda grid: [0] * len(grid)
+    over = {name: (zeros(grid), [k + 1 for k, _ in enumerate(grid)]) for name, _, _, grid in rules}
+    bound = quality_rules.upper_bound(0, 5000, 1e-4)
+    chosen = quality_rules.choose_all(5000, over, 1e-4, 2.5 * bound)
+    assert sum(c is not None for c in chosen.values()) == 2  # the third would go over the risk
+    assert quality_rules.choose_all(0, over, 1e-4, 0.02) == {name: None for name, *_ in rules}
+
+
+def test_repeated_documents_are_one_trial(spark):
+    bad = [(i, " ".join(f"w{k}####" for k in range(60)), "en") for i in range(40)]
+    good = [(1000, " ".join(f"word{k}" for k in range(60)), "en")] * 700
+    docs = spark.createDataFrame(bad + good, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)] + [(1000, 1)], "doc_id long, quality int")
+    assert quality_rules.judge(docs, labels).where("kept").count() == 740  # one good document certifies nothing
+
+
 def test_rules_query(spark):
     good = " ".join(f"word{i}" for i in range(60))
     rows = [(i, f"{good} {i}", "en", "x") for i in range(600)] + [(1000 + i, " ".join(f"w{k}#### $$$$" for k in range(60 + i)), "en", None) for i in range(40)]
@@ -183,6 +201,117 @@ def test_html(spark):
         assert got[i]["n_chars"] == len(want) and got[i]["url"] == f"u{i}"
 
 
+def made_page(rng, declared):
+    """A page, and its lines as (text, tags, region, may be content), from known parts."""
+    tags = declared and "article" or "div"
+    html, lines, pending, region = "<body>", [], 1, 0
+
+    def part(opening, closing, items, may):
+        nonlocal html, pending, region
+        region += 1
+        html += opening
+        pending += 1
+        for i, (before, text, after) in enumerate(items):
+            html += before + text + after
+            lines.append((text, pending + before.count("<") + after.count("<"), region, may))
+            pending = 0
+        html += closing
+        pending += 1
+
+    words = lambda n: " ".join(rng.choice(["stone", "river", "of", "garden"]) for _ in range(n))
+    for i in range(rng.randrange(1, 6)):
+        kind = "text" if declared and not i else rng.choice(["menu", "text", "nav"])
+        if kind == "text":
+            part(f"<{tags}>", f"</{tags}>", [("<p>", words(rng.choice([2, 9, 60])), "</p>") for _ in range(rng.randrange(1, 6))], True)
+        elif kind == "menu":
+            part("<div>", "</div>", [("<li><a><b>", words(1), "</b></a></li>") for _ in range(rng.randrange(1, 6))], not declared)
+        else:
+            part("<nav>", "</nav>", [("<p>", words(rng.choice([1, 40])), "</p>") for _ in range(rng.randrange(1, 4))], False)
+    return html + "</body>", lines
+
+
+def plain_extraction(lines, sigma):
+    """The dealt method, stated step by step."""
+    import math
+
+    values = [math.log(1 + len(t) / n) if may else 0.0 for t, n, _, may in lines]
+    if sigma:
+        reach = round(3 * sigma)
+        smooth = []
+        for i in range(len(values)):
+            near = [(math.exp(-((j - i) ** 2) / (2 * sigma**2)), values[j]) for j in range(max(0, i - reach), min(len(values), i + reach + 1))]
+            smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
+        values = smooth
+    low, high = min(values), max(values)
+    for _ in range(20):
+        middle = (low + high) / 2
+        a, b = [v for v in values if v < middle], [v for v in values if v >= middle]
+        if not a or not b:
+            break
+        low, high = sum(a) / len(a), sum(b) / len(b)
+    cut = (low + high) / 2 if low < high else low
+    kept = set()
+    totals = {}
+    for (t, _, r, may), v in zip(lines, values):
+        if may:
+            total = totals.setdefault(r, [0, 0])
+            total[0] += len(t)
+            total[1] += len(t) * (v >= cut - 1e-12)
+    kept = {r for r, (n, over) in totals.items() if 2 * over >= n} or ({max(totals, key=lambda r: (totals[r][1], totals[r][0], -r))} if totals else set())
+    return "\n".join(t for t, _, r, may in lines if may and r in kept)
+
+
+@pytest.mark.parametrize("declared", [False, True])
+def test_regions_are_selected_by_clustering(declared):
+    rng = random.Random(3)
+    pages = [made_page(rng, declared) for _ in range(400)]
+    same = everything = unsmoothed = 0
+    for html, lines in pages:
+        want = plain_extraction(lines, html_extract.SIGMA)
+        same += html_extract.main_text(html) == want
+        everything += "\n".join(t for t, _, _, may in lines if may) != want
+        unsmoothed += html_extract.main_text(html, 0) != want
+        assert html_extract.main_text(html, 0) == plain_extraction(lines, 0)
+    assert same == len(pages)
+    assert everything > 40 and unsmoothed > 10  # clustering and smoothing decide, also on pages that declare content
+
+
+def test_given_pages_need_the_clustering():
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    bare = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in pages]
+    found = [html_extract.main_text(h) for h in pages]
+    # without the declared element the regions are told by their ratios alone
+    assert sum(html_extract.main_text(h) == t for h, t in zip(bare, found, strict=True)) >= 0.97 * len(pages)
+
+
+def test_names_inside_an_article_do_not_cut_it():
+    body = "<p>" + "word " * 40 + "</p>"
+    inner = '<header class="entry-header"><h1 class="section-header">T</h1></header><div id="search-results"><p>a</p></div><p class="share-price">b</p><p class="related-work">c</p><p>d <span class="ad">x</span> e</p>'
+    out = '<div class="notice">n</div><div class="comment-list"><p>r</p></div><section id="comments"><article><p>s</p></article></section><aside><article>t</article></aside>'
+    html = f'<nav><ul><li>m<div class="comments"><article><p>u</p></article></div></ul><article>{inner}{body}{out}</article><aside><article><p>v</p></article></aside>'
+    assert html_extract.main_text(html).split("\n") == ["T", "a", "b", "c", "d e", ("word " * 40).strip()]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for html in ("<b>" * 60_000 + "</i>" * 60_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<article>" + "<p>a<i>" * 60_000 + "</b>" * 60_000, "word " * 400_000):
+        html_extract.main_text(html)
+    assert time.perf_counter() - began < 20
+    assert html_extract.main_text("word " * 400_000) == ("word " * 400_000).strip()
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, text int, n_chars string, lines int"
+    rows = [(1, "u", "<article>a</article>", 1, "x", 2), (1, "u", "<article>a</article>", 1, "x", 2), (None, None, None, None, None, None), (2, None, "", 0, "", 0)]
+    got = html_extract.extract(spark.createDataFrame(rows, schema).repartition(3))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "u", "a", 1)] * 2 + [(None, None, "", 0), (2, None, "", 0)]))
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<article>", "</article>", "<h1>", "text ", "&lt;", "<br>", "<!--", "-->", "<script>", "</script>", "<", ">", "\x00"]), max_size=20))
 def test_broken_html_never_fails(parts):
