@@ -63,3 +63,15 @@ def column_number(name: Column) -> Column:
     """Number of column letters."""
     chars = F.split(F.upper(name), "")
     return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c == "", a).otherwise(26 * a + F.ascii(c) - 64))
+
+
+def address_parts(c: Column) -> Column:
+    """``pinned_column, column, pinned_row, row`` of an A1 address; null for any other text."""
+    bare = F.replace(c, F.lit("$"), F.lit(""))
+    name = F.regexp_extract(bare, "^[A-Za-z]+", 0)
+    number = F.substr(bare, F.length(name) + 1)
+    pinned_column, pinned_row = F.startswith(c, F.lit("$")), F.contains(F.substr(c, F.lit(2)), F.lit("$"))
+    mark = lambda pinned: F.when(pinned, "$").otherwise("")
+    shaped = F.length(name).between(1, 3) & number.rlike("^[1-9][0-9]{0,6}$") & (F.concat(mark(pinned_column), name, mark(pinned_row), number) == c)
+    parts = F.struct(pinned_column.alias("pinned_column"), column_number(name).alias("column"), pinned_row.alias("pinned_row"), F.try_to_number(number, F.lit("9999999")).cast("long").alias("row"))
+    return F.when(shaped, parts)

@@ -1,5 +1,7 @@
 """Formula text: moving relative references, renaming sheets.
 
+A formula is cut into tokens: strings, quoted sheet names, words (names, numbers,
+addresses, with the sheet and the bang before them) and single characters.
 Formulas are not evaluated cell by cell here; their aggregates over ranges are
 joins (``operators.sheet.range_functions``).
 """
@@ -9,27 +11,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheafline.functions.coordinates import MAX_COLUMNS, MAX_ROWS, column_number, letters_column
+from sheafline.functions.coordinates import MAX_COLUMNS, MAX_ROWS, address_parts, letters_column
 
-REFERENCE = r"((?:'(?:[^']|'')+'|[A-Za-z_][A-Za-z0-9_.]*)!)?(\$?)([A-Za-z]{1,3})(\$?)([1-9][0-9]*)"
-PIECES = rf'(?s)("(?:[^"]|"")*"|{REFERENCE}|[A-Za-z0-9_.]+|.)'
+#: A string, a quoted sheet name with its bang, a word, anything else.
+TOKEN = """(?s)("(?:""|[^"])*"?|'(?:''|[^'])*'!?|[$.!\\w]+|.)"""
+
+
+def tokens(formula: Column) -> Column:
+    return F.regexp_extract_all(formula, F.lit(TOKEN), F.lit(1))
 
 
 def shifted(formula: Column, rows: int, columns: int) -> Column:
-    """The formula as it reads ``rows`` down and ``columns`` right; ``$`` pins, strings stay."""
-    whole = F.concat(F.lit("^"), F.lit(REFERENCE), F.lit("$"))
+    """The formula as it reads ``rows`` down and ``columns`` right; ``$`` pins, strings stay.
 
-    def part(piece: Column, k: int) -> Column:
-        return F.regexp_extract(piece, f"^{REFERENCE}$", k)
+    A reference that leaves the sheet becomes an error value.  A function whose name
+    reads like an address (``LOG10``) moves like one.
+    """
 
-    def move(piece: Column) -> Column:
-        column = column_number(part(piece, 3)) + F.when(part(piece, 2) == "", columns).otherwise(0)
-        row = part(piece, 5).cast("long") + F.when(part(piece, 4) == "", rows).otherwise(0)
-        inside = column.between(1, MAX_COLUMNS) & row.between(1, MAX_ROWS)
-        return F.when(inside, F.concat(part(piece, 1), part(piece, 2), letters_column(column), part(piece, 4), row.cast("string"))).otherwise("#REF!")
+    def moved(token: Column) -> Column:
+        address = F.substring_index(token, "!", -1)
+        sheet = F.substr(token, F.lit(1), F.length(token) - F.length(address))
+        at = address_parts(address)
+        column = at["column"] + F.when(at["pinned_column"], 0).otherwise(columns)
+        row = at["row"] + F.when(at["pinned_row"], 0).otherwise(rows)
+        text = F.concat(sheet, F.when(at["pinned_column"], "$").otherwise(""), letters_column(column), F.when(at["pinned_row"], "$").otherwise(""), row.cast("string"))
+        on_sheet = column.between(1, MAX_COLUMNS) & row.between(1, MAX_ROWS)
+        return F.when(at.isNull(), token).when(on_sheet, text).otherwise("#REF!")
 
-    pieces = F.regexp_extract_all(formula, F.lit(PIECES), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(F.regexp_like(p, whole), move(p)).otherwise(p)), "")
+    return F.array_join(F.transform(tokens(formula), moved), "")
 
 
 def quoted_sheet(name: str) -> str:
@@ -38,7 +47,13 @@ def quoted_sheet(name: str) -> str:
 
 def renamed_sheet(formula: Column, old: str, new: str) -> Column:
     """References to one sheet, quoted or not, under its new name; strings stay."""
-    prefix = f"{old}!" if old.replace("_", "a").isalnum() else None
-    pieces = F.regexp_extract_all(formula, F.lit(r"""(?s)("(?:[^"]|"")*"|'(?:[^']|'')+'!|[A-Za-z_][A-Za-z0-9_.]*!|[A-Za-z0-9_.]+|.)"""), F.lit(1))
-    names = [quoted_sheet(old).lower() + "!"] + ([prefix.lower()] if prefix else [])
-    return F.array_join(F.transform(pieces, lambda p: F.when(F.lower(p).isin(names), F.lit(quoted_sheet(new) + "!")).otherwise(p)), "")
+    quoted, bare = quoted_sheet(old).lower() + "!", old.lower() + "!"
+    plain = old.replace("_", "a").isalnum()
+
+    def renamed(token: Column) -> Column:
+        address = F.substring_index(token, "!", -1)
+        sheet = F.lower(F.substr(token, F.lit(1), F.length(token) - F.length(address)))
+        hit = (F.lower(token) == quoted) | ((sheet == bare) if plain else F.lit(False))
+        return F.when(hit, F.concat(F.lit(quoted_sheet(new) + "!"), address)).otherwise(token)
+
+    return F.array_join(F.transform(tokens(formula), renamed), "")

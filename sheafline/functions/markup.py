@@ -62,8 +62,10 @@ def table_line(*cells: Column) -> Column:
 
 
 def decoded_component(c: Column) -> Column:
-    """Per cent escapes decoded; plus signs stay, and so does text that does not decode."""
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    """Per cent escapes decoded run by run; plus signs stay, and so does a run that does not decode."""
+    pieces = F.regexp_extract_all(c, F.lit("((?:%[0-9A-Fa-f]{2})+|[^%]+|%)"), F.lit(1))
+    plain = lambda p: F.coalesce(F.try_validate_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string")), p)
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}"), plain(p)).otherwise(p)), "")
 
 
 #: Media types of embedded pictures by extension.
@@ -94,3 +96,74 @@ def duration_clock(c: Column) -> Column:
     total = part(2) * 86400 + part(3) * 3600 + part(4) * 60 + part(5)
     clock = F.format_string("%s%02d:%02d:%02d", F.regexp_extract(c, shape, 1), F.floor(total / 3600).cast("long"), F.floor(F.pmod(total, F.lit(3600)) / 60).cast("long"), F.pmod(total, F.lit(60)))
     return F.when(c.rlike(shape) & c.rlike(r"\d"), clock).otherwise(c)
+
+
+def escaped_text(c: Column) -> Column:
+    """Text that Markdown shows as it is: paired marks, brackets and what a line may start with are escaped."""
+    c = F.regexp_replace(c, r"([\\`*_\[\]<>~|])", r"\\$1")
+    c = F.regexp_replace(c, r"&(?=#?[0-9A-Za-z]+;)", r"\\&")
+    c = F.regexp_replace(c, r"(?m)^(\s*)([-+](?=\s)|#{1,6}(?=\s|$)|=+\s*$)", r"$1\\$2")
+    return F.regexp_replace(c, r"(?m)^(\s*[0-9]{1,9})([.)])(?=\s|$)", r"$1\\$2")
+
+
+def code_span(c: Column) -> Column:
+    """Inline code, in a fence longer than any run of backticks in it; padded where it starts or ends with one."""
+    runs = F.transform(F.regexp_extract_all(c, F.lit("(`+)"), F.lit(1)), F.length)
+    fence = F.repeat(F.lit("`"), F.coalesce(F.array_max(runs), F.lit(0)) + 1)
+    pad = F.when(c.rlike("^`|`$"), " ").otherwise("")
+    return F.concat(fence, pad, c, pad, fence)
+
+
+def format_parts(pattern: str) -> tuple[list[str], str]:
+    """A number format's sections without directives and literals, and the literal text after the first one's digits."""
+    sections, bare, tail, i, quoted = [], "", "", 0, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == '"':
+            quoted = not quoted
+        elif quoted or ch == "\\":
+            text = ch if quoted else pattern[i + 1 : i + 2]
+            tail += text if not sections else ""
+            i += ch == "\\" and not quoted
+        elif ch in "_*":
+            i += 1  # the next character only sets a width or fills
+        elif ch == "[":
+            i = max(i, pattern.find("]", i))
+        elif ch == ";":
+            sections.append(bare)
+            bare = ""
+        else:
+            bare += ch
+        i += 1
+    return [*sections, bare], tail
+
+
+def formatted(value: Column, pattern: str) -> Column:
+    """A number under a format string: sections, decimals, thousands, per cent, accounting parentheses, dates.
+
+    ``General``, an empty format and ``@`` show the number's own text.
+    """
+    from sheafline.functions.text import serial_to_date
+    from sheafline.functions.values import number_text
+
+    if pattern.strip().lower() in ("", "general", "@"):
+        return number_text(value)
+    sections, tail = format_parts(pattern)
+    first = sections[0]
+    if any(ch in "dy" for ch in first.lower()) and not any(ch in first for ch in "0#"):
+        shape = first.lower().replace("yyyy", "{y}").replace("yy", "{s}").replace("mmm", "{b}").replace("mm", "{m}").replace("dd", "{d}").replace("m", "{n}").replace("d", "{e}")
+        java = {"y": "yyyy", "s": "yy", "b": "MMM", "m": "MM", "d": "dd", "n": "M", "e": "d"}
+        return F.date_format(serial_to_date(value), shape.format(**java))
+
+    def shown(section: str, number: Column) -> Column:
+        decimals = sum(ch in "0#" for ch in section.partition(".")[2])
+        scaled = F.abs(number * 100 if "%" in section else number)
+        digits = F.format_number(scaled, decimals)
+        digits = digits if "," in section else F.replace(digits, F.lit(","), F.lit(""))
+        body = F.concat(digits, F.lit("%" if "%" in section else ""), F.lit(tail))
+        return F.concat(F.lit("("), body, F.lit(")")) if "(" in section else body
+
+    positive = shown(first, value)
+    negative = shown(sections[1], value) if len(sections) > 1 else F.concat(F.lit("-"), positive)
+    zero = shown(sections[2], value) if len(sections) > 2 else positive
+    return F.when(value < 0, negative).when(value == 0, zero).otherwise(positive)

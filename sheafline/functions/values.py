@@ -2,11 +2,14 @@
 
 A blank is a null or an empty string.  Comparison is total: two numbers compare
 as numbers, everything else as text, by natural order (digit runs as numbers)
-without regard to case and accents.  Nothing here ever yields a null.
+without regard to case and accents.  A test may be null where a blank fails it,
+so that scans can prune by it; ``table.condition`` takes null for false.
 """
 
 from __future__ import annotations
 
+import operator as op
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +56,25 @@ def text(column: Column, kind: T.DataType) -> Column:
 
 
 def natural_key(column: Column) -> Column:
-    """Text whose collated order takes digit runs (of up to 20 digits) as numbers."""
+    """Text whose collated order takes digit runs as numbers, however long.
+
+    A run is led by its number of digits, and that by its own number of digits.
+    """
     pieces = F.regexp_extract_all(F.lower(column), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(F.ltrim(p, F.lit("0")), 20, "0")).otherwise(p))
-    return F.collate(F.array_join(padded, ""), LOOSE)
+
+    def sortable(piece: Column) -> Column:
+        digits = F.ltrim(piece, F.lit("0"))
+        size = F.length(digits).cast("string")
+        return F.when(piece.rlike("^[0-9]"), F.concat(F.length(size).cast("string"), size, digits)).otherwise(piece)
+
+    return F.collate(F.array_join(F.transform(pieces, sortable), ""), LOOSE)
+
+
+COMPARISONS = {
+    "equals": op.eq, "not-equals": op.ne, "greater-than": op.gt, "greater-than-or-equal": op.ge, "less-than": op.lt, "less-than-or-equal": op.le,
+}
+#: Of the comparisons with a value that is not blank, those that a blank meets.
+BLANK_PASSES = ("not-equals", "less-than", "less-than-or-equal")
 
 
 def compare(column: Column, kind: T.DataType, operator: str, value: object) -> Column:
@@ -66,29 +84,20 @@ def compare(column: Column, kind: T.DataType, operator: str, value: object) -> C
     if operator == "is-not-blank":
         return ~blank(column, kind)
     if operator in ("contains", "starts-with", "ends-with"):
-        have, want = F.lower(text(column, kind)), F.lit(literal_text(value).lower())
+        want = F.lit(literal_text(value).lower())
+        # no blank contains a text that is not empty
+        have = F.lower(column if isinstance(kind, T.StringType) and literal_text(value) else text(column, kind))
         return {"contains": F.contains, "starts-with": F.startswith, "ends-with": F.endswith}[operator](have, want)
     if is_number(kind) and isinstance(value, (int, float)) and not isinstance(value, bool):
         # a blank is before every number's text
-        want = F.lit(value)
-        test, if_blank = {
-            "equals": (column == want, False),
-            "not-equals": (column != want, True),
-            "greater-than": (column > want, False),
-            "greater-than-or-equal": (column >= want, False),
-            "less-than": (column < want, True),
-            "less-than-or-equal": (column <= want, True),
-        }[operator]
-        return F.coalesce(test, F.lit(if_blank))
-    have, want = natural_key(text(column, kind)), natural_key(F.lit(literal_text(value)))
-    return {
-        "equals": have == want,
-        "not-equals": have != want,
-        "greater-than": have > want,
-        "greater-than-or-equal": have >= want,
-        "less-than": have < want,
-        "less-than-or-equal": have <= want,
-    }[operator]
+        test = COMPARISONS[operator](column, F.lit(value))
+        return test | column.isNull() if operator in BLANK_PASSES else test
+    wanted = literal_text(value)
+    if isinstance(kind, T.StringType) and wanted and not any(c.isdigit() for c in wanted):
+        # digit runs keep their place among other characters, so the text itself compares
+        test = COMPARISONS[operator](F.collate(column, LOOSE), F.collate(F.lit(wanted), LOOSE))
+        return test | column.isNull() if operator in BLANK_PASSES else test
+    return COMPARISONS[operator](natural_key(text(column, kind)), natural_key(F.lit(wanted)))
 
 
 def literal_text(value: object) -> str:

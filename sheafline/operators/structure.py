@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +21,34 @@ def numbered_notes(references: DataFrame) -> DataFrame:
 def claimed_slugs(headings: DataFrame) -> DataFrame:
     """Unique anchors of a document's headings: slug, slug-1, slug-2, ... in reading order.
 
-    Takes ``doc_id, position, slug``; a literal ``x-1`` is not probed against.
+    Takes ``doc_id, position, slug``.  An anchor that an earlier heading has taken
+    is passed over.  Only documents in which a slug reads like another one's
+    numbered form need their headings in sequence; a window numbers all others.
     """
+    own = headings.select("doc_id", "position", "slug")
+    forms = own.select("doc_id", F.regexp_replace("slug", "-[0-9]+$", "").alias("slug"), F.col("slug").alias("form")).where("form <> slug").select("doc_id", "slug").distinct()
+    crossed = forms.join(own, ["doc_id", "slug"], "left_semi").select("doc_id").distinct()
+    plain = own.join(crossed, "doc_id", "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("position")) - 1
-    return headings.withColumn("nth", nth).select("doc_id", "position", F.when(F.col("nth") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("nth").cast("string"))).alias("anchor"))
+    numbered = plain.withColumn("nth", nth).select("doc_id", "position", F.when(F.col("nth") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("nth").cast("string"))).alias("anchor"))
+
+    def in_sequence(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("position")
+        taken: set[str] = set()
+        last: dict[str, int] = {}
+        anchors = []
+        for slug in rows.column("slug").to_pylist():
+            n, anchor = last.get(slug, 0), slug
+            while anchor in taken:
+                n += 1
+                anchor = f"{slug}-{n}"
+            last[slug] = n
+            taken.add(anchor)
+            anchors.append(anchor)
+        return rows.select(["doc_id", "position"]).append_column("anchor", pa.array(anchors, pa.string()))
+
+    schema = ", ".join([*(f"{n} {t}" for n, t in own.dtypes if n != "slug"), "anchor string"])
+    return numbered.unionByName(own.join(crossed, "doc_id", "left_semi").groupBy("doc_id").applyInArrow(in_sequence, schema))  # one document's headings
 
 
 def resolved_links(links: DataFrame, anchors: DataFrame) -> DataFrame:

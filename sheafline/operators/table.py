@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from sheafline.functions.coordinates import letters
 from sheafline.functions.values import blank, compare, finite, is_number
 
+#: Caps of bounded mode, and of the arguments it takes.
 ROWS, GROUPS, DISTINCT, SAMPLES, COLUMNS = 200, 500, 10_000, 5, 256
+ARGUMENTS = {"predicates": (0, 20), "filters": (0, 8), "predicates of a filter": (1, 8), "metrics": (1, 8), "group keys": (0, 3), "columns": (0, 50)}
 #: Parts in which a column's distinct values are ranked.
 SALTS = 256
 OPERATORS = (
@@ -102,7 +104,7 @@ def _kind(df: DataFrame, name: str) -> T.DataType:
 
 
 def condition(df: DataFrame, predicates: Sequence[Predicate]) -> Column:
-    """All predicates hold; true for no predicates, never null."""
+    """All predicates hold; true for no predicates.  Null, where a blank fails one, counts as false."""
     tests = []
     for p in predicates:
         name = resolve(df, p.column)
@@ -117,7 +119,7 @@ def cohort(df: DataFrame, partition_by: str, filters: Sequence[Cohort]) -> DataF
     back the rows, broadcasting the keys where Spark finds them small enough.
     """
     key = resolve(df, partition_by)
-    named = {f"f{i}": condition(df, f.predicates) for i, f in enumerate(filters)}
+    named = {f"f{i}": F.coalesce(condition(df, f.predicates), F.lit(False)) for i, f in enumerate(filters)}
     tests = [F.bool_or(F.col(n)) if f.quantifier == "exists" else ~F.bool_or(F.col(n)) for n, f in zip(named, filters, strict=True)]
     flagged = df.where(~blank(F.col(f"`{key}`"), _kind(df, key))).select(F.col(f"`{key}`").alias("k"), *(c.alias(n) for n, c in named.items()))
     keys = flagged.groupBy("k").agg(reduce(lambda a, b: a & b, tests).alias("hit")).where("hit").select("k")
@@ -133,6 +135,24 @@ def matched(df: DataFrame, predicates: Sequence[Predicate] = (), partition_by: s
     return rows.where(condition(df, predicates)) if predicates else rows
 
 
+def check_arguments(**given: int) -> None:
+    """Raises where an argument has fewer or more entries than bounded mode takes."""
+    for name, n in given.items():
+        low, high = ARGUMENTS[name.replace("_", " ")]
+        if not low <= n <= high:
+            raise ValueError(f"{name.replace('_', ' ')}: {low} to {high} are allowed, {n} are given")
+
+
+def match_summary(
+    df: DataFrame, predicates: Sequence[Predicate] = (), partition_by: str | None = None, filters: Sequence[Cohort] = (), offset: int = 0, limit: int = 50,
+) -> DataFrame:
+    """One row on a bounded query: ``matched`` rows, how many it ``returned``, and whether it is ``truncated``."""
+    offset, limit = max(0, int(offset)), max(1, min(ROWS, int(limit)))
+    matches = matched(df, predicates, partition_by, filters).agg(F.count("*").alias("matched"))
+    returned = F.least(F.lit(limit).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("matched") - offset))
+    return matches.select("matched", returned.alias("returned"), (offset + returned < F.col("matched")).alias("truncated"))
+
+
 def query(
     df: DataFrame, columns: Sequence[str] = (), predicates: Sequence[Predicate] = (), partition_by: str | None = None,
     filters: Sequence[Cohort] = (), order: str | None = None, offset: int = 0, limit: int | None = None, bounded: bool = False,
@@ -141,6 +161,9 @@ def query(
     rows = matched(df, predicates, partition_by, filters)
     names = [resolve(df, c) for c in columns] or df.columns
     if bounded:
+        check_arguments(predicates=len(predicates), filters=len(filters), columns=len(columns))
+        for f in filters:
+            check_arguments(predicates_of_a_filter=len(f.predicates))
         limit = max(1, min(ROWS, 50 if limit is None else int(limit)))
     if offset or limit is not None:
         if order is None:
@@ -150,7 +173,8 @@ def query(
     return rows.select(*(F.col(f"`{n}`") for n in names))
 
 
-def metric_column(df: DataFrame, metric: Metric) -> Column:
+def metric_column(df: DataFrame, metric: Metric, bounded: bool = False) -> Column:
+    """A metric's aggregate; in bounded mode distinct values count up to ``DISTINCT``."""
     if metric.column is None:
         if metric.operation == "count":
             return F.count(F.lit(1))
@@ -161,7 +185,7 @@ def metric_column(df: DataFrame, metric: Metric) -> Column:
     number = finite(c, kind)
     return {
         "count": lambda: F.count(filled),
-        "count-distinct": lambda: F.count_distinct(filled),
+        "count-distinct": lambda: F.least(F.count_distinct(filled), F.lit(DISTINCT)) if bounded else F.count_distinct(filled),
         "sum": lambda: F.coalesce(F.sum(number), F.lit(0.0)),
         "average": lambda: F.avg(number),
         "minimum": lambda: F.min(number),
@@ -177,9 +201,11 @@ def aggregate(
 
     Without matching rows there is no group, even with no group column.
     """
+    if bounded:
+        check_arguments(predicates=len(predicates), filters=len(filters), metrics=len(metrics), group_keys=len(group_by))
     rows = matched(df, predicates, partition_by, filters)
     keys = [F.col(f"`{resolve(df, g)}`") for g in group_by]
-    columns = [metric_column(df, m).alias(m.label()) for m in metrics]
+    columns = [metric_column(df, m, bounded).alias(m.label()) for m in metrics]
     first = [F.min(order).alias("first__seen")] if order else []
     out = rows.groupBy(*(keys or [F.lit(1).alias("all__rows")])).agg(*columns, *first)
     out = out if keys else out.drop("all__rows")

@@ -26,7 +26,7 @@ def not_equals_blank_total(s, d):
 
 
 def contains(s, d):
-    return T.query(load(s, d, "part"), ["p_partkey", "p_name"], [P("p_name", "contains", "A1")])
+    return T.query(load(s, d, "part"), ["p_partkey", "p_name"], [P("p_name", "contains", "D G")])
 
 
 def starts_with(s, d):
@@ -108,7 +108,7 @@ def cohort_not_exists(s, d):
 
 
 def cohort_mixed(s, d):
-    both = [Cohort("exists", [P("event_type", "equals", "purchase"), P("value", "greater-than", 10)]), Cohort("not-exists", [P("event_type", "equals", "error")])]
+    both = [Cohort("exists", [P("event_type", "equals", "purchase"), P("value", "greater-than", 10)]), Cohort("not-exists", [P("event_type", "equals", "error"), P("value", "greater-than", 150)])]
     return T.query(load(s, d, "events"), ["event_id", "user_id"], (), "user_id", both)
 
 
@@ -203,7 +203,7 @@ NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({0}), '[0-9]+
 QUERIES = {
     "query_equals_project": (equals_project, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE lower(o_orderstatus) = 'f'"),
     "query_not_equals_blank_total": (not_equals_blank_total, "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS DISTINCT FROM 'MACHINERY'"),
-    "query_contains": (contains, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a1')"),
+    "query_contains": (contains, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'd g')"),
     "query_starts_with": (starts_with, "SELECT p_partkey, p_type FROM part WHERE starts_with(lower(p_type), 's')"),
     "query_ends_with": (ends_with, "SELECT p_partkey, p_brand FROM part WHERE ends_with(lower(p_brand), '3')"),
     "query_numeric_range": (numeric_range, "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 12 AND l_discount <= 0.05"),
@@ -227,7 +227,7 @@ QUERIES = {
     "cohort_not_exists": (cohort_not_exists, "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)"),
     "cohort_mixed": (
         cohort_mixed,
-        "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 10) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')",
+        "SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 10) AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150)",
     ),
     "cohort_blank_keys": (cohort_blank_keys, "SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"),
     "cohort_then_aggregate": (

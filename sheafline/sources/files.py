@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,27 +30,59 @@ def detected(content: Column, path: Column) -> Column:
     )
 
 
-def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row per file: digest, size, detected format, and an error code instead of a failed job."""
+#: Media types of documents and the format each stands for.
+MEDIA_FORMATS = {
+    "application/epub+zip": "epub",
+    "application/vnd.oasis.opendocument.text": "odt",
+    "application/vnd.oasis.opendocument.spreadsheet": "ods",
+    "application/vnd.oasis.opendocument.presentation": "odp",
+}
+
+
+def media_format(mime: Column) -> Column:
+    """The format of a package's declared media type, templates included; else null."""
+    pairs = [F.lit(x) for item in MEDIA_FORMATS.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), F.regexp_replace(F.trim(mime), "-template$", ""))
+
+
+def resolved_format(explicit: Column | None, content: Column, path: Column) -> Column:
+    """The format asked for, else the one detected; null where there is none."""
+    found = detected(content, path)
+    return found if explicit is None else F.coalesce(explicit, found)
+
+
+def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, explicit: str | None = None) -> DataFrame:
+    """One row per file: digest, size, format, and an error code instead of a failed job.
+
+    Files over ``max_bytes`` (``resourceLimit``) are told by their size and never
+    read; the format of others may be unknown (``unsupported``).
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    fits = F.col("length") <= max_bytes
-    return files.select(
-        "path", F.col("length").alias("n_bytes"), "modificationTime",
-        F.when(fits, F.sha2("content", 256)).alias("sha256"),
-        F.when(fits, detected(F.col("content"), F.col("path"))).alias("format"),
-        F.when(~fits, "resourceLimit").alias("error_code"),
-        F.when(fits, F.col("content")).alias("content"),
-    )
+    named = None if explicit is None else F.lit(explicit)
+    small = files.where(F.col("length") <= max_bytes).select(
+        "path", F.col("length").alias("n_bytes"), "modificationTime", F.sha2("content", 256).alias("sha256"), resolved_format(named, F.col("content"), F.col("path")).alias("format"), "content"
+    )
+    large = files.where(F.col("length") > max_bytes).select(
+        "path", F.col("length").alias("n_bytes"), "modificationTime", *(F.lit(None).cast(t).alias(c) for c, t in (("sha256", "string"), ("format", "string"), ("content", "binary")))
+    )
+    code = F.when(F.col("n_bytes") > max_bytes, "resourceLimit").when(F.col("format").isNull(), "unsupported")
+    return small.unionByName(large).select("path", "n_bytes", "modificationTime", "sha256", "format", code.alias("error_code"), "content")
+
+
+#: Windows-1252 has characters where Latin-1 has the upper control codes (five of which stay).
+UPPER = "".join(map(chr, range(0x80, 0xA0)))
+WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-16 by its mark, UTF-8 (mark dropped), else Latin-1's superset by replacement."""
+    """Text of bytes: UTF-16 by its mark, UTF-8 (mark dropped), else Windows-1252."""
+    after = lambda n: F.substring(content, n + 1, 1 << 30)
     mark = F.hex(F.substring(content, 1, 3))
-    utf8 = F.try_validate_utf8(F.when(mark == "EFBBBF", F.expr("substring(content, 4)")).otherwise(content).cast("string"))
+    utf8 = F.try_validate_utf8(F.when(mark == "EFBBBF", after(3)).otherwise(content).cast("string"))
     return (
-        F.when(F.startswith(mark, F.lit("FFFE")), F.decode(F.expr("substring(content, 3)"), "UTF-16LE"))
-        .when(F.startswith(mark, F.lit("FEFF")), F.decode(F.expr("substring(content, 3)"), "UTF-16BE"))
-        .otherwise(F.coalesce(utf8, F.decode(content, "ISO-8859-1")))
+        F.when(F.startswith(mark, F.lit("FFFE")), F.decode(after(2), "UTF-16LE"))
+        .when(F.startswith(mark, F.lit("FEFF")), F.decode(after(2), "UTF-16BE"))
+        .otherwise(F.coalesce(utf8, F.translate(F.decode(content, "ISO-8859-1"), UPPER, WINDOWS)))
     )
 
 
@@ -53,6 +90,7 @@ def sniffed_delimiter(text: Column) -> Column:
     """The delimiter whose count per line agrees most often over the first lines."""
     lines = F.filter(F.slice(F.split(text, "\r\n|\n|\r"), 1, SNIFF_LINES), lambda x: F.length(x) > 0)
 
+    # fixed values: a line weighs 1000, a delimiter 1, up to 500
     def score(delimiter: str) -> Column:
         counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
         widths = F.filter(F.array_distinct(counts), lambda k: k > 0)
@@ -70,6 +108,34 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None)
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path, sep=delimiter)
 
 
-def write_markdown(pages: DataFrame, path: str) -> None:
-    """``page_id, markdown`` as Parquet, replaced as a whole."""
-    pages.write.mode("overwrite").parquet(path)
+ROWS = "{key}, row_no long, cells array<string>, error_code string"
+
+
+def delimited_rows(texts: DataFrame, key: str, max_rows: int | None = None, max_cells: int | None = None) -> DataFrame:
+    """Records of delimited texts (``key, text, delimiter``) as rows of cells, all of them text.
+
+    A text with a quote that never closes, or over a cap on rows or cells, gives
+    one row with an error code and no cells; other texts are not affected.
+    """
+
+    def records(text: str, delimiter: str) -> list[list[str]]:
+        return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, strict=True) if r]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        for part in batches:
+            keys, places, cells, errors = [], [], [], []
+            for k, text, delimiter in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                try:
+                    rows, error = records(text or "", delimiter or ","), None
+                except csv.Error:
+                    rows, error = [], "malformed"
+                if (max_rows is not None and len(rows) > max_rows) or (max_cells is not None and sum(map(len, rows)) > max_cells):
+                    rows, error = [], "resourceLimit"
+                keys += [k] * (len(rows) or error is not None)
+                places += range(len(rows)) if error is None else [None]
+                cells += rows if error is None else [None]
+                errors += [error] * (len(rows) or error is not None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(places, pa.int64()), pa.array(cells, pa.list_(pa.string())), pa.array(errors, pa.string())], names=[part.schema.names[0], "row_no", "cells", "error_code"])
+
+    return texts.select(key, "text", "delimiter").mapInArrow(run, ROWS.format(key=f"{key} {dict(texts.dtypes)[key]}"))
