@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,9 +153,8 @@ def formatted(value: Column, pattern: str) -> Column:
     sections, tail = format_parts(pattern)
     first = sections[0]
     if any(ch in "dy" for ch in first.lower()) and not any(ch in first for ch in "0#"):
-        shape = first.lower().replace("yyyy", "{y}").replace("yy", "{s}").replace("mmm", "{b}").replace("mm", "{m}").replace("dd", "{d}").replace("m", "{n}").replace("d", "{e}")
-        java = {"y": "yyyy", "s": "yy", "b": "MMM", "m": "MM", "d": "dd", "n": "M", "e": "d"}
-        return F.date_format(serial_to_date(value), shape.format(**java))
+        words = {"yyyy": "yyyy", "yy": "yy", "mmmm": "MMMM", "mmm": "MMM", "mm": "MM", "m": "M", "dddd": "EEEE", "ddd": "EEE", "dd": "dd", "d": "d"}
+        return F.date_format(serial_to_date(value), re.sub("y+|m+|d+", lambda k: words.get(k[0], words["yyyy"]), first.lower()))
 
     def shown(section: str, number: Column) -> Column:
         decimals = sum(ch in "0#" for ch in section.partition(".")[2])

@@ -96,7 +96,7 @@ def compare(column: Column, kind: T.DataType, operator: str, value: object) -> C
     if isinstance(kind, T.StringType) and wanted and not any(c.isdigit() for c in wanted):
         # digit runs keep their place among other characters, so the text itself compares
         test = COMPARISONS[operator](F.collate(column, LOOSE), F.collate(F.lit(wanted), LOOSE))
-        return test | column.isNull() if operator in BLANK_PASSES else test
+        return test | column.isNull() if operator in BLANK_PASSES else test & column.isNotNull()
     return COMPARISONS[operator](natural_key(text(column, kind)), natural_key(F.lit(wanted)))
 
 

@@ -1,57 +1,176 @@
-"""Documents as flat tables: HTML pages to blocks, links and Markdown.
+"""Documents as flat tables: HTML pages to blocks, links, lists, tables and Markdown.
 
 A page becomes one row per block, in page order, by splitting its markup with
-native expressions; Markdown is put together from the blocks of one page.
+native expressions; lists and tables are told by running counts of their tags
+along the page, and Markdown is put together from the blocks of one page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import html
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Elements whose text is never shown.
 HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</\1\s*>|<!--.*?-->"
-BLOCK = r"(?i)<(?=/?(?:h[1-6]|p|li|ul|ol|div|nav|article|footer|body|html|blockquote|pre|table|tr|td|th)\b)"
-#: Named references, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+BLOCK = (
+    r"(?i)<(?=/?(?:h[1-6]|p|li|ul|ol|dl|dt|dd|div|nav|main|section|article|aside|header|footer|body|html|blockquote|pre|figure|figcaption|form|hr|table|caption|thead|tbody|tfoot|tr|td|th)\b)"
+)
+#: What follows a tag's name: attributes, whose quoted values may hold a bracket.
+REST = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+TAG = rf"</?[A-Za-z!]{REST}|</?[A-Za-z!][^>]*>"
+HREF = r"""(?i)\b{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+@F.pandas_udf(T.StringType())
+def unescaped(text: pd.Series) -> pd.Series:
+    """Character references decoded, named and numeric."""
+    return text.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
-def plain(html: Column) -> Column:
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a start tag, quoted or not; empty where there is none."""
+    values = [F.regexp_extract(tag, HREF.format(name), k) for k in (1, 2, 3)]
+    return F.trim(F.concat(*values))
+
+
+def plain(markup: Column) -> Column:
     """Text of a piece of markup: tags dropped, references decoded, space collapsed."""
-    out = F.regexp_replace(html, r"<[^>]*>", " ")
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(markup, TAG, " ")), r"(?U)\s+", " "))
+
+
+def pieces(pages: DataFrame) -> DataFrame:
+    """``page_id, position, tag, attributes, body``: markup from one block tag to the next."""
+    shown = F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, " ")
+    cut = pages.select("page_id", F.posexplode(F.split(shown, BLOCK)).alias("position", "piece"))
+    opening = F.regexp_extract("piece", rf"(?s)^(/?[A-Za-z0-9]+{REST}|/?[A-Za-z0-9]+[^>]*>)", 1)
+    own = cut.withColumn("opening", F.when(F.col("position") > 0, opening).otherwise(F.lit("")))
+    body = F.substr("piece", F.length("opening") + 1)
+    return own.select("page_id", "position", F.lower(F.regexp_extract("opening", r"^(/?[A-Za-z0-9]+)", 1)).alias("tag"), F.col("opening").alias("attributes"), body.alias("body"))
+
+
+def heading_level(tag: Column) -> Column:
+    return F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int")).otherwise(0)
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """``page_id, position, tag, level, text`` of each block that has text."""
-    shown = F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, " ")
-    pieces = pages.select("page_id", F.posexplode(F.split(shown, BLOCK)).alias("position", "piece"))
-    tag = F.lower(F.regexp_extract("piece", r"^(/?[A-Za-z0-9]+)[^>]*>", 1))
-    body = F.regexp_replace("piece", r"^/?[A-Za-z0-9]+[^>]*>", "")
-    blocks = pieces.select("page_id", "position", tag.alias("tag"), plain(body).alias("text")).where(F.col("text") != "")
-    level = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")).otherwise(0)
-    return blocks.select("page_id", "position", "tag", level.alias("level"), "text")
+    blocks = pieces(pages).select("page_id", "position", "tag", plain(F.col("body")).alias("text")).where(F.col("text") != "")
+    return blocks.select("page_id", "position", "tag", heading_level(F.col("tag")).alias("level"), "text")
 
 
 def html_links(pages: DataFrame) -> DataFrame:
     """``page_id, position, target, label`` of each link, in page order."""
     shown = F.regexp_replace(F.coalesce("html", F.lit("")), HIDDEN, " ")
-    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(shown, F.lit(r"(?is)(<a\b[^>]*>.*?</a\s*>)"), F.lit(1))).alias("position", "link"))
-    target = F.regexp_extract("link", r'(?i)href="([^"]*)"', 1)
-    return found.select("page_id", "position", target.alias("target"), plain(F.col("link")).alias("label"))
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all(shown, F.lit(rf"(?is)(<a\b{REST}.*?</a\s*>)"), F.lit(1))).alias("position", "link"))
+    opening = F.regexp_extract("link", rf"(?is)^<a\b{REST}", 0)
+    return found.select("page_id", "position", unescaped(attribute(opening, "href")).alias("target"), plain(F.col("link")).alias("label"))
+
+
+def placed(pages: DataFrame) -> DataFrame:
+    """Pieces with their list (``depth, list_no, item_no, ordered, start``) and table (``table_depth, table_no, row_no, cell_no``)."""
+    page = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    count = lambda test, w: F.sum(test.cast("int")).over(w)
+    tag = F.col("tag")
+    opens, table = tag.isin("ul", "ol"), tag == "table"
+    own = pieces(pages).withColumns({"depth": count(opens, page) - count(tag.isin("/ul", "/ol"), page), "table_depth": count(table, page) - count(tag == "/table", page)})
+    at = Window.partitionBy("page_id", "depth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("list_no", count(opens, at))
+    at = Window.partitionBy("page_id", "depth", "list_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.nullif(F.regexp_extract("attributes", r"""(?i)\bstart\s*=\s*["']?([0-9]{1,9})""", 1), F.lit("")).cast("int"), F.lit(1))
+    own = own.withColumns({"item_no": count(tag == "li", at), "ordered": F.last(F.when(opens, tag == "ol"), ignorenulls=True).over(at), "start": F.last(F.when(opens, start), ignorenulls=True).over(at)})
+    at = Window.partitionBy("page_id", "table_depth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("table_no", count(table, at))
+    at = Window.partitionBy("page_id", "table_depth", "table_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("row_no", count(tag == "tr", at))
+    at = Window.partitionBy("page_id", "table_depth", "table_no", "row_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return own.withColumn("cell_no", count(tag.isin("td", "th"), at))
+
+
+def in_order(text: Column, separator: str = " ") -> Column:
+    """Aggregate: the group's texts, by position; a group is one item or cell of a page."""
+    parts = F.array_sort(F.collect_list(F.struct("position", text.alias("t"))))
+    return F.array_join(F.filter(F.transform(parts, lambda p: p["t"]), lambda t: t != ""), separator)
+
+
+def html_lists(pages: DataFrame) -> DataFrame:
+    """``page_id, depth, list_no, item_no, ordered, number, text`` of each list item.
+
+    An item's text is its own, without that of the lists inside it; ``number`` is
+    null in lists without numbers.
+    """
+    items = placed(pages).where("depth > 0 AND item_no > 0").withColumn("text", plain(F.col("body")))
+    one = items.groupBy("page_id", "depth", "list_no", "item_no").agg(F.first("ordered").alias("ordered"), F.first("start").alias("start"), in_order(F.col("text")).alias("text"))
+    return one.select("page_id", "depth", "list_no", "item_no", "ordered", F.when(F.col("ordered"), F.col("start") + F.col("item_no") - 1).alias("number"), "text")
 
 
-def markdown_line(tag: Column, level: Column, text: Column) -> Column:
-    return F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), text)).when(tag == "li", F.concat(F.lit("- "), text)).when(tag == "blockquote", F.concat(F.lit("> "), text)).otherwise(text)
+def span(name: str) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract("attributes", rf"""(?i)\b{name}\s*=\s*["']?([0-9]{{1,5}})""", 1), F.lit("")).cast("int"), F.lit(1))
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """``page_id, table_depth, table_no, row_no, cell_no, header, row_span, col_span, text`` of each table cell.
+
+    Spans are kept in the bounds that browsers set: 1,000 columns, 65,534 rows.
+    """
+    cells = placed(pages).where("table_depth > 0 AND cell_no > 0").withColumn("text", plain(F.col("body")))
+    is_cell = F.col("tag").isin("td", "th")
+    spans = {"row_span": F.least(span("rowspan"), F.lit(65_534)), "col_span": F.greatest(F.lit(1), F.least(span("colspan"), F.lit(1000)))}
+    return cells.groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(
+        F.bool_or(F.col("tag") == "th").alias("header"), *(F.max(F.when(is_cell, c)).alias(n) for n, c in spans.items()), in_order(F.col("text")).alias("text")
+    )
+
+
+#: Inline elements and their Markdown marks, and the private characters that stand for them and for links until text is escaped.
+INLINE = (("strong|b", "**", "\ue000"), ("em|i", "*", "\ue001"), ("del|s|strike", "~~", "\ue002"), ("code|kbd|samp|tt", "`", "\ue003"))
+LABEL, TARGET, END = "\ue010", "\ue011", "\ue012"
+
+
+def inline_markdown(markup: Column) -> Column:
+    """Markdown of a block's markup: emphasis, code, links and picture texts; all other marks in the text are escaped."""
+    out = F.regexp_replace(markup, "[\ue000-\ue012]", "")
+    for names, _, sign in INLINE:
+        out = F.regexp_replace(out, rf"(?is)<(?:{names})(?:\s[^>]*)?>(\s*)(.*?)(\s*)</(?:{names})\s*>", f"$1{sign}$2{sign}$3")
+    out = F.regexp_replace(out, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a\s*>""", f"{LABEL}$2{TARGET}$1{END}")
+    out = F.regexp_replace(out, r"""(?is)<img\b[^>]*?\balt\s*=\s*["']([^"']*)["'][^>]*>""", "$1")
+    out = plain(out)
+    out = F.regexp_replace(out, rf"([\\`*_\[\]<])(?![^{TARGET}]*{END})", r"\\$1")
+    for _, mark, sign in INLINE:
+        out = F.replace(F.replace(out, F.lit(sign * 2), F.lit("")), F.lit(sign), F.lit(mark))
+    for sign, mark in ((LABEL, "["), (TARGET, "]("), (END, ")")):
+        out = F.replace(out, F.lit(sign), F.lit(mark))
+    return out
 
 
 def html_markdown(pages: DataFrame) -> DataFrame:
-    """``page_id, markdown``: the blocks of a page, a blank line between them."""
-    lines = html_blocks(pages).select("page_id", "position", markdown_line(F.col("tag"), F.col("level"), F.col("text")).alias("line"))
-    joined = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "line"))).alias("b"))  # one page's blocks
-    texts = joined.select("page_id", F.array_join(F.transform("b", lambda s: s["line"]), "\n\n").alias("markdown"))
+    """``page_id, markdown``: the blocks of a page, a blank line between them; items and rows follow each other.
+
+    Items are indented by their depth and numbered where their list is; an item's
+    further blocks are indented without a mark.  A table's first row is its header.
+    """
+    own = placed(pages).withColumn("text", inline_markdown(F.col("body"))).where(F.col("text") != "")
+    nth = F.row_number().over(Window.partitionBy("page_id", "depth", "list_no", "item_no").orderBy("position"))
+    mark = F.when(F.col("ordered"), F.concat((F.col("start") + F.col("item_no") - 1).cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    indent = F.repeat(F.lit("  "), F.col("depth") - 1)
+    item = F.concat(indent, F.when(F.col("nth") == 1, mark).otherwise("  "), F.col("text"))
+    listed = own.where("table_depth <= 0 AND depth > 0 AND item_no > 0").withColumn("nth", nth).select("page_id", "position", F.lit("list").alias("glue"), item.alias("line"))
+    cells = own.where("table_depth > 0 AND cell_no > 0").groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(F.min("position").alias("position"), in_order(F.replace("text", F.lit("|"), F.lit("\\|"))).alias("text"))
+    rows = cells.groupBy("page_id", "table_depth", "table_no", "row_no").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("cell_no", "text"))).alias("c"))
+    line = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: x["text"]), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("c")))
+    first = F.row_number().over(Window.partitionBy("page_id", "table_depth", "table_no").orderBy("row_no")) == 1
+    tabled = rows.withColumn("first", first).select("page_id", "position", F.concat_ws(".", F.lit("table"), "table_depth", "table_no").alias("glue"), F.concat(line, F.when(F.col("first"), rule).otherwise("")).alias("line"))
+    level = heading_level(F.col("tag"))
+    block = F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("text"))).when(F.col("tag") == "blockquote", F.concat(F.lit("> "), F.col("text"))).otherwise(F.col("text"))
+    others = own.where("NOT (table_depth > 0 AND cell_no > 0) AND NOT (table_depth <= 0 AND depth > 0 AND item_no > 0)").select("page_id", "position", F.lit("").alias("glue"), block.alias("line"))
+    joined = listed.unionByName(tabled).unionByName(others).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "glue", "line"))).alias("b"))  # one page's blocks
+    none = F.struct(F.lit("").alias("text"), F.lit("").alias("glue"))
+    between = lambda done, x: F.when(done["text"] == "", "").when((done["glue"] == x["glue"]) & (x["glue"] != ""), "\n").otherwise("\n\n")
+    whole = F.aggregate("b", none, lambda done, x: F.struct(F.concat(done["text"], between(done, x), x["line"]).alias("text"), x["glue"].alias("glue")), lambda done: done["text"])
+    texts = joined.select("page_id", whole.alias("markdown"))
     return pages.select("page_id").distinct().join(texts, "page_id", "left").select("page_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
 
 
@@ -78,8 +197,6 @@ def matching_lines(docs: DataFrame, needle: str, key: str = "doc_id") -> DataFra
 
 def runs_of_roles(turns: DataFrame) -> DataFrame:
     """Consecutive turns of one role in a conversation, as one row each (gaps and islands)."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("conv_id").orderBy("turn")
     change = F.coalesce((F.col("role") != F.lag("role").over(order)).cast("int"), F.lit(1))
     numbered = turns.withColumn("change", change).withColumn("run", F.sum("change").over(order.rowsBetween(Window.unboundedPreceding, 0)))

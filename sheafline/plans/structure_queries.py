@@ -8,8 +8,10 @@ from sheafline.functions import formulas as L
 from sheafline.functions import markup as M
 from sheafline.functions import text as X
 from sheafline.functions.coordinates import address_column, column_number, letters_column
+from sheafline.operators import documents as D
 from sheafline.operators import structure as R
 from sheafline.plans.table_queries import load
+from sheafline.sources.files import delimited_rows
 from sheafline.streaming import events as E
 
 
@@ -98,6 +100,39 @@ def due_jobs(s, d):
     return R.due_jobs(own, F.lit(20.0))
 
 
+def number_patterns(s, d):
+    """Numbers and serial dates under format strings."""
+    c = F.col("c_acctbal")
+    own = load(s, d, "customer")
+    return own.select(
+        "c_custkey", M.formatted(c, '#,##0.00;[Red](#,##0.00)').alias("money"), M.formatted(c / 10000, "0.0%").alias("share"), M.formatted(c, '0" kg"').alias("weight"),
+        M.formatted(F.when(F.col("c_custkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("c_nationkey")), '0;-0;"none"').alias("parts"), M.formatted(F.col("c_custkey") + 40000.0, "dd/mm/yyyy").alias("day"),
+    )
+
+
+def escaped_names(s, d):
+    own = load(s, d, "part").withColumn("t", F.concat(F.when(F.col("p_partkey") % 3 == 0, "1. ").when(F.col("p_partkey") % 3 == 1, "# ").otherwise("- "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" *"), "p_brand", F.lit("* [x] &amp; a`")))
+    return own.select("p_partkey", M.escaped_text(F.col("t")).alias("shown"), M.code_span(F.col("t")).alias("code"))
+
+
+def html_table_cells(s, d):
+    """Parts written as HTML tables, read back as cells."""
+    names = F.concat(F.lit("<tr><th>name<th>brand &amp; size</tr><tr><td>"), "p_name", F.lit("</td><td colspan="), (F.col("p_size") % 3 + 1).cast("string"), F.lit("><b>"), "p_brand", F.lit("</b> "), F.col("p_size").cast("string"), F.lit("</table>"))
+    own = load(s, d, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("<p>x<table>"), names, F.lit("<p>y")).alias("html"))
+    return D.html_tables(own).select("page_id", "row_no", "cell_no", "header", "col_span", "text")
+
+
+def delimited_records(s, d):
+    """Customers written as delimited texts of a hundred lines, read back as records."""
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('; ""q""\nx"'))
+    line = F.concat_ws(";", F.col("c_custkey").cast("string"), quoted(F.col("c_name")), "c_mktsegment")
+    own = load(s, d, "customer").select(F.floor(F.col("c_custkey") / 100).cast("long").alias("file"), "c_custkey", line.alias("line"))
+    texts = own.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]), "\n").alias("text"))  # a hundred lines
+    broken = F.when(F.col("file") % 4 == 3, F.concat("text", F.lit('\n"open'))).otherwise(F.col("text"))
+    rows = delimited_rows(texts.select("file", broken.alias("text"), F.lit(";").alias("delimiter")), "file")
+    return rows.select("file", "row_no", F.concat_ws("|", "cells").alias("cells"), "error_code")
+
+
 def highlights(s, d):
     return load(s, d, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the")).alias("hits"))
 
@@ -128,7 +163,7 @@ def source_limits(s, d):
 
 def formula_shift(s, d):
     size = F.col("p_size").cast("string")
-    own = load(s, d, "part").select("p_partkey", F.concat(F.lit("SUM(A"), size, F.lit(":$B$"), size, F.lit(')+Other!c7&"A1"+D$2*XFD1')).alias("f"))
+    own = load(s, d, "part").select("p_partkey", F.concat(F.concat(F.lit("Q$"), (F.col("p_partkey") % 97 + 1).cast("string"), F.lit("-")), F.lit("SUM(A"), size, F.lit(":$B$"), size, F.lit(')+Other!c7&"A1"+D$2*XFD1')).alias("f"))
     return own.select("p_partkey", L.shifted(F.col("f"), 2, 3).alias("moved"), L.shifted(F.col("f"), -60, 0).alias("up"))
 
 
@@ -178,6 +213,22 @@ QUERIES = {
         number_formats,
         "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', abs(c_acctbal)) || ')' ELSE format('{:,.2f}', c_acctbal) END AS money, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.1f}', abs(c_acctbal / 10000 * 100)) || '%' AS share, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.0f}', abs(c_acctbal)) AS whole FROM customer",
     ),
+    "number_patterns": (
+        number_patterns,
+        "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', abs(c_acctbal)) || ')' ELSE format('{:,.2f}', c_acctbal) END AS money, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.1f}', abs(c_acctbal / 10000 * 100)) || '%' AS share, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.0f}', abs(c_acctbal)) || ' kg' AS weight, CASE WHEN c_custkey % 3 = 0 OR c_nationkey = 0 THEN '0' ELSE c_nationkey::VARCHAR END AS parts, strftime(DATE '1899-12-30' + (c_custkey + 40000)::INTEGER, '%d/%m/%Y') AS day FROM customer",
+    ),
+    "escaped_text": (
+        escaped_names,
+        "SELECT p_partkey, ['1\\. ', '\\# ', '\\- '][p_partkey % 3 + 1] || replace(p_name, ' ', '\\_') || ' \\*' || p_brand || '\\* \\[x\\] \\&amp; a\\`' AS shown, '`` ' || ['1. ', '# ', '- '][p_partkey % 3 + 1] || replace(p_name, ' ', '_') || ' *' || p_brand || '* [x] &amp; a` ``' AS code FROM part",
+    ),
+    "html_table_cells": (
+        html_table_cells,
+        "SELECT p_partkey AS page_id, 1 AS row_no, 1 AS cell_no, true AS header, 1 AS col_span, 'name' AS text FROM part UNION ALL SELECT p_partkey, 1, 2, true, 1, 'brand & size' FROM part UNION ALL SELECT p_partkey, 2, 1, false, 1, p_name FROM part UNION ALL SELECT p_partkey, 2, 2, false, p_size % 3 + 1, p_brand || ' ' || p_size FROM part",
+    ),
+    "delimited_records": (
+        delimited_records,
+        "SELECT c_custkey // 100 AS file, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS row_no, c_custkey || '|' || c_name || '; \"q\"' || chr(10) || 'x|' || c_mktsegment AS cells, NULL::VARCHAR AS error_code FROM customer WHERE c_custkey // 100 % 4 <> 3 UNION ALL SELECT DISTINCT c_custkey // 100, NULL::BIGINT, '', 'malformed' FROM customer WHERE c_custkey // 100 % 4 = 3",
+    ),
     "markdown_table": (markdown_table, "SELECT n_nationkey, '| ' || n_nationkey || ' | ' || n_name || '\\|x<br>y | ' || coalesce(nullif(n_regionkey, 0)::VARCHAR, '') || ' |' AS line FROM nation"),
     "cell_addresses": (addresses, f"WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey % 16384 + 1 AS n FROM lineitem) SELECT l_orderkey, l_linenumber, {LETTERS} || l_linenumber AS address, true AS same FROM t"),
     "note_numbers": (
@@ -194,7 +245,10 @@ QUERIES = {
         covered_cells,
         "WITH o AS (SELECT p_partkey % 5 AS table_id, p_partkey::INTEGER AS \"row\", unnest(range(p_partkey, p_partkey + p_size % 3 + 1))::INTEGER AS r, p_size FROM part) SELECT table_id, \"row\", r, c::INTEGER AS c, r = \"row\" AND c = 1 AS origin FROM (SELECT *, unnest(range(1, p_size % 2 + 2)) AS c FROM o)",
     ),
-    "header_votes": (header_vote, "SELECT * FROM (VALUES (1, 'text', 'text', false), (2, 'text', 'number', true), (3, 'text', 'number', true)) AS v(col, head_kind, body_kind, votes) WHERE (SELECT count(*) FROM customer WHERE c_custkey < 50) > 0"),
+    "header_votes": (
+        header_vote,
+        "WITH c AS (SELECT 1 AS col, c_name AS v FROM customer UNION ALL SELECT 2, c_nationkey::VARCHAR FROM customer UNION ALL SELECT 3, format('{:,.2f}', c_acctbal) FROM customer), k AS (SELECT col, CASE WHEN regexp_matches(v, '^[-+]?[0-9][0-9,]*([.][0-9]+)?$') THEN 'number' ELSE 'text' END AS kind FROM c WHERE v IS NOT NULL), n AS (SELECT col, kind, count(*) AS n FROM k GROUP BY 1, 2), t AS (SELECT col, arg_max(kind, n) AS body_kind, max(n) AS top, sum(n) AS total FROM n GROUP BY 1) SELECT col, 'text' AS head_kind, body_kind, top * 10 >= total * 9 AND body_kind <> 'text' AS votes FROM t",
+    ),
     "modal_width": (
         modal_widths,
         "WITH w AS (SELECT l_orderkey, count(*)::INTEGER AS width FROM lineitem GROUP BY 1), n AS (SELECT l_orderkey % 20 AS table_id, width, count(*) AS n FROM w GROUP BY 1, 2) SELECT table_id, width FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY n DESC, width DESC) AS k FROM n) WHERE k = 1",
@@ -216,7 +270,7 @@ QUERIES = {
     "source_limits": (source_limits, "SELECT doc_id, octet_length(encode(text))::INTEGER AS n_bytes, CASE WHEN octet_length(encode(text)) > 10000 THEN 'resourceLimit' END AS error_code FROM documents"),
     "formula_shift": (
         formula_shift,
-        "SELECT p_partkey, 'SUM(D' || (p_size + 2) || ':$B$' || p_size || ')+Other!F9&\"A1\"+G$2*#REF!' AS moved, 'SUM(#REF!:$B$' || p_size || ')+#REF!&\"A1\"+D$2*#REF!' AS up FROM part",
+        "SELECT p_partkey, 'T$' || (p_partkey % 97 + 1) || '-SUM(D' || (p_size + 2) || ':$B$' || p_size || ')+Other!F9&\"A1\"+G$2*#REF!' AS moved, 'Q$' || (p_partkey % 97 + 1) || '-SUM(#REF!:$B$' || p_size || ')+#REF!&\"A1\"+D$2*#REF!' AS up FROM part",
     ),
     "sheet_rename": (
         sheet_rename,

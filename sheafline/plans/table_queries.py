@@ -10,6 +10,8 @@ from sheafline.operators import table as T
 from sheafline.operators.table import Cohort, Metric, Predicate
 
 P = Predicate
+#: Below any used row: ranges whose bottom edge is open.
+BOTTOM = 1 << 40
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +57,14 @@ def number_as_text(s, d):
 
 
 def offset_limit(s, d):
-    return T.query(load(s, d, "nation"), ["n_nationkey", "n_name"], order="n_nationkey", offset=5, limit=10)
+    return T.query(load(s, d, "orders"), ["o_orderkey", "o_totalprice"], [P("o_orderstatus", "equals", "O")], order="o_orderkey", offset=5, limit=10)
+
+
+def match_count(s, d):
+    """How many rows match, and whether a bounded page of them is cut off."""
+    full = T.match_summary(load(s, d, "lineitem"), [P("l_quantity", "greater-than", 45)], "l_orderkey", [EXISTS], offset=20)
+    few = T.match_summary(load(s, d, "orders"), [P("o_totalprice", "less-than", -1)])
+    return full.withColumn("page", F.lit("lineitem")).unionByName(few.withColumn("page", F.lit("orders")))
 
 
 def is_blank(s, d):
@@ -143,12 +152,12 @@ def part_cells(s, d) -> DataFrame:
 
 
 def selection_statistics(s, d):
-    out = S.statistics(part_cells(s, d), ["A1:C40", "C10:D1000"])
+    out = S.statistics(part_cells(s, d), [(1, 1, BOTTOM, 3), (10, 3, BOTTOM, 4)])
     return out.select("count", "numeric_count", F.round("sum", 2).alias("sum"), F.round("average", 4).alias("average"), "minimum", "maximum")
 
 
 def statistics_without_numbers(s, d):
-    return S.statistics(part_cells(s, d), ["A1:B5"]).select("count", "numeric_count", "sum")
+    return S.statistics(part_cells(s, d), [(1, 1, BOTTOM, 2)]).select("count", "numeric_count", "sum")
 
 
 def search_cells(s, d):
@@ -157,20 +166,20 @@ def search_cells(s, d):
 
 def duplicate_values(s, d):
     own = S.to_cells(load(s, d, "supplier"), F.col("s_suppkey") + 1, ["s_nationkey", "s_name"])
-    return S.repeated_values(own, (1, 1, 1_000_000, 2)).select("row", "col", "n")
+    return S.repeated_values(own, (1, 1, BOTTOM, 2)).select("row", "col", "n")
 
 
 def unique_values(s, d):
     own = S.to_cells(load(s, d, "supplier"), F.col("s_suppkey") + 1, ["s_nationkey", "s_name"])
-    return S.repeated_values(own, (1, 1, 1_000_000, 2), unique=True).select("row", "col")
+    return S.repeated_values(own, (1, 1, BOTTOM, 2), unique=True).select("row", "col")
 
 
 def rule_cell_is(s, d):
-    return S.cell_is(part_cells(s, d), "C1:D1000", "greater-than-or-equal", 45).select("row", "col", "num")
+    return S.cell_is(part_cells(s, d), (1, 3, BOTTOM, 4), "greater-than-or-equal", 45).select("row", "col", "num")
 
 
 def range_functions(s, d):
-    out = S.range_functions(part_cells(s, d), ["C1:C100", "D5:D50", "A1:B3"])
+    out = S.range_functions(part_cells(s, d), [(1, 3, BOTTOM, 3), (5, 4, BOTTOM, 4), (1, 1, BOTTOM, 2)])
     return out.select("area", F.round("sum", 2).alias("sum"), "count", "minimum", "maximum")
 
 
@@ -179,12 +188,12 @@ def column_widths(s, d):
 
 
 def copied_lines(s, d):
-    return S.copied_lines(part_cells(s, d), "A2:C30").select("row", "line")
+    return S.copied_lines(part_cells(s, d), (2, 1, BOTTOM, 3)).select("row", "line")
 
 
 def write_range(s, d):
     out = S.fill_range(part_cells(s, d), "C1:C10", 7.0)
-    return S.statistics(out, ["C1:C20"]).select("count", F.round("sum", 2).alias("sum"))
+    return S.statistics(out, [(1, 3, BOTTOM, 3)]).select("count", F.round("sum", 2).alias("sum"))
 
 
 def chart_series(s, d):
@@ -210,7 +219,11 @@ QUERIES = {
     "query_less_than_keeps_blank": (less_than_keeps_blank, "SELECT event_id FROM events WHERE NOT (value >= 7)"),
     "query_natural_order": (natural_order, f"SELECT c_custkey, c_name FROM customer WHERE {NATURAL.format('c_name')} < {NATURAL.format(chr(39) + 'customer#99' + chr(39))} AND {NATURAL.format('c_name')} > {NATURAL.format(chr(39) + 'customer#9' + chr(39))}"),
     "query_number_as_text": (number_as_text, "SELECT p_partkey, p_size FROM part WHERE starts_with(p_size::VARCHAR, '4')"),
-    "query_offset_limit": (offset_limit, "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 10 OFFSET 5"),
+    "query_offset_limit": (offset_limit, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 10 OFFSET 5"),
+    "query_match_count": (
+        match_count,
+        "WITH m AS (SELECT 'lineitem' AS page, count(*) AS matched, 20 AS skip FROM lineitem WHERE l_quantity > 45 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') UNION ALL SELECT 'orders', count(*), 0 FROM orders WHERE o_totalprice < -1 OR o_totalprice IS NULL) SELECT page, matched, least(50, greatest(0, matched - skip)) AS returned, skip + least(50, greatest(0, matched - skip)) < matched AS truncated FROM m",
+    ),
     "query_is_blank": (is_blank, "SELECT event_id, user_id FROM events WHERE event_type IN ('click', 'error')"),
     "query_by_letter": (by_letter, "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_nationkey = 3"),
     "agg_group_metrics": (
@@ -252,19 +265,19 @@ QUERIES = {
     ),
     "selection_statistics": (
         selection_statistics,
-        f'WITH {PART_CELLS} SELECT count(*) AS count, count(num) AS numeric_count, round(sum(num), 2) AS sum, round(avg(num), 4) AS average, min(num) AS minimum, max(num) AS maximum FROM cells WHERE ("row" BETWEEN 1 AND 40 AND col BETWEEN 1 AND 3) OR ("row" BETWEEN 10 AND 1000 AND col BETWEEN 3 AND 4)',
+        f'WITH {PART_CELLS} SELECT count(*) AS count, count(num) AS numeric_count, round(sum(num), 2) AS sum, round(avg(num), 4) AS average, min(num) AS minimum, max(num) AS maximum FROM cells WHERE col BETWEEN 1 AND 3 OR ("row" >= 10 AND col BETWEEN 3 AND 4)',
     ),
-    "selection_without_numbers": (statistics_without_numbers, f'WITH {PART_CELLS} SELECT count(*) AS count, count(num) AS numeric_count, sum(num) AS sum FROM cells WHERE "row" BETWEEN 1 AND 5 AND col <= 2'),
+    "selection_without_numbers": (statistics_without_numbers, f'WITH {PART_CELLS} SELECT count(*) AS count, count(num) AS numeric_count, sum(num) AS sum FROM cells WHERE col <= 2'),
     "search_cells": (search_cells, f"WITH {PART_CELLS} SELECT \"row\", col, display AS preview, chr(64 + col) || \"row\" AS address FROM cells WHERE contains(lower(display), 'brand#1')"),
     "cf_duplicate_values": (duplicate_values, f'WITH {SUPPLIER_CELLS}, n AS (SELECT *, count(*) OVER (PARTITION BY v, k) AS n FROM cells) SELECT "row", col, n FROM n WHERE n > 1'),
     "cf_unique_values": (unique_values, f'WITH {SUPPLIER_CELLS}, n AS (SELECT *, count(*) OVER (PARTITION BY v, k) AS n FROM cells) SELECT "row", col FROM n WHERE n = 1'),
-    "cf_cell_is": (rule_cell_is, f'WITH {PART_CELLS} SELECT "row", col, num FROM cells WHERE "row" <= 1000 AND col >= 3 AND num >= 45'),
+    "cf_cell_is": (rule_cell_is, f'WITH {PART_CELLS} SELECT "row", col, num FROM cells WHERE col >= 3 AND num >= 45'),
     "formula_range_functions": (
         range_functions,
-        f'WITH {PART_CELLS}, a(area, t, l, b, r) AS (VALUES (0, 1, 3, 100, 3), (1, 5, 4, 50, 4), (2, 1, 1, 3, 2)) SELECT area, round(coalesce(sum(num), 0), 2) AS sum, count(num) AS count, coalesce(min(num), 0) AS minimum, coalesce(max(num), 0) AS maximum FROM a LEFT JOIN cells ON "row" BETWEEN t AND b AND col BETWEEN l AND r GROUP BY 1',
+        f'WITH {PART_CELLS}, a(area, t, l, b, r) AS (VALUES (0, 1, 3, 1099511627776, 3), (1, 5, 4, 1099511627776, 4), (2, 1, 1, 1099511627776, 2)) SELECT area, round(coalesce(sum(num), 0), 2) AS sum, count(num) AS count, coalesce(min(num), 0) AS minimum, coalesce(max(num), 0) AS maximum FROM a LEFT JOIN cells ON "row" BETWEEN t AND b AND col BETWEEN l AND r GROUP BY 1',
     ),
     "column_widths": (column_widths, f"WITH {PART_CELLS} SELECT col, least(60, greatest(8, max(length(display)) + 2)) AS width FROM cells GROUP BY 1"),
-    "copied_lines": (copied_lines, "SELECT p_partkey + 1 AS \"row\", p_name || chr(9) || p_brand || chr(9) || p_size AS line FROM part WHERE p_partkey + 1 BETWEEN 2 AND 30"),
-    "fill_range_statistics": (write_range, "SELECT 10 + count(*) AS count, round(70 + sum(p_size), 2) AS sum FROM part WHERE p_partkey + 1 BETWEEN 11 AND 20"),
+    "copied_lines": (copied_lines, "SELECT p_partkey + 1 AS \"row\", p_name || chr(9) || p_brand || chr(9) || p_size AS line FROM part WHERE p_partkey + 1 >= 2"),
+    "fill_range_statistics": (write_range, "SELECT 10 + count(*) AS count, round(70 + sum(p_size), 2) AS sum FROM part WHERE p_partkey + 1 NOT BETWEEN 1 AND 10"),
     "chart_series": (chart_series, "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders, round(sum(o_totalprice), 4) AS value FROM orders GROUP BY 1"),
 }

@@ -111,6 +111,10 @@ def html_links(s, d):
     return D.html_links(load(s, d, "pages"))
 
 
+def html_lists(s, d):
+    return D.html_lists(load(s, d, "pages"))
+
+
 def html_markdown(s, d):
     return D.html_markdown(load(s, d, "pages"))
 
@@ -205,6 +209,7 @@ QUERIES = {
     ),
     "html_blocks": (html_blocks, None),
     "html_links": (html_links, None),
+    "html_lists": (html_lists, None),
     "html_to_markdown": (html_markdown, None),
     "role_runs": (
         role_runs,

@@ -58,3 +58,22 @@ def test_overlaps(spark):
     rows = [("s", 1, 1, 1, 100, 2), ("s", 2, 100, 2, 300, 3), ("s", 3, 301, 1, 301, 9), ("t", 4, 1, 1, 9, 9)]
     got = R.overlapping_merges(spark.createDataFrame(rows, "sheet string, merge_id int, top int, left int, bottom int, right int"), 8)
     assert [tuple(r) for r in got.collect()] == [("s", 1, 2)]
+
+
+def test_unique_anchors(spark):
+    rows = [(1, 0, "x"), (1, 1, "x-1"), (1, 2, "x"), (1, 3, "x"), (2, 0, "x"), (2, 1, "x"), (3, 5, "y-2"), (3, 6, "y"), (3, 7, "y"), (3, 8, "y")]
+    got = sorted(tuple(r) for r in R.claimed_slugs(spark.createDataFrame(rows, "doc_id int, position int, slug string")).collect())
+    assert [a for _, _, a in got] == ["x", "x-1", "x-2", "x-3", "x", "x-1", "y-2", "y", "y-1", "y-3"]
+
+
+def test_format_strings(spark):
+    for pattern, value, want in (
+        ("#,##0.00", -1234.5, "-1,234.50"), ("0.0%;(0.0%)", -0.125, "(12.5%)"), ('0" items"', 3.0, "3 items"), ("0;-0;zero", 0.0, "0"), ("[Blue]0_)", 7.0, "7"), ("General", 1e21, "1e+21"), ("d-mmm-yy", 45000.0, "15-Mar-23"), ("yyyy-mm-dd", 61.0, "1900-03-01"),
+    ):
+        assert values(spark, [value], lambda c, p=pattern: M.formatted(c, p), "double") == [want], pattern
+
+
+def test_escapes(spark):
+    assert values(spark, ["a*b_c", "1. x", "# y", "&amp; & z", "# \n- k"], M.escaped_text) == [r"a\*b\_c", r"1\. x", r"\# y", r"\&amp; & z", "\\# \n\\- k"]
+    assert values(spark, ["a", "`b", "c``d"], M.code_span) == ["`a`", "`` `b ``", "```c``d```"]
+    assert values(spark, ["a%20b%zz%C3%A9", "%FFx"], M.decoded_component) == ["a b%zzé", "%FFx"]

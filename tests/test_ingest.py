@@ -35,7 +35,7 @@ def test_pages(spark):
     html = "<html><head><title>t</title></head><body><h2>A &amp; B</h2><p>one <b>two<br>three<p>four<ul><li><a href='x'>q</a><li>r</ul><script>no</script></body>"
     own = spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")
     got = {r["page_id"]: r["markdown"] for r in D.html_markdown(own).collect()}
-    assert got == {1: "## A & B\n\none two three\n\nfour\n\n- q\n\n- r", 2: ""}
+    assert got == {1: "## A & B\n\none two three\n\nfour\n\n- [q](x)\n- r", 2: ""}
 
 
 def test_stream_stores_each_content_once(spark, tmp_path):
@@ -75,3 +75,23 @@ def test_windows_of_a_stream_close_by_the_watermark(spark, tmp_path):
     whole = {(str(r["start"]), r["event_type"]): (r["n"], r["total"]) for r in events.windowed(rows).collect()}
     assert got and got.items() <= {**whole, **got}.items() and all(got[k] == whole[k] for k in got if k in whole)
     assert ("2024-01-01 00:00:00", "a") in got
+
+
+def test_windows_text_and_other_columns(spark):
+    own = spark.createDataFrame([(b"\x80 \x93x\x94 \x81",)], "blob binary")
+    assert own.select(files.decoded(F.col("blob"))).first()[0] == "€ “x” \x81"
+
+
+def test_files_over_a_bound_or_of_no_known_format(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"x" * 50)
+    (tmp_path / "b.csv").write_bytes(b"1,2")
+    (tmp_path / "c.what").write_bytes(b"1,2")
+    got = {r["path"].rsplit("/", 1)[1]: (r["format"], r["error_code"], r["n_bytes"]) for r in files.read_files(spark, str(tmp_path), 20).collect()}
+    assert got == {"a.csv": (None, "resourceLimit", 50), "b.csv": ("csv", None, 3), "c.what": (None, "unsupported", 3)}
+    assert {r["format"] for r in files.read_files(spark, str(tmp_path), 20, explicit="csv").collect()} == {"csv", None}
+
+
+def test_delimited_rows(spark):
+    texts = [(1, 'a,"b\nc"\n\n1,2,3', ","), (2, '"never closed', ","), (3, None, ","), (4, "x;y\nz", ";"), (5, "a\nb\nc\nd", ",")]
+    got = sorted(map(tuple, files.delimited_rows(spark.createDataFrame(texts, "k int, text string, delimiter string"), "k", max_rows=3).collect()), key=str)
+    assert got == [(1, 0, ["a", "b\nc"], None), (1, 1, ["1", "2", "3"], None), (2, None, None, "malformed"), (4, 0, ["x", "y"], None), (4, 1, ["z"], None), (5, None, None, "resourceLimit")]

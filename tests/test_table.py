@@ -118,3 +118,36 @@ def test_areas(spark):
     assert got == {0: (30.0, 2, "15.0"), 1: (0.0, 0, "#DIV/0!")}
     assert [r["line"] for r in S.copied_lines(own, "A1:B2").orderBy("row").collect()] == ["10\t", "20\t"]
     assert S.search(own, "2").select("address").first()[0] == "A2"
+
+
+def test_predicates_reach_the_scan(spark):
+    pushed = lambda name, *p: T.query(spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"), (), [Predicate(*p)])._jdf.queryExecution().toString().rsplit("PushedFilters: [", 1)[1].split("]")[0]
+    assert "GreaterThanOrEqual(l_quantity,10.0)" in pushed("lineitem", "l_quantity", "greater-than-or-equal", 10)
+    assert "Or(LessThan(l_quantity,12.0),IsNull(l_quantity))" in pushed("lineitem", "l_quantity", "less-than", 12)
+    assert "IsNotNull(o_orderstatus)" in pushed("orders", "o_orderstatus", "equals", "f")
+    assert "IsNotNull(p_name)" in pushed("part", "p_name", "contains", "ring")
+
+
+def test_long_digit_runs_are_told_apart(spark):
+    rows = [(0, "a1234567890123456789012"), (1, "a1234567890123456789099"), (2, "a9"), (3, "a0009"), (4, "a10b"), (5, None)]
+    own = spark.createDataFrame(rows, "k int, s string")
+    keys = lambda *p: {r["k"] for r in T.query(own, ["k"], [Predicate("s", *p)]).collect()}
+    assert keys("equals", "A1234567890123456789012") == {0} and keys("greater-than", "a1234567890123456789012") == {1}
+    assert keys("equals", "a9") == {2, 3} and keys("less-than", "a10b") == {2, 3, 5} and keys("less-than", "b") == {0, 1, 2, 3, 4, 5}
+    assert keys("not-equals", "b") == {0, 1, 2, 3, 4, 5} and keys("greater-than", "a") == {0, 1, 2, 3, 4}
+
+
+def test_blank_rows_in_cohorts(spark):
+    own = spark.createDataFrame([("a", None), ("b", 5.0), ("c", None), ("c", 7.0)], "k string, v double")
+    over = [Predicate("v", "greater-than", 1)]
+    assert {r["k"] for r in T.query(own, ["k"], (), "k", [Cohort("not-exists", over)]).collect()} == {"a"}
+    assert {r["k"] for r in T.query(own, ["k"], (), "k", [Cohort("exists", over)]).collect()} == {"b", "c"}
+
+
+def test_match_summary_and_argument_limits(spark, sales):
+    got = lambda **o: tuple(T.match_summary(sales, [Predicate("Country", "equals", "France")], **o).first())
+    assert got() == (3, 3, False) and got(limit=2) == (3, 2, True) and got(offset=2, limit=2) == (3, 1, False) and got(offset=9) == (3, 0, False)
+    with pytest.raises(ValueError, match="predicates"):
+        T.query(sales, (), [Predicate("Country", "is-blank")] * 21, order="o", bounded=True)
+    with pytest.raises(ValueError, match="metrics"):
+        T.aggregate(sales, [Metric("count")] * 9, bounded=True)
