@@ -46,9 +46,12 @@ def factors(windows: list[int], words: list[int], index: dict[int, int], block:
         if place is None:
             i += 1  # a literal
             continue
-        size, most = width, min(len(words) - i, len(block) - place)
+        size, most = 0, min(len(words) - i, len(block) - place)
         while size < most and words[i + size] == block[place + size]:
             size += 1
+        if size < width:  # other words under the same hash
+            i += 1
+            continue
         out.append((i, place, size))
         i += size - width + 1
     return out
