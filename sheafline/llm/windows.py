@@ -14,7 +14,9 @@ the stretches of text whose windows can repeat, and lets a *resolver* decide.
     hash; stretches around an anchor with very many variants go there window by
     window, by the window's hash, so no anchor makes a large shard.  Of one
     window, a group of documents sends its least document's only and marks the
-    others' itself, so a hot window costs its shard one row a group.
+    others' itself.  Those of some groups are thinned once more in between, about
+    the square root of all groups at a time, so a hot window costs no task more
+    rows than that root.
 3.  The resolver marks, among a shard's stretches, the windows that a document
     with a smaller id has too.  Marks go back to the documents.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASH_SLICE_BYTES, one_row_per_doc, slices
-from .hashing import BYTE_CODES, Anchors, U, mix, span_hash, text_bytes, word_codes, word_spans
+from .hashing import BYTE_CODES, Anchors, U, mix, prefix_sums, span_hash, text_bytes, word_codes, word_spans
 
 #: Text bytes per bucket of hashes, per shard of stretches and documents per group.
 BUCKET_BYTES = 8 << 20
@@ -48,6 +51,8 @@ MANY = 1 << 14
 WINDOW_SLICE = 1 << 20
 
 REPEAT, ASK, ASK_SPLIT = 1, 2, 3
+#: What a row of stretches holds: marks, or stretches to resolve (under keys below zero: single windows, to thin first).
+MARKED, ASKED = 0, 1
 PACKED = "key long, kind int, docs binary, a binary, b binary"
 STRETCHES = "shard long, grp long, kind int, docs binary, texts binary, starts binary, counts binary, codes binary"
 MARKS = "grp long, docs binary, texts binary, starts binary, counts binary"
@@ -224,7 +229,14 @@ def repeated_later(codes: np.ndarray, at: np.ndarray, width: int, window: np.nda
     return later
 
 
-def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def thinning_key(window: np.ndarray, grp: np.ndarray | int, groups: int, shards: int) -> np.ndarray:
+    """Where windows of some groups are thinned: below zero, no more keys than shards or groups' root."""
+    salts = isqrt(groups) + 1
+    part = (window % U(shards // salts + 1)).astype(np.int64)
+    return -1 - part * salts - grp % salts
+
+
+def answer(units: Units, shards: int, groups: int = 1) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Step 2: a group of documents reads its messages and sends stretches and marks."""
 
     def run(own: pa.Table, mail: pa.Table) -> pa.Table:
@@ -249,7 +261,7 @@ def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
         out = []
         hit = np.flatnonzero(flag == REPEAT)
         if len(hit):
-            out.append((grp % shards, grp, 0, *(x[hit].astype("<i8").tobytes() for x in (docs, content.view(np.int64), starts, found.count)), b""))
+            out.append((grp % shards, grp, MARKED, *(x[hit].astype("<i8").tobytes() for x in (docs, content.view(np.int64), starts, found.count)), b""))
         ask = np.flatnonzero(flag == ASK)
         shard, first, count = (found.anchor_hash[ask] % U(shards)).astype(np.int64), found.first[ask], found.count[ask]
         split = np.flatnonzero(flag == ASK_SPLIT)
@@ -263,9 +275,9 @@ def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
             if later.any():
                 i = split[later]
                 fields = (docs[i], content[i].view(np.int64), one[later] - offsets[found.row[i]], np.ones(len(i), np.int64))
-                out.append((grp % shards, grp, 0, *(x.astype("<i8").tobytes() for x in fields), b""))
+                out.append((grp % shards, grp, MARKED, *(x.astype("<i8").tobytes() for x in fields), b""))
                 split, one, window = split[~later], one[~later], window[~later]
-            shard = np.concatenate([shard, (window % U(shards)).astype(np.int64)])
+            shard = np.concatenate([shard, thinning_key(window, grp, groups, shards)])
             first, count, ask = np.concatenate([first, one]), np.concatenate([count, np.ones(len(one), np.int64)]), np.concatenate([ask, split])
         order = np.argsort(shard, kind="stable")
         row = found.row
@@ -276,7 +288,7 @@ def answer(units: Units, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table
             at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             place = begin - offsets[row[which]]
             fields = (docs[which], content[which].view(np.int64), place, count[i])
-            out.append((key, grp, 1, *(x.astype("<i8").tobytes() for x in fields), codes[at].astype(units.dtype).tobytes()))
+            out.append((key, grp, ASKED, *(x.astype("<i8").tobytes() for x in fields), codes[at].astype(units.dtype).tobytes()))
         return pa.Table.from_batches([batch(STRETCHES_ARROW, out)], STRETCHES_ARROW)
 
     return run
@@ -292,8 +304,8 @@ def resolve(units: Units, resolver: Resolver) -> Callable[[pa.Table], pa.Table]:
     def run(rows: pa.Table) -> pa.Table:
         kinds = np.array(rows.column("kind").to_pylist())
         names = ("docs", "texts", "starts", "counts")
-        known = rows.filter(pa.array(kinds == 0)).select(["grp", *names]).cast(MARKS_ARROW)
-        asked = rows.filter(pa.array(kinds == 1))
+        known = rows.filter(pa.array(kinds == MARKED)).select(["grp", *names]).cast(MARKS_ARROW)
+        asked = rows.filter(pa.array(kinds == ASKED))
         if not asked.num_rows:
             return known
         docs, content, starts, counts = joined(asked, names, ("<i8",) * 4)
@@ -321,6 +333,37 @@ def resolve(units: Units, resolver: Resolver) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def thin(units: Units, resolver: Resolver, shards: int) -> Callable[[pa.Table], pa.Table]:
+    """Step 3 for all but single windows; of those, each one's least document goes on, to the window's shard."""
+    settle = resolve(units, resolver)
+    names = ("docs", "texts", "starts")
+
+    def run(rows: pa.Table) -> pa.Table:
+        if rows.column("shard")[0].as_py() >= 0:
+            marks = settle(rows).to_pylist()
+            out = [(m["grp"] % shards, m["grp"], MARKED, m["docs"], m["texts"], m["starts"], m["counts"], b"") for m in marks]
+            return pa.Table.from_batches([batch(STRETCHES_ARROW, out)], STRETCHES_ARROW)
+        fields = joined(rows, names, ("<i8",) * 3)
+        sizes = [len(x) // 8 for x in rows.column("docs").to_pylist()]
+        grp = np.repeat(np.array(rows.column("grp").to_pylist(), np.int64), sizes)
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), units.dtype)
+        at = np.arange(len(grp)) * units.width
+        window = span_hash(prefix_sums(units.hashable(codes)), at, at + units.width)
+        later = repeated_later(codes, at, units.width, window, fields[0])
+        shard = np.where(later, grp % shards, (window % U(shards)).astype(np.int64))
+        order = np.lexsort((grp, shard, later))
+        flat = codes.reshape(-1, units.width)
+        out = []
+        for _, s, e in runs(((shard * 2 + later) * (int(grp.max()) + 1) + grp)[order]):
+            i = order[s:e]
+            kind = MARKED if later[i[0]] else ASKED
+            ones = np.ones(len(i), "<i8").tobytes()
+            out.append((int(shard[i[0]]), int(grp[i[0]]), kind, *(x[i].tobytes() for x in fields), ones, b"" if kind == MARKED else flat[i].tobytes()))
+        return pa.Table.from_batches([batch(STRETCHES_ARROW, out)], STRETCHES_ARROW)
+
+    return run
+
+
 def covered(codes: np.ndarray, offsets: np.ndarray, doc_ids: np.ndarray, content: np.ndarray, marks: pa.Table, width: int) -> np.ndarray:
     """Whether each code of a group of documents lies under a marked window."""
     docs, texts, starts, counts = joined(marks, ("docs", "texts", "starts", "counts"), ("<i8",) * 4)
@@ -371,8 +414,9 @@ def remove_repeats(docs: DataFrame, units: Units, resolver: Resolver, finisher:
     )
     grouped = full.withColumn("grp", group_column(groups))
     mail = announce(own, units, buckets, groups).groupBy("key").applyInArrow(weigh(groups, MANY), PACKED).withColumnRenamed("key", "grp")
-    sent = grouped.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(answer(units, shards), STRETCHES)
-    marks = sent.groupBy("shard").applyInArrow(resolve(units, resolver), MARKS)
+    sent = grouped.groupBy("grp").cogroup(mail.groupBy("grp")).applyInArrow(answer(units, shards, groups), STRETCHES)
+    thinned = sent.groupBy("shard").applyInArrow(thin(units, resolver, shards), STRETCHES)
+    marks = thinned.groupBy("shard").applyInArrow(resolve(units, resolver), MARKS)
     return grouped.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(finish(units, finisher), result)
 
 

@@ -87,6 +87,37 @@ def test_a_group_sends_one_copy_of_a_hot_window(monkeypatch):
     assert len(copies) + marked == sum(len(t) - 49 for t in texts) and marked >= 39 * 71
 
 
+def hot_window(n):
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh", k=90))
+    words = " ".join(rng.choices(["ab", "c", "def", "gh"], k=30))
+    return [(i, "".join(rng.choices("stuvwxyz ", k=60)) + passage + " " + words + " " + "".join(rng.choices("stuvwxyz ", k=60))) for i in range(n)]
+
+
+def test_a_hot_window_is_thinned_over_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(windows, "MANY", 1)
+    monkeypatch.setattr(windows, "GROUP_DOCS", 2)
+    docs = hot_window(120)
+    rows = frame(spark, docs + docs[40:60]).repartition(7)
+    twice = docs + docs[40:60]
+    assert sorted(map(tuple, suffix_dedup.removed(rows).collect())) == brute.byte_dedup(twice)
+    assert sorted(map(tuple, rlz_dedup.removed(rows).collect())) == brute.word_dedup(twice)
+
+
+def test_thinning_sends_one_copy_of_a_window_on():
+    import pyarrow as pa
+
+    units = windows.Units(50, suffix_dedup.UNITS.k, False)
+    window = np.frombuffer(bytes(range(50)) + bytes(range(50, 100)), np.uint8)
+    rows = [(-1, g, windows.ASKED, *(np.array(x, "<i8").tobytes() for x in ([g + 5, g + 5], [g, g], [0, 50], [1, 1])), window.tobytes()) for g in range(30)]
+    got = windows.thin(units, suffix_dedup.mark_repeats, 8)(pa.Table.from_batches([windows.batch(windows.STRETCHES_ARROW, rows)])).to_pylist()
+    sent = [r for r in got if r["kind"] == windows.ASKED]
+    assert sum(len(r["docs"]) // 8 for r in sent) == 2 and {r["grp"] for r in sent} == {0}
+    assert sum(len(r["docs"]) // 8 for r in got if r["kind"] == windows.MARKED) == 58
+    keys = windows.thinning_key(np.arange(1000, dtype=np.uint64), np.arange(1000), 1000, 64)
+    assert keys.max() < 0 and len(np.unique(keys)) <= 128
+
+
 def test_jaccard(spark, docs):
     assert sorted(map(tuple, ngram_join.join(frame(spark, docs)).collect())) == brute.jaccard_components(docs)
 
