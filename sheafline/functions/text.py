@@ -125,3 +125,24 @@ def clock_of_days(days: Column) -> Column:
     total = F.round(F.abs(days) * 86400).cast("long")
     parts = F.format_string("%d:%02d:%02d", F.floor(total / 3600).cast("long"), F.floor(F.pmod(total, F.lit(3600)) / 60).cast("long"), F.pmod(total, F.lit(60)))
     return F.when(days < 0, F.concat(F.lit("-"), parts)).otherwise(parts)
+
+
+# Media types of zipped documents.
+CONTAINERS = {
+    "application/epub+zip": "epub",
+    "application/vnd.oasis.opendocument.text": "odt",
+    "application/vnd.oasis.opendocument.spreadsheet": "ods",
+    "application/vnd.oasis.opendocument.presentation": "odp",
+}
+
+
+def container_format(mime: Column) -> Column:
+    """The format that a zipped document's own media type names; templates are of their document's format."""
+    base = F.regexp_replace(mime, "-template$", "")
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in CONTAINERS.items() for x in pair)), base)
+
+
+def time_of_day(days: Column) -> Column:
+    """A fraction of a day as ``hh:mm:ss``."""
+    seconds = F.pmod(F.floor(F.abs(days) * 86400 + 0.5).cast("long"), F.lit(86400))
+    return F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(F.pmod(seconds, F.lit(3600)) / 60), F.pmod(seconds, F.lit(60)))

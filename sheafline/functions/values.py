@@ -116,3 +116,26 @@ def finite(column: Column, kind: T.DataType) -> Column:
         return F.lit(None).cast("double")
     c = column.cast("double")
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+
+
+def float_text(column: Column) -> Column:
+    """A double by 15 significant digits in its shortest form, never with an exponent from 1e-20 up to 1e21."""
+    c = F.format_string("%.14e", column.cast("double")).cast("double")
+    shape = lambda kind: F.regexp_replace(F.regexp_replace(c.cast("string").cast(kind).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    size = F.abs(c)
+    return F.when(c == 0, "0").when((size >= 1) & (size < 1e21), shape("decimal(38,16)")).when((size < 1) & (size >= 1e-20), shape("decimal(38,37)")).otherwise(number_text(c))
+
+
+def joined_text(*columns: tuple[Column, T.DataType]) -> Column:
+    """A formula's ``&``: the values' texts end to end, blanks being empty."""
+    return F.concat(*(F.coalesce(text(c, kind), F.lit("")) for c, kind in columns))
+
+
+def cell_value(value: Column, formula: Column, result: Column) -> Column:
+    """A formula's stored result, or the cell's own value."""
+    return F.when(formula.isNotNull(), result).otherwise(value)
+
+
+def projected_value(value: Column, kind: T.DataType, display: Column) -> Column:
+    """A value with its display text where that differs from its plain text."""
+    return F.struct(value.alias("value"), F.when(~display.eqNullSafe(text(value, kind)), display).alias("display"))

@@ -225,3 +225,17 @@ def containment(docs: DataFrame, probes: DataFrame) -> DataFrame:
     have = trigrams(docs, "doc_id").select("doc_id", F.explode("g").alias("gram"))
     shared = have.join(asked, "gram").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
     return shared.select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("containment"))
+
+
+def trigram_set(text: Column) -> Column:
+    """The distinct word trigrams of a text; null: none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+    many = F.greatest(F.size(words) - 2, F.lit(0))
+    triples = F.arrays_zip(F.slice(words, 1, many).alias("a"), F.slice(words, 2, many).alias("b"), F.slice(words, 3, many).alias("c"))
+    return F.array_distinct(F.transform(triples, lambda p: F.concat_ws(" ", p["a"], p["b"], p["c"])))
+
+
+def text_containment(expected: Column, actual: Column) -> Column:
+    """Share of one text's distinct word trigrams that another text of the row has; 1.0 where there are none."""
+    asked = trigram_set(expected)
+    return F.when(F.size(asked) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(asked, trigram_set(actual))) / F.size(asked))
