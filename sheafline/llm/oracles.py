@@ -48,9 +48,45 @@ kept AS (SELECT rest.doc_id, string_agg(word, ' ' ORDER BY rest.i) AS t FROM res
 SELECT w.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN lists ON w.doc_id = lists.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id"""
 
+#: One round of clustering: assignment of the vectors to centroids ``c{0}``.
+ASSIGN = """d{0} AS (SELECT v.r, v.vec_id, v.x, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM v, c{0} c),
+a{0} AS (SELECT * FROM d{0} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1),"""
+UPDATE = """s{0} AS (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(1, 65)) AS i FROM a{0}) GROUP BY c, i),
+c{1} AS (SELECT p.c, coalesce(x.x, p.x) AS x FROM c{0} p LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{0} GROUP BY c) x USING (c)),"""
+ROUNDS = " ".join(ASSIGN.format(r) + " " + UPDATE.format(r, r + 1) for r in range(3)) + " " + ASSIGN.format(3)
+
+CLUSTERS = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16)), {ROUNDS}
+per AS (SELECT c, sum(d) AS s FROM a3 GROUP BY c)
+SELECT vec_id, a3.c::INT AS cluster, d AS distance, per.s::BIGINT AS cluster_inertia, (SELECT sum(s) FROM per)::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM a3 JOIN per USING (c) JOIN c3 ON a3.c = c3.c"""
+
+INNER = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
+
+AUDIT = f"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {WORDS.format('text')} AS w FROM documents),
+f AS (SELECT part, coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS bad, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t),
+  regexp_matches(t, '[#$%&*|]'), w.doc_id > min(w.doc_id) OVER (PARTITION BY t)] AS fails FROM w LEFT JOIN labels USING (doc_id)),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM f GROUP BY ALL),
+m AS (SELECT *, list_transform(string_split(filter_order, ''), lambda x: fails[ascii(x) - 64]) AS seq FROM g, o),
+k AS (SELECT *, coalesce(list_position(seq, true), 6) AS gone, len(list_filter(fails, lambda x: x)) AS many FROM m),
+r AS (SELECT part, filter_order, step, sum(CASE WHEN gone > step THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN seq[step] AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN seq[step] AND many = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN gone = step THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN gone = step THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+  FROM k, range(1, 6) s(step) GROUP BY part, filter_order, step)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM r"""
+
 ORACLES = {
     "op1_embedding_dedup": EMBEDDINGS,
     "op2_suffix_array_dedup": BYTES,
     "op3_ngram_jaccard_join": JACCARD,
     "op7_substring_dedup": RUNS,
+    "op11_exact_top_k": INNER,
+    "op12_centroid_clustering": CLUSTERS,
+    "op13_filter_interaction_audit": AUDIT,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_extract, ngram_join, packing, quality_classifier, quality_rules, rlz_dedup, suffix_dedup, toxicity
+from . import bpe, centroids, embedding_dedup, exact_search, filter_audit, html_extract, ngram_join, packing, quality_classifier, quality_rules, rlz_dedup, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -57,10 +57,22 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_dedup, op2_suffix_array_dedup, op3_ngram_jaccard_join, op4_toxicity, op5_quality_rules, op6_byte_bpe, op7_substring_dedup,
-        op8_quality_classifier, op9_best_fit_packing, op10_html_extraction,
+        op8_quality_classifier, op9_best_fit_packing, op10_html_extraction, op11_exact_top_k, op12_centroid_clustering, op13_filter_interaction_audit,
     )
     return {f.__name__: f for f in found}
 
