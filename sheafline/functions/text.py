@@ -79,6 +79,13 @@ def roman_marker(n: Column) -> Column:
     return F.when(n.between(1, 3999), F.concat(F.coalesce(pick(3), F.lit("")), pick(2), pick(1), pick(0))).otherwise(n.cast("string"))
 
 
+def marker_ordinal(kind: Column, n: Column) -> Column:
+    """An ordinal in a marker's form: bullet, decimal, lower-alpha, upper-alpha, lower-roman or upper-roman."""
+    alpha = F.when(n > 0, alpha_marker(n)).otherwise("0")
+    roman = roman_marker(n)
+    return F.when(kind == "bullet", "-").when(kind == "lower-alpha", alpha).when(kind == "upper-alpha", F.upper(alpha)).when(kind == "lower-roman", roman).when(kind == "upper-roman", F.upper(roman)).otherwise(n.cast("string"))
+
+
 def value_kind(c: Column) -> Column:
     """What a text looks like: blank, number, date, clock time, boolean or text."""
     t = F.trim(c)

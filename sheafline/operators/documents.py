@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafline.operators.grid import placed_cells
+
 #: Elements whose text is never shown.
 HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</\1\s*>|<!--.*?-->"
 BLOCK = (
@@ -85,7 +87,8 @@ def placed(pages: DataFrame) -> DataFrame:
     at = Window.partitionBy("page_id", "table_depth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("table_no", count(table, at))
     at = Window.partitionBy("page_id", "table_depth", "table_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("row_no", count(tag == "tr", at))
+    groups = tag.isin("thead", "tbody", "tfoot", "/thead", "/tbody", "/tfoot")
+    own = own.withColumns({"row_no": count(tag == "tr", at), "group_no": count(groups, at), "in_head": count(tag == "thead", at) > count(tag == "/thead", at) + count(tag.isin("tbody", "tfoot"), at)})
     at = Window.partitionBy("page_id", "table_depth", "table_no", "row_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("cell_no", count(tag.isin("td", "th"), at))
 
@@ -112,18 +115,40 @@ def span(name: str) -> Column:
 
 
 def html_tables(pages: DataFrame) -> DataFrame:
-    """``page_id, table_depth, table_no, row_no, cell_no, header, row_span, col_span, text`` of each table cell.
+    """``page_id, table_depth, table_no, row_no, cell_no, header, in_head, last_row, row_span, col_span, text`` of each table cell.
 
-    Spans are kept in the bounds that browsers set: 1,000 columns, 65,534 rows.
+    Spans are kept in the bounds that browsers set: 1,000 columns, 65,534 rows; a
+    row span of 0 means all rows to ``last_row``, the last one of the row group.
     """
-    cells = placed(pages).where("table_depth > 0 AND cell_no > 0").withColumn("text", plain(F.col("body")))
+    group = Window.partitionBy("page_id", "table_depth", "table_no", "group_no")
+    own = placed(pages).where("table_depth > 0").withColumn("last_row", F.max("row_no").over(group))
+    cells = own.where("cell_no > 0").withColumn("text", plain(F.col("body")))
     is_cell = F.col("tag").isin("td", "th")
-    spans = {"row_span": F.least(span("rowspan"), F.lit(65_534)), "col_span": F.greatest(F.lit(1), F.least(span("colspan"), F.lit(1000)))}
+    spans = {"row_span": F.least(span("rowspan"), F.lit(65_534)), "col_span": F.greatest(F.lit(1), F.least(span("colspan"), F.lit(1000))), "last_row": F.col("last_row"), "in_head": F.col("in_head")}
     return cells.groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(
         F.bool_or(F.col("tag") == "th").alias("header"), *(F.max(F.when(is_cell, c)).alias(n) for n, c in spans.items()), in_order(F.col("text")).alias("text")
     )
 
 
+TABLE = ["page_id", "table_depth", "table_no"]
+
+
+def html_table_grid(pages: DataFrame) -> DataFrame:
+    """``page_id, table_depth, table_no, r, c, row_span, col_span, header_row, text`` of each cell, at its place in the grid.
+
+    ``r`` and ``c`` are counted from 0.  ``header_row`` marks the rows at a table's
+    head that are in ``thead`` or hold header cells only.
+    """
+    row, whole = Window.partitionBy(*TABLE, "row_no"), Window.partitionBy(*TABLE)
+    heads = html_tables(pages).withColumn("head", F.bool_and(F.col("in_head") | F.col("header")).over(row))
+    marked = heads.withColumn("body_row", F.min(F.when(~F.col("head"), F.col("row_no"))).over(whole))  # a table is of one page
+    cells = marked.select(
+        *TABLE, F.col("row_no").alias("row"), F.col("cell_no").alias("cell"), "row_span", "col_span", "last_row", (F.col("text") != "").alias("filled"),
+        (F.col("row_no") < F.coalesce("body_row", F.lit(1 << 40))).alias("header_row"), "text",
+    )
+    return placed_cells(cells, TABLE).select(*TABLE, (F.col("row") - 1).alias("r"), "c", "row_span", "col_span", "header_row", "text")
+
+
 #: Inline elements and their Markdown marks, and the private characters that stand for them and for links until text is escaped.
 INLINE = (("strong|b", "**", "\ue000"), ("em|i", "*", "\ue001"), ("del|s|strike", "~~", "\ue002"), ("code|kbd|samp|tt", "`", "\ue003"))
 LABEL, TARGET, END = "\ue010", "\ue011", "\ue012"

@@ -69,30 +69,6 @@ def resized(axes: DataFrame, commands: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("sheet", "axis", "index").agg(latest("size"), F.coalesce(latest("hidden"), F.lit(False)).alias("hidden"))
 
 
-def meeting(a: DataFrame, b: DataFrame, block: int = 64) -> DataFrame:
-    """Rows of ``a`` whose rectangle shares a cell with one of ``b`` on the same sheet: an equi-join on blocks of rows."""
-    reach = lambda t, u: F.explode(F.sequence(F.floor(F.col(t) / block), F.floor(F.col(u) / block)))
-    other = b.select("sheet", *(F.col(c).alias(f"b_{c}") for c in RECTANGLE), reach("top", "bottom").alias("block"))
-    cross = (F.col("top") <= F.col("b_bottom")) & (F.col("b_top") <= F.col("bottom")) & (F.col("left") <= F.col("b_right")) & (F.col("b_left") <= F.col("right"))
-    return a.withColumn("block", reach("top", "bottom")).join(other, ["sheet", "block"]).where(cross).select(*a.columns).distinct()
-
-
-def merged(merges: DataFrame, new: DataFrame) -> DataFrame:
-    """Merges with each sheet's new one added; ``error_code`` names those refused as they overlap one.
-
-    ``new`` has one rectangle a sheet.
-    """
-    new = oriented(new.select("sheet", *RECTANGLE))
-    refused = meeting(new, merges).withColumn("error_code", F.lit("overlap"))
-    added = new.join(refused, new.columns, "left")
-    return merges.select("sheet", *RECTANGLE, F.lit(None).cast("string").alias("error_code")).unionByName(added)
-
-
-def unmerged(merges: DataFrame, gone: DataFrame) -> DataFrame:
-    """Merges but those that equal a given rectangle."""
-    return merges.join(oriented(gone.select("sheet", *RECTANGLE)), ["sheet", *RECTANGLE], "left_anti")
-
-
 def content_under_objects(cells: DataFrame, objects: DataFrame, block: int = 64) -> DataFrame:
     """New cells inside an object's rectangle, each with its first object: ``sheet, row, col, object``."""
     reach = F.explode(F.sequence(F.floor(F.col("top") / block), F.floor(F.col("bottom") / block))).alias("block")

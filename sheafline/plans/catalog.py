@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheafline.plans import structure_queries, table_queries, text_queries, update_queries
+from sheafline.plans import order_queries, structure_queries, table_queries, text_queries, update_queries
 
-ALL = table_queries.QUERIES | text_queries.QUERIES | structure_queries.QUERIES | update_queries.QUERIES
+ALL = table_queries.QUERIES | text_queries.QUERIES | structure_queries.QUERIES | update_queries.QUERIES | order_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

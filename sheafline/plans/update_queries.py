@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from sheafline.functions import text as X
 from sheafline.functions import values as V
+from sheafline.operators import commands as C
 from sheafline.operators import documents as D
 from sheafline.operators import lists as I
 from sheafline.operators import workbook as W
@@ -36,11 +37,13 @@ def axis_sizes(s, d):
 
 
 def merge_changes(s, d):
-    """Every third rectangle is stored; others are added one a sheet, and some of the stored ones taken off."""
+    """Every third rectangle is stored; some of the stored ones are taken off, then others added."""
     own = sheet_rows(s, d).withColumn("sheet", F.floor(F.col("id") / 3).cast("long"))
-    stored, new = own.where("id % 3 = 0"), own.where("id % 3 = 1")
-    kept = W.unmerged(stored, stored.where("id % 2 = 0").select("sheet", F.col("bottom").alias("top"), F.col("right").alias("left"), F.col("top").alias("bottom"), F.col("left").alias("right")))
-    return W.merged(kept, new)
+    stored, new = own.where("id % 3 = 0"), own.where("id % 3 = 1").select("sheet", F.col("id").alias("step"), F.lit("merge").alias("kind"), *W.RECTANGLE)
+    gone = stored.where("id % 2 = 0").select("sheet", F.col("id").alias("step"), F.lit("unmerge").alias("kind"), F.col("bottom").alias("top"), F.col("right").alias("left"), F.col("top").alias("bottom"), F.col("left").alias("right"))
+    decided = C.merge_decisions(stored, new.unionByName(gone)).select("sheet", "kind", *W.RECTANGLE, "error_code")
+    kept = stored.join(decided.where("kind = 'unmerge'"), ["sheet", *W.RECTANGLE], "left_anti").select("sheet", *W.RECTANGLE, F.lit(None).cast("string").alias("error_code"))
+    return kept.unionByName(decided.where("kind = 'merge'").drop("kind"))
 
 
 def clipped_ranges(s, d):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheafline.streaming import keyed_store
+
 ATTEMPTS, FIRST_DELAY, LONGEST_DELAY = 4, 1.0, 60.0
 
 
@@ -17,10 +16,7 @@ def keyed(docs: DataFrame, content: str = "text") -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, key: str = "sha256", order: str = "doc_id") -> DataFrame:
-    """The first row of each key, by one aggregation with map-side combining."""
-    columns = [c for c in docs.columns if c != key]
-    least = docs.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("r"))
-    return least.select(key, "r.*")
+    return keyed_store.first_row(docs, key, order)
 
 
 def retry_delay(attempt: Column) -> Column:
@@ -28,34 +24,11 @@ def retry_delay(attempt: Column) -> Column:
     return F.when(attempt < ATTEMPTS, F.least(F.lit(LONGEST_DELAY), FIRST_DELAY * F.pow(F.lit(2.0), attempt - 1)))
 
 
-def sink(path: str, key: str = "sha256", order: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A batch writer that skips keys stored before, so a repeated batch changes nothing.
-
-    Each batch writes its own folder, replaced when the batch is run again.  Of a
-    batch's rows with one key the first by ``order`` is stored, any one without it.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key]) if order is None else first_of_each(batch, key, order)
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch") != number).select(key)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise  # else nothing is stored yet
-            stored = None
-        if stored is not None:
-            rows = rows.join(stored, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
-
-
 def ingest_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str, content: str = "text"):
     """Starts a query over the Parquet files that arrive in ``source``; runs what is there."""
     arriving = spark.readStream.schema(schema).parquet(source)
     order = "doc_id" if "doc_id" in arriving.columns else None
-    return keyed(arriving, content).writeStream.foreachBatch(sink(target, order=order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return keyed(arriving, content).writeStream.foreachBatch(keyed_store.sink(target, order=order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_state(events: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Files, delimiters, pages and the streaming sink."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheafline.operators import documents as D
-from sheafline.sources import files
-from sheafline.streaming import events, ingest
+from sheafline.sources import files, tiles
+from sheafline.streaming import events, ingest, keyed_store
 
 
 def test_files_are_detected(spark, tmp_path):
@@ -46,14 +47,57 @@ def test_stream_stores_each_content_once(spark, tmp_path):
         ingest.ingest_stream(spark, source, first.schema, target, check).awaitTermination()
     spark.createDataFrame([(5, "b"), (6, "c")], first.schema).write.mode("append").parquet(source)
     ingest.ingest_stream(spark, source, first.schema, target, check).awaitTermination()
-    stored = [r["text"] for r in spark.read.parquet(target).collect()]
-    assert sorted(x or "" for x in stored) == ["", "a", "b", "c"]
-    # a batch that runs again replaces its own rows
+    store = keyed_store.KeyedStore(spark, target)
+    assert sorted(r["text"] or "" for r in store.rows().collect()) == ["", "a", "b", "c"]
+    # a batch that runs again adds nothing
     batch = spark.createDataFrame([(6, "c"), (7, "d")], first.schema)
-    write = ingest.sink(target)
-    for _ in range(2):
-        write(ingest.keyed(batch), 99)
-    assert spark.read.parquet(target).count() == 5
+    assert [store.write(ingest.keyed(batch), 99) for _ in range(2)] == [1, 0]
+    assert store.rows().count() == 5
+
+
+def test_two_writers_never_both_store_a_key(spark, tmp_path):
+    one, two = (keyed_store.KeyedStore(spark, str(tmp_path / "s"), "k", buckets=4) for _ in range(2))
+    rows = lambda who, *keys: spark.createDataFrame([(k, who) for k in keys], "k string, who string")
+    claim = one._claim
+
+    def late(number, attempt):
+        one._claim = claim
+        two.write(rows("two", "b", "c"), 2)  # between the first one's look at the store and its claim
+        return claim(number, attempt)
+
+    one._claim = late
+    assert one.write(rows("one", "a", "b", "b"), 1) == 1
+    assert sorted(map(tuple, one.rows().collect())) == [("a", "one"), ("b", "two"), ("c", "two")]
+    assert two.write(rows("three", "a", "c"), 3) == 0 and two.last() == 3
+    # only the folders of a batch's keys are read
+    plan = one.rows([1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_a_lost_claim_counts_as_none(spark, tmp_path, monkeypatch):
+    store = keyed_store.KeyedStore(spark, str(tmp_path / "s"), "k")
+    rows = spark.createDataFrame([("a", 1)], "k string, v long")
+    assert store.write(rows, 1) == 1
+    (tmp_path / "s" / "log" / "000000000002").touch()
+    monkeypatch.setattr(keyed_store, "LOST_S", -1)
+    assert store.write(spark.createDataFrame([("b", 1)], "k string, v long"), 2) == 1 and store.last() == 3
+
+
+def test_a_rectangle_reads_few_files(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    rows = spark.range(400_000).select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("sheet"), (F.floor(F.col("id") / 4) + 1).alias("row"), (F.col("id") % 3 + 1).alias("col"), F.col("id").alias("num"))
+    tiles.write_tiles(rows, path, files=32)
+    got = tiles.inspect(spark, path, "s2", (70_000, 2, 70_009, 3))
+    assert [r["row"] for r in got.collect()] == [r for r in range(70_000, 70_010) if (4 * (r - 1) + 2) % 3 != 0]
+    leaf = tiles.read_rectangle(spark, path, "s2", (70_000, 2, 70_009, 3))
+    leaf.collect()
+    scan = leaf._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read, every = scan.metrics().apply("numFiles").value(), len(spark.read.parquet(path).inputFiles())
+    assert read < every / 3
+    with pytest.raises(ValueError):
+        tiles.inspect(spark, path, "s2", (1, 1, 1000, 101))
+    rects = spark.createDataFrame([("x", "s1", 1, 1, 3, 9), ("y", "s3", 99_999, 1, 100_005, 1), ("z", "no", 1, 1, 9, 9)], "rect string, sheet string, top long, left long, bottom long, right long")
+    assert sorted((r["rect"], r["row"]) for r in tiles.read_rectangles(spark, path, rects).collect()) == [("x", 1), ("x", 2), ("x", 3), *(("y", r) for r in (99_999, 100_000) if (4 * (r - 1) + 3) % 3 == 0)]
 
 
 def test_containment(spark):

@@ -40,14 +40,6 @@ def test_formats_keep_values_and_make_blank_cells(spark):
     assert got == {(1, 1): ("x", {"bold": "yes", "fill": "blue"}), (1, 2): (None, {"fill": "red"}), (9, 9): ("y", None)}
 
 
-def test_merges_refuse_overlaps(spark):
-    rect = "sheet string, top long, left long, bottom long, right long"
-    merges = spark.createDataFrame([("s", 1, 1, 2, 2), ("t", 1, 1, 2, 2)], rect)
-    out = W.merged(merges, spark.createDataFrame([("s", 3, 3, 2, 2), ("t", 200, 5, 3, 1)], rect))
-    assert {(r["sheet"], r["top"]): r["error_code"] for r in out.collect() if r["top"] > 1} == {("s", 2): "overlap", ("t", 3): None}
-    assert W.unmerged(merges, spark.createDataFrame([("s", 2, 2, 1, 1)], rect)).count() == 1
-
-
 def test_nested_lists(spark):
     rows = [(0, 0, 1), (1, 1, 1), (2, 1, 2), (3, 0, 2), (4, 1, 3), (5, 0, 5), (6, 2, 1), (7, 1, 1)]
     entries = spark.createDataFrame([(1, p, lv, 0, True, n) for p, lv, n in rows], "doc_id long, position long, level int, key int, ordered boolean, number long")
