@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import value_kind
+from sheafline.operators.rounds import stages
 
 
 def numbered_notes(references: DataFrame) -> DataFrame:
@@ -18,6 +19,49 @@ def numbered_notes(references: DataFrame) -> DataFrame:
     return first.withColumn("number", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "note_id"))).select("doc_id", "note_id", "number")
 
 
+def nested_notes(notes: DataFrame, references: DataFrame) -> DataFrame:
+    """``doc_id, note_id, number, definition`` of each note that is shown, in reading order through notes in notes.
+
+    ``notes`` has ``doc_id, note_id, position, text``; ``references`` has ``doc_id,
+    inside`` (the note that holds it, null: the body), ``position, note_id``.  A
+    note is read where it is first referred to, before what follows there; blank
+    notes are passed over with all that they refer to, and notes that nothing
+    read refers to come last, in their own order.  Of several notes of one id the
+    first that isn't blank counts.
+
+    A note's place is its path: the positions of the references that lead to it.
+    The least path is that of its first visit, since a shorter path is less than
+    its own extensions.  Rounds extend the paths that the last round has
+    shortened or found, so there are as many as notes lie in one another.
+    """
+    spark = notes.sparkSession
+    with stages(spark) as stage:
+        shown = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")) != ""
+        ids = notes.groupBy("doc_id", "note_id").agg(F.min("position").alias("position"), F.min_by(F.when(shown, F.col("text")), F.when(shown, F.col("position"))).alias("text"))
+        first = stage(ids.where("text is not null"))
+        known = references.join(first.select("doc_id", "note_id"), ["doc_id", "note_id"], "left_semi")
+        edges = stage(known.groupBy("doc_id", "inside", "note_id").agg(F.min("position").alias("at")))
+        path = F.array(F.col("at").cast("long"))
+        news = stage(edges.where("inside is null").select("doc_id", "note_id", path.alias("path")))
+        best = news
+        while not news.isEmpty():
+            within = edges.where("inside is not null").withColumnRenamed("note_id", "to").join(news.withColumnRenamed("note_id", "inside"), ["doc_id", "inside"])
+            longer = within.groupBy("doc_id", F.col("to").alias("note_id")).agg(F.min(F.concat("path", F.array(F.col("at").cast("long")))).alias("path"))
+            old = best.withColumnRenamed("path", "was")
+            news = stage(longer.join(old, ["doc_id", "note_id"], "left").where("was is null or path < was").select("doc_id", "note_id", "path"))
+            best = stage(best.unionByName(news).groupBy("doc_id", "note_id").agg(F.min("path").alias("path")))
+        placed = first.join(best, ["doc_id", "note_id"], "left")
+        order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("path"), "position", "note_id")
+        return stage(placed.select("doc_id", "note_id", F.row_number().over(order).alias("number"), F.col("text").alias("definition")), keep=True)
+
+
+def footnote_lines(number: Column, text: Column) -> Column:
+    """A note's definition in Markdown: further lines are indented."""
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\r?\n")
+    shown = F.transform(lines, lambda line, i: F.when((i == 0) | (line == ""), line).otherwise(F.concat(F.lit("    "), line)))
+    return F.concat(F.lit("[^"), number.cast("string"), F.lit("]: "), F.array_join(shown, "\n"))
+
+
 def claimed_slugs(headings: DataFrame) -> DataFrame:
     """Unique anchors of a document's headings: slug, slug-1, slug-2, ... in reading order.
 
@@ -92,14 +136,17 @@ def modal_width(widths: DataFrame) -> DataFrame:
 
 
 def due_jobs(jobs: DataFrame, now) -> DataFrame:
-    """Jobs to claim: queued, due for a retry, or with a lease that has run out; last attempts fail.
+    """Jobs to claim: queued, due for a retry, or with a lease that has run out, if an attempt is left.
 
-    Takes ``job_id, state, attempt, max_attempts, due_at, lease_until``.
+    Takes ``job_id, state, attempt, max_attempts, due_at, lease_until``.  A last
+    attempt whose lease has run out fails with ``lease-lost``; other jobs without
+    an attempt left are not given.
     """
     expired = (F.col("state") == "running") & (F.col("lease_until") <= now)
     due = (F.col("state") == "queued") | ((F.col("state") == "retry") & (F.col("due_at") <= now)) | expired
-    over = expired & (F.col("attempt") >= F.col("max_attempts"))
-    return jobs.where(due).select("job_id", F.when(over, "failed").otherwise("running").alias("state"), F.when(over, F.col("attempt")).otherwise(F.col("attempt") + 1).alias("attempt"))
+    over = F.col("attempt") >= F.col("max_attempts")
+    state, attempt = F.when(over, "failed").otherwise("running"), F.when(over, F.col("attempt")).otherwise(F.col("attempt") + 1)
+    return jobs.where(due & (expired | ~over)).select("job_id", state.alias("state"), attempt.alias("attempt"), F.when(over, "lease-lost").alias("error_code"))
 
 
 def overlapping_merges(merges: DataFrame, block: int = 64) -> DataFrame:

@@ -12,10 +12,14 @@ from sheafline.operators import dependencies as Y
 from sheafline.operators import documents as D
 from sheafline.operators import grid as G
 from sheafline.operators import numbering as N
+from sheafline.operators import portable as V
+from sheafline.operators import structure as R
+from sheafline.operators import styles as A
 from sheafline.operators.rounds import shared_dir
 from sheafline.operators.workbook import RECTANGLE
 from sheafline.plans.table_queries import load
 from sheafline.sources.tiles import read_rectangles, write_tiles
+from sheafline.streaming import job_states as J
 from sheafline.streaming.ingest import keyed
 from sheafline.streaming.keyed_store import KeyedStore
 
@@ -125,6 +129,57 @@ def sheet_rectangles(s, d):
     return read_rectangles(s, path, bottoms.select(F.concat(F.lit("r"), "sheet").alias("rect"), "sheet", F.lit(10).cast("long").alias("top"), F.lit(2).alias("left"), F.greatest("bottom", F.lit(10)).alias("bottom"), F.lit(99).alias("right")))
 
 
+def job_states(s, d):
+    """A user's events as commands on one job: creations, claims, renewals, updates under guessed tokens, cancellations."""
+    e, user = F.col("event_id"), F.col("user_id").cast("string")
+    k, at = e % 6, F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    kind = F.when(k == 0, "create").when(k == 3, "renew").when(k == 4, "update").when((k == 5) & (e % 5 == 0), "cancel").otherwise("claim")
+    retry = F.concat(F.lit('{"state":"retry-scheduled","nextAttemptAt":'), (at + 2 * 86_400_000).cast("string"), F.lit(',"errorCode":"fetch-failed"}'))
+    patch = F.when(e % 4 == 0, '{"state":"succeeded","phase":"complete"}').when(e % 4 == 1, retry).when(e % 4 == 2, '{"phase":"process"}').otherwise('{"attempt":9}')
+    commands = load(s, d, "events").select(
+        user.alias("job_id"), e.alias("seq"), F.timestamp_millis(at).alias("at"), kind.alias("kind"), F.concat(F.lit("k"), user, F.when(e % 14 == 0, "x").otherwise("")).alias("key"), (F.col("user_id") % 2 + 3).cast("int").alias("max_attempts"),
+        F.lit("w").alias("worker"), F.concat(F.lit("w:"), (F.floor(e / 6) % 3 + 1).cast("string")).alias("token"), ((e % 10 + 1) * 86_400_000).alias("duration_ms"), patch.alias("patch"),
+    )
+    return J.job_transitions(commands).drop("kind")
+
+
+def style_cascade(s, d):
+    """Twenty parts a page as elements under the page's style sheet, some with a style of their own."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    own = load(s, d, "part").withColumn("page_id", F.floor(k / 20))
+    css = F.concat(
+        F.lit("/* a } */ p, b.c1 { font-weight: 700; display:none }\n.c2{font-style:italic!important;text-decoration:underline} P.c"), (F.col("page_id") % 4).cast("string"),
+        F.lit("{font-weight:normal ! important; text-decoration: line-through} div p {display:block} .c3:hover{display:none} h1{display:none} h1 { Display : BLOCK } .c1{font-weight:600} /* .c0{display:none}"),
+    )
+    style = F.when(size % 5 == 0, "font-style: normal; display:none !important").when(size % 7 == 0, "font-weight:bold")
+    tag = F.get(F.array(*map(F.lit, ("p", "b", "h1", "i"))), (k % 4).cast("int"))
+    classes = F.array(F.concat(F.lit("c"), (size % 4).cast("string")), F.concat(F.lit("c"), (size % 3).cast("string")))
+    elements = own.select("page_id", k.alias("element"), tag.alias("tag"), classes.alias("classes"), style.alias("style"))
+    return A.cascaded(elements, A.style_rules(own.select("page_id", css.alias("css")).distinct()))
+
+
+def note_order(s, d):
+    """Turns of a conversation as notes that refer to one another, every third from the body; every fifth is blank."""
+    turn = F.col("turn")
+    own = load(s, d, "conversations").withColumnRenamed("conv_id", "doc_id")
+    notes = own.select("doc_id", F.concat(F.lit("n"), turn.cast("string")).alias("note_id"), turn.alias("position"), F.when(turn % 5 == 4, " \n").otherwise(F.col("text")).alias("text"))
+    inside = F.when(turn % 3 != 0, F.concat(F.lit("n"), F.floor(turn / 2).cast("string")))
+    to = F.concat(F.lit("n"), ((turn * 7 + F.col("doc_id")) % 6).cast("string"))
+    got = R.nested_notes(notes, own.select("doc_id", inside.alias("inside"), (100 - turn).alias("position"), to.alias("note_id")))
+    return got.select("doc_id", "note_id", "number", R.footnote_lines(F.col("number"), F.col("definition")).alias("line"))
+
+
+def portable_values(s, d):
+    """Events' properties inside eight forms of JSON, two of them invalid and one too deep."""
+    e, name = F.col("event_id"), F.col("event_type")
+    form = F.array(
+        F.lit('{"k": 1'), F.col("props"), F.concat(F.lit('{"a": ['), "props", F.lit(', "é", null, true, false, -1.5]}')),
+        F.concat(F.lit('{"data": "'), F.base64(name.cast("binary")), F.lit('", "$binary": "binary/base64"}')), F.lit('{"x": {"$binary": "binary/base64", "data": "QUJ="}}'),
+        F.concat(F.lit("[[[[["), "props", F.lit("]]]]]")), F.concat(F.lit('"'), name, F.lit('"')), F.lit("[]"),
+    )
+    return V.measured_values(load(s, d, "events").select(e.alias("id"), F.get(form, (e % 8).cast("int")).alias("json")), V.Limits(max_depth=4))
+
+
 LINES = "o AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS part, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2)"
 COVERS = "len(list_filter(active, lambda a: a.t <= {row} AND {row} < a.b AND a.l <= {col} AND {col} < a.r)) > 0"
 
@@ -187,6 +242,47 @@ q AS (SELECT u.t, u.r, u.n, u.i, len(list_filter(firsts, lambda f: f < u.e - 10)
 v AS (SELECT t, r, n, i, 0::BIGINT AS c, place + 1 AS done FROM q WHERE i = 1 UNION ALL SELECT q.t, q.r, q.n, q.i, v.done, greatest(q.place + 1, v.done + 1) FROM v JOIN q ON q.r = v.r AND q.i = v.i + 1)
 SELECT t AS table_id, r AS "row", n AS cell, c, done - c AS col_span FROM v"""
 
+JOBS = """WITH RECURSIVE c AS (SELECT user_id AS u, event_id AS e, (epoch_us(ts) // 1000) AS tm, CASE WHEN e % 6 = 0 THEN 'create' WHEN e % 6 = 3 THEN 'renew' WHEN e % 6 = 4 THEN 'update' WHEN e % 6 = 5 AND e % 5 = 0 THEN 'cancel' ELSE 'claim' END AS kind,
+  'k' || user_id || CASE WHEN event_id % 14 = 0 THEN 'x' ELSE '' END AS k, user_id % 2 + 3 AS most, 'w:' || (event_id // 6 % 3 + 1) AS tok, (event_id % 10 + 1) * 86400000 AS dur, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS i FROM events),
+s AS (SELECT DISTINCT u, 0::BIGINT AS i, NULL::BIGINT AS e, NULL::BIGINT AS tm, NULL::VARCHAR AS outcome, NULL::VARCHAR AS k, NULL::VARCHAR AS state, NULL::VARCHAR AS phase, NULL::BIGINT AS rev, NULL::BIGINT AS att, NULL::BIGINT AS most, NULL::VARCHAR AS tok, NULL::BIGINT AS lease, NULL::BIGINT AS due, NULL::VARCHAR AS err FROM c
+  UNION ALL SELECT u, i, e, tm, o, CASE WHEN o = 'created' THEN nk ELSE k END,
+    CASE WHEN o = 'created' THEN 'queued' WHEN o = 'claimed' THEN 'running' WHEN o = 'lease-lost' THEN 'failed' WHEN o = 'cancelled' THEN 'cancelled' WHEN o = 'updated' AND e % 4 = 0 THEN 'succeeded' WHEN o = 'updated' AND e % 4 = 1 THEN 'retry-scheduled' ELSE state END,
+    CASE WHEN o = 'created' THEN 'queued' WHEN o = 'claimed' THEN 'acquire-source' WHEN o = 'lease-lost' THEN 'failed' WHEN o = 'cancelled' THEN 'cancelled' WHEN o = 'updated' AND e % 4 = 0 THEN 'complete' WHEN o = 'updated' AND e % 4 = 2 THEN 'process' ELSE phase END,
+    CASE WHEN o = 'created' THEN 0 WHEN o IN ('claimed', 'lease-lost', 'cancelled', 'renewed', 'updated') THEN rev + 1 ELSE rev END, CASE WHEN o = 'created' THEN 0 WHEN o = 'claimed' THEN att + 1 ELSE att END, CASE WHEN o = 'created' THEN nmost ELSE most END,
+    CASE WHEN o = 'claimed' THEN 'w:' || (rev + 1) WHEN o IN ('lease-lost', 'cancelled') OR (o = 'updated' AND e % 4 < 2) THEN NULL ELSE tok END,
+    CASE WHEN o IN ('claimed', 'renewed') THEN tm + dur WHEN o IN ('lease-lost', 'cancelled') OR (o = 'updated' AND e % 4 < 2) THEN NULL ELSE lease END,
+    CASE WHEN o IN ('claimed', 'lease-lost', 'cancelled') THEN NULL WHEN o = 'updated' AND e % 4 = 1 THEN tm + 172800000 ELSE due END,
+    CASE WHEN o IN ('claimed', 'cancelled') THEN NULL WHEN o = 'lease-lost' THEN 'lease-lost' WHEN o = 'updated' AND e % 4 = 1 THEN 'fetch-failed' ELSE err END
+  FROM (SELECT *, CASE WHEN kind = 'create' THEN CASE WHEN state IS NULL THEN 'created' WHEN k = nk THEN 'existing' ELSE 'job-conflict' END WHEN state IS NULL THEN 'unknown'
+      WHEN kind = 'claim' THEN CASE WHEN NOT (state = 'queued' OR (state = 'retry-scheduled' AND due <= tm) OR over) THEN 'refused' WHEN att < most THEN 'claimed' WHEN over THEN 'lease-lost' ELSE 'refused' END
+      WHEN kind = 'cancel' THEN CASE WHEN state = 'cancelled' THEN 'existing' WHEN state IN ('succeeded', 'failed') THEN 'refused' ELSE 'cancelled' END
+      WHEN NOT (state = 'running' AND tok = given AND lease > tm) THEN 'refused' WHEN kind = 'renew' THEN 'renewed' WHEN e % 4 = 3 THEN 'job-conflict' ELSE 'updated' END AS o
+    FROM (SELECT s.u, c.i, c.e, c.tm, c.kind, c.k AS nk, c.most AS nmost, c.tok AS given, c.dur, s.k, s.state, s.phase, s.rev, s.att, s.most, s.tok, s.lease, s.due, s.err, coalesce(s.state = 'running' AND s.lease <= c.tm, false) AS over FROM s JOIN c ON c.u = s.u AND c.i = s.i + 1)))
+SELECT u::VARCHAR AS job_id, e AS seq, tm AS at_ms, outcome, state, phase, rev AS revision, att::INT AS attempt, tok AS token, lease AS lease_until, due AS next_attempt_at, err AS error_code FROM s WHERE i > 0"""
+
+CASCADE = """WITH e AS (SELECT p_partkey // 20 AS page_id, p_partkey AS element, ['p', 'b', 'h1', 'i'][p_partkey % 4 + 1] AS tag, ['c' || (p_size % 4), 'c' || (p_size % 3)] AS cl, p_size FROM part),
+r(tag, c, w, n, prop, val) AS (VALUES ('p', '', 1, 1, 'bold', true), ('p', '', 1, 1, 'hidden', true), ('b', 'c1', 11, 2, 'bold', true), ('b', 'c1', 11, 2, 'hidden', true), ('', 'c2', 10010, 3, 'italic', true), ('p', 'own', 10011, 4, 'bold', false),
+  ('p', 'own', 11, 4, 'strike', true), ('h1', '', 1, 5, 'hidden', true), ('h1', '', 1, 6, 'hidden', false), ('', 'c1', 10, 7, 'bold', true)),
+m AS (SELECT page_id, element, w, n, prop, val FROM e JOIN r ON (r.tag = '' OR r.tag = e.tag) AND (c = '' OR list_contains(cl, CASE WHEN c = 'own' THEN 'c' || (page_id % 4) ELSE c END))
+  UNION ALL SELECT page_id, element, 1000, 0, 'italic', false FROM e WHERE p_size % 5 = 0 UNION ALL SELECT page_id, element, 11000, 0, 'hidden', true FROM e WHERE p_size % 5 = 0 UNION ALL SELECT page_id, element, 1000, 0, 'bold', true FROM e WHERE p_size % 5 <> 0 AND p_size % 7 = 0),
+b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY element, prop ORDER BY w DESC, n DESC) = 1)
+SELECT page_id, element, bool_or(val) FILTER (prop = 'bold') AS bold, bool_or(val) FILTER (prop = 'italic') AS italic, bool_or(val) FILTER (prop = 'strike') AS strike, bool_or(val) FILTER (prop = 'hidden') AS hidden FROM b GROUP BY 1, 2"""
+
+#: All paths without a note twice; the least one leads to a note's first visit.
+NOTES = r"""WITH RECURSIVE n AS (SELECT conv_id AS d, 'n' || turn AS id, turn AS p, text FROM conversations WHERE turn % 5 <> 4 AND trim(text, ' ' || chr(10)) <> ''),
+f AS (SELECT conv_id AS d, CASE WHEN turn % 3 <> 0 THEN 'n' || (turn // 2) END AS src, 100 - turn AS p, 'n' || ((turn * 7 + conv_id) % 6) AS dst FROM conversations),
+w AS (SELECT f.d, dst AS id, [f.p] AS path, [dst] AS seen FROM f JOIN n ON n.d = f.d AND n.id = dst WHERE src IS NULL
+  UNION ALL SELECT w.d, dst, list_append(path, f.p), list_append(seen, dst) FROM w JOIN f ON f.d = w.d AND f.src = w.id JOIN n ON n.d = f.d AND n.id = dst WHERE NOT list_contains(seen, dst)),
+b AS (SELECT d, id, min(path) AS path FROM w GROUP BY 1, 2),
+o AS (SELECT n.d, n.id, row_number() OVER (PARTITION BY n.d ORDER BY path NULLS LAST, n.p) AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM n LEFT JOIN b ON b.d = n.d AND b.id = n.id)
+SELECT d AS doc_id, id AS note_id, k::INT AS number, '[^' || k || ']: ' || regexp_replace(text, '\n([^\n])', E'\n    \\1', 'g') AS line FROM o"""
+
+PORTABLE = """WITH e AS (SELECT event_id AS id, event_id % 8 AS k, replace(props, ' ', '') AS p, event_type AS t, to_base64(encode(event_type)) AS b FROM events)
+SELECT id, CASE k WHEN 1 THEN 2 WHEN 2 THEN 9 WHEN 3 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 END::BIGINT AS entries, CASE k WHEN 1 THEN 1 WHEN 2 THEN 3 WHEN 3 THEN 0 WHEN 6 THEN 0 WHEN 7 THEN 0 END::INT AS depth,
+  CASE k WHEN 1 THEN 11 WHEN 2 THEN 51 WHEN 3 THEN length(b) + 32 WHEN 6 THEN length(t) WHEN 7 THEN 2 END::BIGINT AS total_bytes, CASE k WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 0 WHEN 6 THEN length(t) WHEN 7 THEN 0 END::BIGINT AS text_bytes,
+  CASE WHEN k = 3 THEN length(t) WHEN k IN (1, 2, 6, 7) THEN 0 END::BIGINT AS binary_bytes, CASE k WHEN 1 THEN p WHEN 2 THEN '{"a":[' || p || ',"é",null,true,false,-1.5]}' WHEN 3 THEN '{"$binary":"binary/base64","data":"' || b || '"}' WHEN 6 THEN '"' || t || '"' WHEN 7 THEN '[]' END AS canonical,
+  CASE WHEN k IN (0, 4) THEN 'invalid-persistence' WHEN k = 5 THEN 'output-too-large' END AS error_code FROM e"""
+
 QUERIES = {
     "html_table_grid": (html_table_grid, GRID),
     "level_numbers": (level_numbers, NUMBERS),
@@ -196,5 +292,9 @@ QUERIES = {
     "formula_levels": (formula_levels, LEVELS),
     "edge_columns": (edge_columns, EDGES),
     "ingest_keyed_store": (keyed_store, "SELECT sha256(text) AS sha256, arg_min(doc_id, [doc_id % 3, doc_id]) AS doc_id, arg_min(source, [doc_id % 3, doc_id]) AS source FROM documents GROUP BY 1"),
+    "job_states": (job_states, JOBS),
+    "note_order": (note_order, NOTES),
+    "portable_values": (portable_values, PORTABLE),
+    "style_cascade": (style_cascade, CASCADE),
     "sheet_rectangles": (sheet_rectangles, f"WITH {LINES} SELECT 'rs' || (k % 7) AS rect, 's' || (k % 7) AS sheet, k // 7 + 1 AS \"row\", n::BIGINT AS col, q AS num FROM o WHERE k // 7 >= 9 AND n >= 2"),
 }

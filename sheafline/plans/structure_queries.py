@@ -255,7 +255,7 @@ QUERIES = {
     ),
     "ingest_due_jobs": (
         due_jobs,
-        "WITH j AS (SELECT event_id AS job_id, event_id % 4 AS k, user_id % 4 + 1 AS attempt, value FROM events), u AS (SELECT *, k = 2 AND value + 1 <= 20 AS expired FROM j) SELECT job_id, CASE WHEN expired AND attempt >= 4 THEN 'failed' ELSE 'running' END AS state, CASE WHEN expired AND attempt >= 4 THEN attempt ELSE attempt + 1 END AS attempt FROM u WHERE k = 0 OR (k = 1 AND value <= 20) OR expired",
+        "WITH j AS (SELECT event_id AS job_id, event_id % 4 AS k, user_id % 4 + 1 AS attempt, value FROM events) SELECT job_id, 'running' AS state, attempt + 1 AS attempt, NULL::VARCHAR AS error_code FROM j WHERE attempt < 4 AND (k = 0 OR (k = 1 AND value <= 20) OR (k = 2 AND value <= 19)) UNION ALL SELECT job_id, 'failed', attempt, 'lease-lost' FROM j WHERE attempt = 4 AND k = 2 AND value <= 19",
     ),
     "highlight_counts": (highlights, "SELECT doc_id, len(regexp_extract_all(lower(text), 'the'))::INTEGER AS hits FROM documents"),
     "report_means": (
