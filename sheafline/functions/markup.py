@@ -64,10 +64,10 @@ def table_line(*cells: Column) -> Column:
 
 
 def decoded_component(c: Column) -> Column:
-    """Per cent escapes decoded run by run; plus signs stay, and so does a run that does not decode."""
+    """Per cent escapes as the bytes they stand for; what is no UTF-8 then becomes replacement characters, plus signs stay."""
     pieces = F.regexp_extract_all(c, F.lit("((?:%[0-9A-Fa-f]{2})+|[^%]+|%)"), F.lit(1))
-    plain = lambda p: F.coalesce(F.try_validate_utf8(F.unhex(F.replace(p, F.lit("%"), F.lit(""))).cast("string")), p)
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}"), plain(p)).otherwise(p)), "")
+    digits = F.transform(pieces, lambda p: F.when(p.rlike("^%[0-9A-Fa-f]{2}"), F.replace(p, F.lit("%"), F.lit(""))).otherwise(F.hex(p)))
+    return F.make_valid_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
 
 
 #: Media types of embedded pictures by extension.
@@ -100,12 +100,35 @@ def duration_clock(c: Column) -> Column:
     return F.when(c.rlike(shape) & c.rlike(r"\d"), clock).otherwise(c)
 
 
-def escaped_text(c: Column) -> Column:
-    """Text that Markdown shows as it is: paired marks, brackets and what a line may start with are escaped."""
-    c = F.regexp_replace(c, r"([\\`*_\[\]<>~|])", r"\\$1")
-    c = F.regexp_replace(c, r"&(?=#?[0-9A-Za-z]+;)", r"\\&")
-    c = F.regexp_replace(c, r"(?m)^(\s*)([-+](?=\s)|#{1,6}(?=\s|$)|=+\s*$)", r"$1\\$2")
-    return F.regexp_replace(c, r"(?m)^(\s*[0-9]{1,9})([.)])(?=\s|$)", r"$1\\$2")
+def escaped_text(c: Column, line_start: bool = True, label: bool = False, cell: bool = False, open_end: bool = False) -> Column:
+    """Text that Markdown shows as it is, with a backslash only where a character could be syntax.
+
+    Marks of emphasis count if one of their kind follows and no space does, ``_``
+    not between letters; brackets if they may close; heading, list, quote and rule
+    marks at a line's start, where the text begins one if ``line_start``.  In a
+    ``label`` all brackets count, in a table ``cell`` all bars.  With an ``open_end``
+    markup follows, so a mark may find its partner there.
+    """
+    out = F.regexp_replace(c, r"&(?=#|[0-9A-Za-z]+;)", "&amp;")
+    tail = r"|\z" if open_end else ""
+    later = lambda mark: rf"(?=[^{mark}]*{mark}{'|' if open_end else ''})"
+    space = lambda after: rf"(?=\S{tail}){after}"
+    marks = [
+        r"\\", "`" + later("`"), r"\*" + space(later(r"\*")), "~" + space(later("~")), "_" + space(later("_")) + r"(?:(?<![\p{L}\p{N}]_)|(?![\p{L}\p{N}]))",
+        r"[\[\]]" if label else r"\[" + later(r"\]"), "<(?=[A-Za-z/!?])", *([r"\|"] if cell else []), *([r"!\z"] if open_end else []),
+    ]
+    out = F.regexp_replace(out, f"(?U)(?:{'|'.join(marks)})", r"\\$0")
+    # marks that make a line's first word a block; spaces before it are kept
+    begin = r"(?dUm)^([^\S\n]*)" if line_start else r"(?dUm)(?<=\n)([^\S\n]*)"
+    over = r"(?=\s)" if open_end else r"(?=\s|\z)"
+    blocks = [r"#+" + over, f"[-+]{over}", rf"-(?=[- \t]*(?:\n|\z))", rf"=(?=[= \t]*(?:\n|\z))", ">", r"\*"]
+    out = F.regexp_replace(out, f"{begin}({'|'.join(blocks)})", r"$1\\$2")
+    return F.regexp_replace(out, rf"{begin}([0-9]+)([.)])(?=\s|\z)", r"$1$2\\$3")
+
+
+def url_as_text(c: Column) -> Column:
+    """A link target shown as a link's text."""
+    return escaped_text(F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", " "), line_start=False, label=True, open_end=True)
 
 
 def code_span(c: Column) -> Column:
@@ -116,55 +139,97 @@ def code_span(c: Column) -> Column:
     return F.concat(fence, pad, c, pad, fence)
 
 
-def format_parts(pattern: str) -> tuple[list[str], str]:
-    """A number format's sections without directives and literals, and the literal text after the first one's digits."""
-    sections, bare, tail, i, quoted = [], "", "", 0, False
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == '"':
-            quoted = not quoted
-        elif quoted or ch == "\\":
-            text = ch if quoted else pattern[i + 1 : i + 2]
-            tail += text if not sections else ""
-            i += ch == "\\" and not quoted
-        elif ch in "_*":
-            i += 1  # the next character only sets a width or fills
-        elif ch == "[":
-            i = max(i, pattern.find("]", i))
-        elif ch == ";":
-            sections.append(bare)
-            bare = ""
+def format_sections(pattern: str) -> list[list[tuple[str, str]]]:
+    """A number format's sections as ``(kind, text)``: literals in their places, and the pattern's own characters.
+
+    Quoted text, escaped characters and what no pattern uses are literals; colours
+    and conditions in brackets go, as do the widths and fills of ``_x`` and ``*x``.
+    """
+    token = re.compile(r""""((?:[^"]|"")*)"?|\\(.)|_.?|\*.?|\[[^\]]*\]?|(;)|(am/pm|a/p)|([dmyhs]+|[0#?.,%]+)|(.)""", re.IGNORECASE | re.DOTALL)
+    sections: list[list[tuple[str, str]]] = [[]]
+    for m in token.finditer(pattern):
+        quoted, escaped, end, half, own, other = m.groups()
+        if end:
+            sections.append([])
+        elif half:
+            sections[-1].append(("half", half))
+        elif own:
+            # a run of different date letters is several parts
+            sections[-1] += [("code", run[0]) for run in re.finditer(r"([dmyhsDMYHS])\1*|[0#?.,%]+", own)]
+        elif (text := (quoted or "").replace('""', '"') + (escaped or "") + (other or "")) != "":
+            joined = sections[-1].pop()[1] if sections[-1] and sections[-1][-1][0] == "text" else ""
+            sections[-1].append(("text", joined + text))
+    return sections
+
+
+#: What a date format's parts mean, as Spark names them.
+DATE_PARTS = {"yyyy": "yyyy", "yy": "yy", "y": "yy", "mmmm": "MMMM", "mmm": "MMM", "mm": "MM", "m": "M", "dddd": "EEEE", "ddd": "EEE", "dd": "dd", "d": "d", "hh": "HH", "h": "H", "ss": "ss", "s": "s"}
+
+
+def date_pattern(section: list[tuple[str, str]]) -> str:
+    """A date section in Spark's letters: ``m`` after an hour or before a second is minutes."""
+    codes = [t.lower() if k == "code" else "" for k, t in section]
+    halves = any(k == "half" for k, _ in section)
+    places = [i for i, t in enumerate(codes) if t[:1] in tuple("dmyhs")]
+    out = []
+    for i, (kind, text) in enumerate(section):
+        if i not in places:
+            shown = "a" if kind == "half" else "'" + text.replace("'", "''") + "'"
         else:
-            bare += ch
-        i += 1
-    return [*sections, bare], tail
+            at, code = places.index(i), codes[i]
+            near = [codes[places[k]] for k in (at - 1, at + 1) if 0 <= k < len(places)]
+            before, after = (near[0] if at else ""), (near[-1] if at + 1 < len(places) else "")
+            minutes = code in ("m", "mm") and (before[:1] == "h" or after[:1] == "s")
+            shown = code if minutes else DATE_PARTS.get(code, DATE_PARTS["yyyy"] if code[0] == "y" else DATE_PARTS[code[0] * min(len(code), 4 if code[0] in "md" else 2)])
+            shown = shown.replace("H", "h") if halves else shown
+        out.append(shown)
+    return "".join(out)
+
+
+def serial_display(value: Column, pattern: str) -> Column:
+    """A serial day number under a date pattern, to the nearest second; null outside the calendar."""
+    from sheafline.functions.text import serial_to_date
+
+    seconds = F.round(value * 86_400).cast("long")
+    day = serial_to_date(F.floor(seconds / 86_400).cast("double"))
+    at = F.timestamp_add("SECOND", F.pmod(seconds, F.lit(86_400)).cast("int"), day.cast("timestamp_ntz"))
+    return F.date_format(at, pattern)
+
+
+def number_section(value: Column, section: list[tuple[str, str]]) -> Column:
+    """A number's size in a section: digits where the pattern has them, literals in their places around them."""
+    codes = [i for i, (kind, _) in enumerate(section) if kind == "code"]
+    digits = [i for i in codes if re.search("[0#?]", section[i][1])]
+    own = "".join(section[i][1] for i in codes)
+    if not digits:
+        return F.lit("".join(t for k, t in section if k == "text") + ("%" if "%" in own else ""))
+    whole, _, part = own.replace("%", "").partition(".")
+    scaled = F.abs(value * 100 if "%" in own else value)
+    shown = F.format_number(scaled, sum(ch in "0#?" for ch in part))
+    shown = shown if "," in whole else F.replace(shown, F.lit(","), F.lit(""))
+    least = whole.count("0") + (len(part) + 1 if part else 0)
+    shown = F.when(F.length(shown) < least, F.lpad(shown, least, "0")).otherwise(shown) if whole.count("0") > 1 and "," not in whole else shown
+    before = "".join(t for k, t in section[: digits[0]] if k == "text")
+    after = "".join(t if k == "text" else "%" if "%" in t else "" for k, t in section[digits[0] :])
+    return F.concat(F.lit(before), shown, F.lit(after))
 
 
 def formatted(value: Column, pattern: str) -> Column:
-    """A number under a format string: sections, decimals, thousands, per cent, accounting parentheses, dates.
+    """A number under a format string: sections for positive, negative and zero, decimals, thousands, per cent, literals, dates and times.
 
-    ``General``, an empty format and ``@`` show the number's own text.
+    ``General``, an empty format and ``@`` show the number's own text, as do dates
+    outside the calendar.  A negative number has its sign unless it has a section of
+    its own.
     """
-    from sheafline.functions.text import serial_to_date
     from sheafline.functions.values import number_text
 
     if pattern.strip().lower() in ("", "general", "@"):
         return number_text(value)
-    sections, tail = format_parts(pattern)
-    first = sections[0]
-    if any(ch in "dy" for ch in first.lower()) and not any(ch in first for ch in "0#"):
-        words = {"yyyy": "yyyy", "yy": "yy", "mmmm": "MMMM", "mmm": "MMM", "mm": "MM", "m": "M", "dddd": "EEEE", "ddd": "EEE", "dd": "dd", "d": "d"}
-        return F.date_format(serial_to_date(value), re.sub("y+|m+|d+", lambda k: words.get(k[0], words["yyyy"]), first.lower()))
-
-    def shown(section: str, number: Column) -> Column:
-        decimals = sum(ch in "0#" for ch in section.partition(".")[2])
-        scaled = F.abs(number * 100 if "%" in section else number)
-        digits = F.format_number(scaled, decimals)
-        digits = digits if "," in section else F.replace(digits, F.lit(","), F.lit(""))
-        body = F.concat(digits, F.lit("%" if "%" in section else ""), F.lit(tail))
-        return F.concat(F.lit("("), body, F.lit(")")) if "(" in section else body
-
-    positive = shown(first, value)
-    negative = shown(sections[1], value) if len(sections) > 1 else F.concat(F.lit("-"), positive)
-    zero = shown(sections[2], value) if len(sections) > 2 else positive
+    sections = format_sections(pattern)
+    letters = {t[0].lower() for k, t in sections[0] if k == "code"}
+    if letters & set("dyhs") and not letters & set("0#?"):
+        return F.coalesce(serial_display(value, date_pattern(sections[0])), number_text(value))
+    positive = number_section(value, sections[0])
+    negative = number_section(value, sections[1]) if len(sections) > 1 else F.concat(F.lit("-"), positive)
+    zero = number_section(value, sections[2]) if len(sections) > 2 else positive
     return F.when(value < 0, negative).when(value == 0, zero).otherwise(positive)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafline.functions.text import backtick_fence, marker_ordinal
 from sheafline.operators.grid import placed_cells
 
 #: Elements whose text is never shown.
@@ -72,23 +73,31 @@ def html_links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "position", unescaped(attribute(opening, "href")).alias("target"), plain(F.col("link")).alias("label"))
 
 
-def placed(pages: DataFrame) -> DataFrame:
-    """Pieces with their list (``depth, list_no, item_no, ordered, start``) and table (``table_depth, table_no, row_no, cell_no``)."""
+def placed(cut: DataFrame) -> DataFrame:
+    """Pieces of pages with their list (``depth, list_no, item_no, ordered, form, number``) and table (``table_depth, table_no, row_no, group_no, in_head, cells, cell_no``)."""
     page = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda test, w: F.sum(test.cast("int")).over(w)
     tag = F.col("tag")
     opens, table = tag.isin("ul", "ol"), tag == "table"
-    own = pieces(pages).withColumns({"depth": count(opens, page) - count(tag.isin("/ul", "/ol"), page), "table_depth": count(table, page) - count(tag == "/table", page)})
+    own = cut.withColumns({"depth": count(opens, page) - count(tag.isin("/ul", "/ol"), page), "table_depth": count(table, page) - count(tag == "/table", page)})
     at = Window.partitionBy("page_id", "depth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("list_no", count(opens, at))
     at = Window.partitionBy("page_id", "depth", "list_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.coalesce(F.nullif(F.regexp_extract("attributes", r"""(?i)\bstart\s*=\s*["']?([0-9]{1,9})""", 1), F.lit("")).cast("int"), F.lit(1))
-    own = own.withColumns({"item_no": count(tag == "li", at), "ordered": F.last(F.when(opens, tag == "ol"), ignorenulls=True).over(at), "start": F.last(F.when(opens, start), ignorenulls=True).over(at)})
+    whole = Window.partitionBy("page_id", "depth", "list_no")
+    given = lambda name: F.regexp_extract("attributes", rf"""(?i)\b{name}\s*=\s*["']?(-?[0-9]{{1,9}})""", 1).try_cast("int")
+    carried = lambda c: F.last(F.when(opens, c), ignorenulls=True).over(at)
+    backward = F.col("attributes").rlike(r"(?i)\sreversed(?=[\s=>/])")
+    form = F.regexp_extract("attributes", r"""(?i)\btype\s*=\s*["']?(?-i:([aAiI]))(?=["'\s>])""", 1)
+    own = own.withColumns({"item_no": count(tag == "li", at), "ordered": carried(tag == "ol"), "first_number": carried(F.struct(given("start").alias("n"))), "step": carried(F.when(backward, -1).otherwise(1)), "form": carried(form)})
+    own = own.withColumns({"items": F.max("item_no").over(whole), "told": F.last(F.when((tag == "li") & given("value").isNotNull(), F.struct("item_no", given("value").alias("n"))), ignorenulls=True).over(at)})
+    first = F.coalesce("first_number.n", F.when(F.col("step") < 0, F.col("items")).otherwise(1))
+    number = F.when(F.col("told").isNotNull(), F.col("told.n") + F.col("step") * (F.col("item_no") - F.col("told.item_no"))).otherwise(first + F.col("step") * (F.col("item_no") - 1))
+    own = own.withColumn("number", number).drop("first_number", "step", "items", "told")
     at = Window.partitionBy("page_id", "table_depth").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("table_no", count(table, at))
     at = Window.partitionBy("page_id", "table_depth", "table_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     groups = tag.isin("thead", "tbody", "tfoot", "/thead", "/tbody", "/tfoot")
-    own = own.withColumns({"row_no": count(tag == "tr", at), "group_no": count(groups, at), "in_head": count(tag == "thead", at) > count(tag == "/thead", at) + count(tag.isin("tbody", "tfoot"), at)})
+    own = own.withColumns({"row_no": count(tag == "tr", at), "group_no": count(groups, at), "cells": count(tag.isin("td", "th"), at), "in_head": count(tag == "thead", at) > count(tag == "/thead", at) + count(tag.isin("tbody", "tfoot"), at)})
     at = Window.partitionBy("page_id", "table_depth", "table_no", "row_no").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("cell_no", count(tag.isin("td", "th"), at))
 
@@ -103,11 +112,12 @@ def html_lists(pages: DataFrame) -> DataFrame:
     """``page_id, depth, list_no, item_no, ordered, number, text`` of each list item.
 
     An item's text is its own, without that of the lists inside it; ``number`` is
-    null in lists without numbers.
+    null in lists without numbers.  Numbers begin at ``start``, or at the number of
+    items where a list is ``reversed``, and go on from an item's own ``value``.
     """
-    items = placed(pages).where("depth > 0 AND item_no > 0").withColumn("text", plain(F.col("body")))
-    one = items.groupBy("page_id", "depth", "list_no", "item_no").agg(F.first("ordered").alias("ordered"), F.first("start").alias("start"), in_order(F.col("text")).alias("text"))
-    return one.select("page_id", "depth", "list_no", "item_no", "ordered", F.when(F.col("ordered"), F.col("start") + F.col("item_no") - 1).alias("number"), "text")
+    items = placed(pieces(pages)).where("depth > 0 AND item_no > 0").withColumn("text", plain(F.col("body")))
+    one = items.groupBy("page_id", "depth", "list_no", "item_no").agg(F.first("ordered").alias("ordered"), F.first("number").alias("number"), in_order(F.col("text")).alias("text"))
+    return one.select("page_id", "depth", "list_no", "item_no", "ordered", F.when(F.col("ordered"), F.col("number")).alias("number"), "text")
 
 
 def span(name: str) -> Column:
@@ -121,7 +131,7 @@ def html_tables(pages: DataFrame) -> DataFrame:
     row span of 0 means all rows to ``last_row``, the last one of the row group.
     """
     group = Window.partitionBy("page_id", "table_depth", "table_no", "group_no")
-    own = placed(pages).where("table_depth > 0").withColumn("last_row", F.max("row_no").over(group))
+    own = placed(pieces(pages)).where("table_depth > 0").withColumn("last_row", F.max("row_no").over(group))
     cells = own.where("cell_no > 0").withColumn("text", plain(F.col("body")))
     is_cell = F.col("tag").isin("td", "th")
     spans = {"row_span": F.least(span("rowspan"), F.lit(65_534)), "col_span": F.greatest(F.lit(1), F.least(span("colspan"), F.lit(1000))), "last_row": F.col("last_row"), "in_head": F.col("in_head")}
@@ -154,15 +164,28 @@ INLINE = (("strong|b", "**", "\ue000"), ("em|i", "*", "\ue001"), ("del|s|strike"
 LABEL, TARGET, END = "\ue010", "\ue011", "\ue012"
 
 
-def inline_markdown(markup: Column) -> Column:
-    """Markdown of a block's markup: emphasis, code, links and picture texts; all other marks in the text are escaped."""
+#: An attribute's value, quoted or not, as one of three groups.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+LINK = rf"""(?is)<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\bhref{VALUE}(?:[^>"']|"[^"]*"|'[^']*')*>(.*?)</a\s*>"""
+PICTURE = rf"""(?is)<img\b(?:[^>"']|"[^"]*"|'[^']*')*?\balt{VALUE}(?:[^>"']|"[^"]*"|'[^']*')*>"""
+
+
+def signed(markup: Column) -> Column:
+    """Markup with private characters in place of inline elements, links and pictures."""
     out = F.regexp_replace(markup, "[\ue000-\ue012]", "")
     for names, _, sign in INLINE:
         out = F.regexp_replace(out, rf"(?is)<(?:{names})(?:\s[^>]*)?>(\s*)(.*?)(\s*)</(?:{names})\s*>", f"$1{sign}$2{sign}$3")
-    out = F.regexp_replace(out, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a\s*>""", f"{LABEL}$2{TARGET}$1{END}")
-    out = F.regexp_replace(out, r"""(?is)<img\b[^>]*?\balt\s*=\s*["']([^"']*)["'][^>]*>""", "$1")
-    out = plain(out)
-    out = F.regexp_replace(out, rf"([\\`*_\[\]<])(?![^{TARGET}]*{END})", r"\\$1")
+    out = F.regexp_replace(out, LINK, f"{LABEL}$4{TARGET}$1$2$3{END}")
+    return F.regexp_replace(out, PICTURE, "$1$2$3")
+
+
+def settled(text: Column) -> Column:
+    """Markdown of a text with those characters; what else could be a mark is escaped, targets with spaces or parentheses get brackets."""
+    inside = rf"(?=[^{LABEL}{TARGET}]*{END})"
+    out = F.regexp_replace(text, rf"([\\`*_\[\]<])(?![^{LABEL}{TARGET}]*{END})", r"\\$1")
+    for raw, code in (("<", "%3C"), (">", "%3E"), (r"\|", "%7C")):
+        out = F.regexp_replace(out, raw + inside, code)
+    out = F.regexp_replace(out, rf"{TARGET} ?([^{END}]*[\s()][^{END}]*){END}", f"{TARGET}<$1>{END}")
     for _, mark, sign in INLINE:
         out = F.replace(F.replace(out, F.lit(sign * 2), F.lit("")), F.lit(sign), F.lit(mark))
     for sign, mark in ((LABEL, "["), (TARGET, "]("), (END, ")")):
@@ -170,33 +193,69 @@ def inline_markdown(markup: Column) -> Column:
     return out
 
 
+def inline_markdown(markup: Column) -> Column:
+    """Markdown of a block's markup: emphasis, code, links and picture texts; all other marks in the text are escaped."""
+    return settled(plain(signed(markup)))
+
+
+def fenced(text: Column) -> Column:
+    """A code block: the text as it is, in a fence longer than any in it."""
+    own = F.regexp_replace(text, r"^\n|\s+$", "")
+    fence = backtick_fence(own)
+    return F.concat(fence, F.lit("\n"), own, F.lit("\n"), fence)
+
+
 def html_markdown(pages: DataFrame) -> DataFrame:
     """``page_id, markdown``: the blocks of a page, a blank line between them; items and rows follow each other.
 
-    Items are indented by their depth and numbered where their list is; an item's
-    further blocks are indented without a mark.  A table's first row is its header.
+    Items are indented by their depth and numbered where their list is; letters and
+    Roman numerals are text after a dash, as is a number below one.  An item's
+    further blocks are indented without a mark.  ``pre`` is a code block.  A table's
+    first row is its header.
+
+    One pass: what stands between a block and the one before depends on these two
+    alone, so a page is its blocks' texts with their beginnings, joined in order.
     """
-    own = placed(pages).withColumn("text", inline_markdown(F.col("body"))).where(F.col("text") != "")
-    nth = F.row_number().over(Window.partitionBy("page_id", "depth", "list_no", "item_no").orderBy("position"))
-    mark = F.when(F.col("ordered"), F.concat((F.col("start") + F.col("item_no") - 1).cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    indent = F.repeat(F.lit("  "), F.col("depth") - 1)
-    item = F.concat(indent, F.when(F.col("nth") == 1, mark).otherwise("  "), F.col("text"))
-    listed = own.where("table_depth <= 0 AND depth > 0 AND item_no > 0").withColumn("nth", nth).select("page_id", "position", F.lit("list").alias("glue"), item.alias("line"))
-    cells = own.where("table_depth > 0 AND cell_no > 0").groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(F.min("position").alias("position"), in_order(F.replace("text", F.lit("|"), F.lit("\\|"))).alias("text"))
-    rows = cells.groupBy("page_id", "table_depth", "table_no", "row_no").agg(F.min("position").alias("position"), F.array_sort(F.collect_list(F.struct("cell_no", "text"))).alias("c"))
-    line = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: x["text"]), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("c")))
-    first = F.row_number().over(Window.partitionBy("page_id", "table_depth", "table_no").orderBy("row_no")) == 1
-    tabled = rows.withColumn("first", first).select("page_id", "position", F.concat_ws(".", F.lit("table"), "table_depth", "table_no").alias("glue"), F.concat(line, F.when(F.col("first"), rule).otherwise("")).alias("line"))
+    code = F.col("tag") == "pre"
+    markup = F.when(code, F.regexp_replace("body", TAG, "")).otherwise(F.regexp_replace(signed(F.col("body")), TAG, " "))
+    # texts are read before pages are dealt, as a Python step would hide how its rows lie
+    read = placed(pieces(pages).withColumn("raw", unescaped(markup)).drop("body"))
+    text = F.when(code, F.when(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "", fenced(F.col("raw"))).otherwise("")).otherwise(settled(F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))))
+    cell = (F.col("table_depth") > 0) & (F.col("cell_no") > 0)
+    item = ~cell & (F.col("depth") > 0) & (F.col("item_no") > 0) & (F.col("table_depth") <= 0)
+    kind = F.when(cell, F.concat_ws(".", F.lit("table"), "table_depth", "table_no")).when(item, "list").otherwise("")
+    own = read.withColumns({"text": text, "glue": kind}).withColumn("used", (F.col("text") != "") | (cell & F.col("tag").isin("td", "th")))
+    page = Window.partitionBy("page_id", "used").orderBy("position")
+    was = lambda c: F.lag(c).over(page)
+    seen = own.withColumns({
+        "was": was(F.struct("glue", "row_no", "cell_no", "cells", (F.col("text") == "").alias("blank"))), "first": F.row_number().over(Window.partitionBy("page_id", "used", "depth", "list_no", "item_no", "glue").orderBy("position")) == 1, "last": F.lead("position").over(page).isNull(),
+    })
+
+    same = F.coalesce((F.col("was.glue") == F.col("glue")) & (F.col("glue") != ""), F.lit(False))
+    table = lambda c: F.coalesce(F.startswith(c, F.lit("table")), F.lit(False))
+    rule = lambda n: F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), n))
+    # the row that ends here is the table's first one if it has all of the table's cells so far
+    ended = F.concat(F.lit(" |"), F.when(F.col("was.cells") == F.col("was.cell_no"), rule(F.col("was.cell_no"))).otherwise(""))
+    left = F.concat(F.when(table(F.col("was.glue")), ended).otherwise(""), F.when(F.col("was").isNull(), "").otherwise("\n\n"))
+    in_table = F.when(~same, F.concat(left, F.lit("| "))).when(F.col("was.row_no") != F.col("row_no"), F.concat(ended, F.lit("\n| "))).when(F.col("was.cell_no") != F.col("cell_no"), " | ").otherwise(F.when((F.col("text") == "") | F.col("was.blank"), "").otherwise(" "))
+    opening = F.when(table(F.col("glue")), in_table).when(same, "\n").otherwise(left)
+
+    number = F.col("number")
+    forms = F.create_map(*(F.lit(x) for pair in LIST_FORMS.items() for x in pair))
+    label = F.concat(marker_ordinal(F.try_element_at(forms, F.col("form")), number), F.lit(". "))
+    mark = F.when(~F.col("ordered"), "- ").when(number < 0, F.concat(F.lit("- "), label)).when(number == 0, "- 0\\. ").when(F.col("form") != "", F.concat(F.lit("- "), label)).otherwise(label)
+    indent = F.repeat(F.lit("  "), F.greatest(F.col("depth") - 1, F.lit(0)))
+    inner = F.replace("text", F.lit("\n"), F.concat(F.lit("\n  "), indent))
     level = heading_level(F.col("tag"))
     block = F.when(level > 0, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("text"))).when(F.col("tag") == "blockquote", F.concat(F.lit("> "), F.col("text"))).otherwise(F.col("text"))
-    others = own.where("NOT (table_depth > 0 AND cell_no > 0) AND NOT (table_depth <= 0 AND depth > 0 AND item_no > 0)").select("page_id", "position", F.lit("").alias("glue"), block.alias("line"))
-    joined = listed.unionByName(tabled).unionByName(others).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("position", "glue", "line"))).alias("b"))  # one page's blocks
-    none = F.struct(F.lit("").alias("text"), F.lit("").alias("glue"))
-    between = lambda done, x: F.when(done["text"] == "", "").when((done["glue"] == x["glue"]) & (x["glue"] != ""), "\n").otherwise("\n\n")
-    whole = F.aggregate("b", none, lambda done, x: F.struct(F.concat(done["text"], between(done, x), x["line"]).alias("text"), x["glue"].alias("glue")), lambda done: done["text"])
-    texts = joined.select("page_id", whole.alias("markdown"))
-    return pages.select("page_id").distinct().join(texts, "page_id", "left").select("page_id", F.coalesce("markdown", F.lit("")).alias("markdown"))
+    shown = F.when(table(F.col("glue")), F.replace(F.replace("text", F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))).when(F.col("glue") == "list", F.concat(indent, F.when(F.col("first"), mark).otherwise("  "), inner)).otherwise(block)
+    rest = F.when(F.col("last") & table(F.col("glue")), F.concat(F.lit(" |"), F.when(F.col("cells") == F.col("cell_no"), rule(F.col("cell_no"))).otherwise(""))).otherwise("")
+    lines = F.collect_list(F.when(F.col("used"), F.struct("position", F.concat(opening, shown, rest).alias("line"))))  # one page's blocks
+    return seen.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(lines), lambda x: x["line"]), "").alias("markdown"))
+
+
+#: List types and the marker forms that they stand for.
+LIST_FORMS = {"a": "lower-alpha", "A": "upper-alpha", "i": "lower-roman", "I": "upper-roman"}
 
 
 def markdown_counts(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -229,27 +288,27 @@ def runs_of_roles(turns: DataFrame) -> DataFrame:
 
 
 def trigrams(rows: DataFrame, key: str) -> DataFrame:
-    """``key, g``: the distinct word trigrams of each text.
+    """``key, g``: a 64-bit hash of each word trigram of each text, repeated ones included.
 
     The words are a column of their own, so they are split once and not again for
     each trigram.
     """
-    words = rows.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
-    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"), F.slice("w", 3, F.greatest(F.size("w") - 2, F.lit(0))).alias("c"))
-    whole = F.filter(pairs, lambda p: p["c"].isNotNull())
-    return words.where(F.size("w") >= 3).select(key, F.array_distinct(F.transform(whole, lambda p: F.concat_ws(" ", p["a"], p["b"], p["c"]))).alias("g"))
+    words = rows.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") >= 3)
+    at = lambda i: F.get("w", i)
+    return words.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).alias("g"))
 
 
 def containment(docs: DataFrame, probes: DataFrame) -> DataFrame:
     """Share of each probe's distinct word trigrams that each document has.
 
-    Joined on hashed trigrams, of which only the probes' own are kept; pairs
-    without a shared trigram give no row.
+    Trigrams meet as 64-bit hashes, so only hits are made distinct and counted;
+    pairs without a shared trigram give no row.  A document's trigram counts wrongly
+    as one of ``n`` probes' with a chance of n in 2 ** 64.
     """
-    asked = trigrams(probes, "item_id").select("item_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    have = trigrams(docs, "doc_id").select("doc_id", F.explode("g").alias("gram"))
-    shared = have.join(asked, "gram").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("hits"))
-    return shared.select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("containment"))
+    asked = trigrams(probes, "item_id").distinct()
+    sizes = asked.groupBy("item_id").agg(F.count("*").alias("n"))
+    hits = trigrams(docs, "doc_id").join(asked, "g").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+    return hits.join(sizes, "item_id").select("doc_id", "item_id", (F.col("hits") / F.col("n")).alias("containment"))
 
 
 def trigram_set(text: Column) -> Column:

@@ -107,11 +107,12 @@ def number_patterns(s, d):
     return own.select(
         "c_custkey", M.formatted(c, '#,##0.00;[Red](#,##0.00)').alias("money"), M.formatted(c / 10000, "0.0%").alias("share"), M.formatted(c, '0" kg"').alias("weight"),
         M.formatted(F.when(F.col("c_custkey") % 3 == 0, F.lit(0.0)).otherwise(F.col("c_nationkey")), '0;-0;"none"').alias("parts"), M.formatted(F.col("c_custkey") + 40000.0, "dd/mm/yyyy").alias("day"),
+        M.formatted(F.col("c_custkey") + 40000.0 + F.col("c_custkey") % 1440 / 1440, 'yyyy-mm-dd "at" h:mm:ss am/pm').alias("moment"), M.formatted(c, '"EUR" 000.0').alias("price"),
     )
 
 
 def escaped_names(s, d):
-    own = load(s, d, "part").withColumn("t", F.concat(F.when(F.col("p_partkey") % 3 == 0, "1. ").when(F.col("p_partkey") % 3 == 1, "# ").otherwise("- "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" *"), "p_brand", F.lit("* [x] &amp; a`")))
+    own = load(s, d, "part").withColumn("t", F.concat(F.when(F.col("p_partkey") % 3 == 0, "1. ").when(F.col("p_partkey") % 3 == 1, "# ").otherwise("- "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" *"), "p_brand", F.lit("* [x] &amp; a` _y_ ~z ~ <b> < c")))
     return own.select("p_partkey", M.escaped_text(F.col("t")).alias("shown"), M.code_span(F.col("t")).alias("code"))
 
 
@@ -173,7 +174,7 @@ def sheet_rename(s, d):
 
 
 def component_decoding(s, d):
-    own = load(s, d, "customer").select("c_custkey", F.concat(F.lit("a%20b+c%C3%A9"), F.col("c_custkey").cast("string")).alias("t"))
+    own = load(s, d, "customer").select("c_custkey", F.concat(F.get(F.array(*map(F.lit, ("a%20b+c%C3%A9", "a%C3%A9%FFb", "%zz%2%E2%82", "100%"))), (F.col("c_custkey") % 4).cast("int")), F.col("c_custkey").cast("string")).alias("t"))
     return own.select("c_custkey", M.decoded_component(F.col("t")).alias("decoded"))
 
 
@@ -215,11 +216,11 @@ QUERIES = {
     ),
     "number_patterns": (
         number_patterns,
-        "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', abs(c_acctbal)) || ')' ELSE format('{:,.2f}', c_acctbal) END AS money, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.1f}', abs(c_acctbal / 10000 * 100)) || '%' AS share, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.0f}', abs(c_acctbal)) || ' kg' AS weight, CASE WHEN c_custkey % 3 = 0 OR c_nationkey = 0 THEN '0' ELSE c_nationkey::VARCHAR END AS parts, strftime(DATE '1899-12-30' + (c_custkey + 40000)::INTEGER, '%d/%m/%Y') AS day FROM customer",
+        "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '(' || format('{:,.2f}', abs(c_acctbal)) || ')' ELSE format('{:,.2f}', c_acctbal) END AS money, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.1f}', abs(c_acctbal / 10000 * 100)) || '%' AS share, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:.0f}', abs(c_acctbal)) || ' kg' AS weight, CASE WHEN c_custkey % 3 = 0 OR c_nationkey = 0 THEN 'none' ELSE c_nationkey::VARCHAR END AS parts, strftime(DATE '1899-12-30' + (c_custkey + 40000)::INTEGER, '%d/%m/%Y') AS day, strftime(DATE '1899-12-30' + (c_custkey + 40000)::INTEGER + to_minutes(c_custkey % 1440), '%Y-%m-%d at %-I:%M:%S %p') AS moment, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || 'EUR ' || lpad(format('{:.1f}', abs(c_acctbal)), greatest(5, length(format('{:.1f}', abs(c_acctbal)))::INT), '0') AS price FROM customer",
     ),
     "escaped_text": (
         escaped_names,
-        "SELECT p_partkey, ['1\\. ', '\\# ', '\\- '][p_partkey % 3 + 1] || replace(p_name, ' ', '\\_') || ' \\*' || p_brand || '\\* \\[x\\] \\&amp; a\\`' AS shown, '`` ' || ['1. ', '# ', '- '][p_partkey % 3 + 1] || replace(p_name, ' ', '_') || ' *' || p_brand || '* [x] &amp; a` ``' AS code FROM part",
+        "SELECT p_partkey, ['1\\. ', '\\# ', '\\- '][p_partkey % 3 + 1] || replace(p_name, ' ', '_') || ' \\*' || p_brand || '* \\[x] &amp;amp; a` \\_y_ \\~z ~ \\<b> < c' AS shown, '``' || ['1. ', '# ', '- '][p_partkey % 3 + 1] || replace(p_name, ' ', '_') || ' *' || p_brand || '* [x] &amp; a` _y_ ~z ~ <b> < c``' AS code FROM part",
     ),
     "html_table_cells": (
         html_table_cells,
@@ -276,7 +277,7 @@ QUERIES = {
         sheet_rename,
         "SELECT n_nationkey, '''my data''!A1+''it''''s new''!B2&\"Old!C3\"+older!D4+''it''''s new''!E' || (n_nationkey + 1) AS a, '''x''!A1+Old!B2&\"Old!C3\"+older!D4+OLD!E' || (n_nationkey + 1) AS b FROM nation",
     ),
-    "component_decoding": (component_decoding, "SELECT c_custkey, 'a b+cé' || c_custkey AS decoded FROM customer"),
+    "component_decoding": (component_decoding, "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 AND c_custkey > 9 THEN '100' || chr(CASE WHEN substr(c_custkey::VARCHAR, 1, 1) < '8' THEN ('0x' || substr(c_custkey::VARCHAR, 1, 2))::INT ELSE 65533 END) || substr(c_custkey::VARCHAR, 3) ELSE ['a b+cé', 'aé' || chr(65533) || 'b', '%zz%2' || chr(65533), '100%'][c_custkey % 4 + 1] || c_custkey END AS decoded FROM customer"),
     "media_types": (media_types, "SELECT p_partkey, ['image/png', 'image/jpeg', 'application/octet-stream'][p_partkey % 3 + 1] AS media_type FROM part"),
     "path_resolution": (path_resolution, "SELECT s_suppkey, ['word/media/i.png', 'word/sub/x/y.xml', 'abs/z.xml', 'up.xml'][s_suppkey % 4 + 1] AS path FROM supplier"),
     "iso_durations": (

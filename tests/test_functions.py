@@ -68,12 +68,18 @@ def test_unique_anchors(spark):
 
 def test_format_strings(spark):
     for pattern, value, want in (
-        ("#,##0.00", -1234.5, "-1,234.50"), ("0.0%;(0.0%)", -0.125, "(12.5%)"), ('0" items"', 3.0, "3 items"), ("0;-0;zero", 0.0, "0"), ("[Blue]0_)", 7.0, "7"), ("General", 1e21, "1e+21"), ("d-mmm-yy", 45000.0, "15-Mar-23"), ("yyyy-mm-dd", 61.0, "1900-03-01"),
+        ("#,##0.00", -1234.5, "-1,234.50"), ("0.0%;(0.0%)", -0.125, "(12.5%)"), ('0" items"', 3.0, "3 items"), ("0;-0;zero", 0.0, "zero"), ('0;-0;"none"', 0.0, "none"), ('"EUR" 0', 5.0, "EUR 5"), ('0" up";0" down"', -2.0, "2 down"), ("0.0%", 0.125, "12.5%"), ("#,##0.00;(#,##0.00)", -50.0, "(50.00)"), ("000", 7.0, "007"), ("yyyy-mm-dd hh:mm", 45000.53125, "2023-03-15 12:45"), ("h:mm am/pm", 45000.75, "6:00 PM"), ("mm:ss", 45000.0 + 61 / 86400, "01:01"), ("m/d/yy h:mm", 45000.5, "3/15/23 12:00"), ('d "of" mmmm', 45000.99999999, "16 of March"), ("yyyy", -5.0, "-5"), ("[Blue]0_)", 7.0, "7"), ("General", 1e21, "1e+21"), ("d-mmm-yy", 45000.0, "15-Mar-23"), ("yyyy-mm-dd", 61.0, "1900-03-01"),
     ):
         assert values(spark, [value], lambda c, p=pattern: M.formatted(c, p), "double") == [want], pattern
 
 
 def test_escapes(spark):
-    assert values(spark, ["a*b_c", "1. x", "# y", "&amp; & z", "# \n- k"], M.escaped_text) == [r"a\*b\_c", r"1\. x", r"\# y", r"\&amp; & z", "\\# \n\\- k"]
+    cases = {
+        "snake_case and 2*3": "snake_case and 2*3", "*a* _b_ ~c~ `d`": r"\*a* \_b_ \~c~ \`d`", "a * b * c": "a * b * c", "_x y_z_": r"\_x y_z_", "1. x": r"1\. x", "12) y": r"12\) y", "1.5": "1.5", "# y": r"\# y", "#tag": "#tag",
+        "&amp; & z &#1": "&amp;amp; & z &amp;#1", "# \n- k": "\\# \n\\- k", "x\n---\n  ===\n-a": "x\n\\---\n  \\===\n-a", "[a] b]": r"\[a] b]", "[a": "[a", "a<b <c < d </e": r"a\<b \<c < d \</e", "back\\slash": r"back\\slash", "> q\n  + r": "\\> q\n  \\+ r", "*": r"\*", "a|b": "a|b", "": "",
+    }
+    assert values(spark, list(cases), M.escaped_text) == list(cases.values())
+    assert values(spark, ["a|b*", "# x", "[y]!"], lambda c: M.escaped_text(c, line_start=False, label=True, cell=True, open_end=True)) == [r"a\|b\*", "# x", r"\[y\]\!"]
+    assert values(spark, ["http://x/_a_[1]\n"], M.url_as_text) == [r"http://x/\_a\_\[1\] "]
     assert values(spark, ["a", "`b", "c``d"], M.code_span) == ["`a`", "`` `b ``", "```c``d```"]
-    assert values(spark, ["a%20b%zz%C3%A9", "%FFx"], M.decoded_component) == ["a b%zzé", "%FFx"]
+    assert values(spark, ["a%20b%zz%C3%A9", "%FFx", "a%C3%A9%FFb", "%E2%82", ""], M.decoded_component) == ["a b%zzé", "\ufffdx", "aé\ufffdb", "\ufffd", ""]
