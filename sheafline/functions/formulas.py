@@ -21,8 +21,8 @@ def tokens(formula: Column) -> Column:
     return F.regexp_extract_all(formula, F.lit(TOKEN), F.lit(1))
 
 
-def shifted(formula: Column, rows: int, columns: int) -> Column:
-    """The formula as it reads ``rows`` down and ``columns`` right; ``$`` pins, strings stay.
+def shifted(formula: Column, rows: int | Column, columns: int | Column) -> Column:
+    """The formula as it reads ``rows`` down and ``columns`` right, numbers or columns; ``$`` pins, strings stay.
 
     A reference that leaves the sheet becomes an error value.  A function whose name
     reads like an address (``LOG10``) moves like one.

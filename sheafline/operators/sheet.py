@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.functions.coordinates import address_column, parse_range
+from sheafline.functions.coordinates import MAX_ROWS, address_column, parse_range
+from sheafline.functions.formulas import shifted
 from sheafline.functions.values import finite, is_number, text
+from sheafline.operators.table import Metric, pivot_summary
 
 Area = tuple[int, int, int, int]
 
@@ -146,6 +148,44 @@ def fill_range(cells: DataFrame, where: str | Area, value: float | str, sheet: s
     return write_range(cells, where, filled)
 
 
+def fill_formula(cells: DataFrame, where: str | Area, formula: str, translate: bool = True, sheet: str = "sheet1") -> DataFrame:
+    """Cells after every position of the rectangle has the formula, as it reads from its first corner; or as given without ``translate``."""
+    top, left, bottom, right = area(where)
+    grid = cells.sparkSession.range(top, bottom + 1).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(left), F.lit(right))).alias("col"))
+    own = F.lit(formula.removeprefix("="))
+    text = shifted(own, F.col("row") - top, F.col("col") - left) if translate else own
+    none = F.lit(None).cast("string")
+    filled = grid.select(F.lit(sheet).alias("sheet"), "row", "col", F.lit(None).cast("double").alias("num"), none.alias("str"), none.alias("display"), text.alias("formula"))
+    return write_range(cells, where, filled)
+
+
+def overlaps(a: Area, b: Area) -> bool:
+    return not (a[3] < b[1] or a[1] > b[3] or a[2] < b[0] or a[0] > b[2])
+
+
+def pivot_written(
+    cells: DataFrame, source: DataFrame, row_fields: Sequence[str], values: Sequence[Metric], order: str, target: str | Area,
+    sheet: str = "sheet1", source_at: tuple[str, str | Area] | None = None,
+) -> DataFrame:
+    """``cells`` with a pivot of ``source`` written over the target's first corner: names, then a row a group in first-seen order.
+
+    A pivot may not lie over its source, ``source_at`` (sheet, rectangle), and not
+    leave the sheet.
+    """
+    top, left, bottom, right = area(target)
+    if source_at is not None and source_at[0] == sheet and overlaps((top, left, bottom, right), area(source_at[1])):
+        raise ValueError("PivotTable target cannot overlap its source range.")
+    out = pivot_summary(source, row_fields, values, order, first="first__seen")
+    names = [c for c in out.columns if c != "first__seen"]
+    # a sheet has room for a million rows, so one task orders the groups
+    placed = out.withColumn("row__no", F.row_number().over(Window.orderBy("first__seen")) + top)
+    body = to_cells(placed, F.col("row__no"), names, sheet)
+    heads = to_cells(cells.sparkSession.createDataFrame([tuple(names)], ", ".join(f"h{i} string" for i in range(len(names)))), F.lit(top), [f"h{i}" for i in range(len(names))], sheet)
+    new = heads.unionByName(body).withColumn("col", F.col("col") + left - 1).where(F.col("row") <= MAX_ROWS)
+    place = ["sheet", "row", "col"]
+    return cells.join(new.select(*place), place, "left_anti").unionByName(new)
+
+
 def axis_size(cells: DataFrame, low: int = 8, high: int = 60) -> DataFrame:
     """A width for each column from its longest display text, within bounds."""
     return cells.groupBy("sheet", "col").agg(F.least(F.lit(high), F.greatest(F.lit(low), F.max(F.length("display")) + 2)).alias("width"))

@@ -245,8 +245,8 @@ def profile(df: DataFrame, order: str, columns: Sequence[str] = ()) -> DataFrame
     )
 
 
-def pivot_summary(df: DataFrame, row_fields: Sequence[str], values: Sequence[Metric], order: str | None = None) -> DataFrame:
-    """Grouped summaries where nothing to summarise gives 0, not a null."""
+def pivot_summary(df: DataFrame, row_fields: Sequence[str], values: Sequence[Metric], order: str | None = None, first: str | None = None) -> DataFrame:
+    """Grouped summaries where nothing to summarise gives 0, not a null; ``first`` names a column for a group's least ``order``."""
     columns = []
     for m in values:
         name = resolve(df, m.column or "")
@@ -260,5 +260,7 @@ def pivot_summary(df: DataFrame, row_fields: Sequence[str], values: Sequence[Met
             "maximum": lambda number=number: F.coalesce(F.max(number), F.lit(0.0)),
         }[m.operation]()
         columns.append(value.alias(m.name or f"{m.operation} of {m.column}"))
-    out = df.groupBy(*(F.col(f"`{resolve(df, f)}`") for f in row_fields)).agg(*columns, *([F.min(order).alias("first__seen")] if order else []))
+    out = df.groupBy(*(F.col(f"`{resolve(df, f)}`") for f in row_fields)).agg(*columns, *([F.min(order).alias(first or "first__seen")] if order else []))
+    if first:
+        return out
     return out.orderBy("first__seen").drop("first__seen") if order else out

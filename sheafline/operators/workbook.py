@@ -8,9 +8,6 @@ either corner may come first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +128,47 @@ def rules_added(rules: DataFrame, new: DataFrame, prefix: str) -> DataFrame:
     return rules.unionByName(made, allowMissingColumns=True)
 
 
-def apply_all[T](state: T, steps: Sequence[Callable[[T], T]]) -> T:
-    """The state after all steps in order, each one a function from state to state."""
-    return reduce(lambda now, step: step(now), steps, state)
+#: Fixed value: the most characters of a validation's listed values, commas included.
+LISTED_CHARS = 255
+
+
+def validations_added(rules: DataFrame, new: DataFrame) -> DataFrame:
+    """Data validations with new ones, ``sheet, step, id, ..., listed`` (an array of values, null: a formula).
+
+    Listed values may hold no comma or quote and must fit in ``LISTED_CHARS``
+    characters; others are refused with ``invalid-values`` and take no number.
+    """
+    listed = F.col("listed")
+    bad = F.exists(listed, lambda v: v.rlike('[,"]')) | (F.length(F.array_join(listed, ",")) > LISTED_CHARS)
+    marked = new.withColumn("error_code", F.when(bad, "invalid-values"))
+    added = rules_added(rules, marked.where("error_code is null"), "validation")
+    return added.unionByName(oriented(marked.where("error_code is not null")), allowMissingColumns=True)
+
+
+#: Fixed value: what a table may be called.
+TABLE_NAME = r"^[A-Za-z_\\][A-Za-z0-9_.\\]*$"
+
+
+def tables_created(tables: DataFrame, cells: DataFrame, new: DataFrame) -> DataFrame:
+    """``workbook, sheet, step, name, top, left, bottom, right, columns, error_code`` of commands that make tables.
+
+    ``tables`` has the workbooks' tables, ``workbook, name``; ``cells`` has ``workbook,
+    sheet, row, col, display``; ``new`` a rectangle, a name and a ``step`` that orders
+    a workbook's commands.  Refused are tables without a row under their header
+    (``no-rows``), odd names (``invalid-name``), and names that a table or an earlier
+    accepted command of the workbook has, whatever its case (``name-taken``).  The
+    header's cells name the columns; a blank one is called by its number.
+    """
+    own = oriented(new.select("workbook", "sheet", "step", "name", *RECTANGLE))
+    plain = F.when(F.col("bottom") <= F.col("top"), "no-rows").when(~F.coalesce(F.col("name").rlike(TABLE_NAME), F.lit(False)), "invalid-name")
+    checked = own.withColumn("plain", plain).withColumn("key", F.lower("name"))
+    known = tables.select("workbook", F.lower("name").alias("key")).distinct().withColumn("known", F.lit(True))
+    # of the commands that could make a name, the first one does
+    earlier = F.row_number().over(Window.partitionBy("workbook", "key", F.col("plain").isNull()).orderBy("step")) > 1
+    judged = checked.join(known, ["workbook", "key"], "left").withColumn("error_code", F.coalesce("plain", F.when(F.col("known") | earlier, "name-taken")))
+    heads = judged.where("error_code is null").select("workbook", "sheet", "step", "left", "right", F.col("top").alias("row"))
+    shown = heads.join(cells.select("workbook", "sheet", "row", "col", "display"), ["workbook", "sheet", "row"]).where("col between left and right and display <> ''")
+    names = shown.groupBy("workbook", "sheet", "step").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("long").alias("col"), "display"))).alias("shown"))
+    full = F.transform(F.sequence(F.col("left").cast("long"), F.col("right").cast("long")), lambda c: F.coalesce(F.try_element_at("shown", c), F.concat(F.lit("Column"), (c - F.col("left") + 1).cast("string"))))
+    out = judged.join(names, ["workbook", "sheet", "step"], "left")
+    return out.select("workbook", "sheet", "step", "name", *RECTANGLE, F.when(F.col("error_code").isNull(), full).alias("columns"), "error_code")

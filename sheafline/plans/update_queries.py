@@ -10,8 +10,11 @@ from sheafline.functions import values as V
 from sheafline.operators import commands as C
 from sheafline.operators import documents as D
 from sheafline.operators import lists as I
+from sheafline.operators import sheet as S
+from sheafline.operators import table as T_
 from sheafline.operators import workbook as W
 from sheafline.plans.table_queries import load
+from sheafline.sources.files import delimiter_score
 from sheafline.streaming import jobs as J
 
 
@@ -64,12 +67,10 @@ def workbook_sheets(s, d):
     own = load(s, d, "supplier")
     sheets = W.renumbered(own.select(F.col("s_nationkey").alias("workbook"), F.col("s_suppkey").alias("sheet"), F.col("s_name").alias("name"), F.lit(0).cast("long").alias("position"), F.lit(False).alias("hidden")), F.col("sheet"))
     first = own.groupBy(F.col("s_nationkey").alias("workbook")).agg(F.min("s_suppkey").alias("low"), F.max("s_suppkey").alias("sheet"))
-    return W.apply_all(sheets, [
-        lambda now: W.sheets_created(now, first.select("workbook", F.lit("new").alias("name"), F.lit(1).alias("position"))),
-        lambda now: W.sheets_moved(now, first.select("workbook", "sheet", F.lit(0).alias("position"))),
-        lambda now: W.sheets_deleted(now, first.select("workbook", F.col("low").alias("sheet"))),
-        lambda now: W.sheets_shown(now, now.select("workbook", "sheet", (F.col("workbook") % 2 == 0) | (F.col("position") == 0)).toDF("workbook", "sheet", "hidden")),
-    ])
+    now = W.sheets_created(sheets, first.select("workbook", F.lit("new").alias("name"), F.lit(1).alias("position")))
+    now = W.sheets_moved(now, first.select("workbook", "sheet", F.lit(0).alias("position")))
+    now = W.sheets_deleted(now, first.select("workbook", F.col("low").alias("sheet")))
+    return W.sheets_shown(now, now.select("workbook", "sheet", (F.col("workbook") % 2 == 0) | (F.col("position") == 0)).toDF("workbook", "sheet", "hidden"))
 
 
 def rule_ids(s, d):
@@ -79,6 +80,60 @@ def rule_ids(s, d):
     return W.rules_added(rules, new, "cf").select("sheet", "step", "id")
 
 
+def validation_rules(s, d):
+    """Parts as validations of their sheets, every fourth stored; values with commas or beyond the room are refused."""
+    own = sheet_rows(s, d).withColumn("sheet", F.floor(F.col("id") / 40).cast("long"))
+    rules = own.where("id % 4 = 0").select("sheet", F.col("id").alias("step"), F.concat(F.lit("own-"), F.col("id").cast("string")).alias("id"), *W.RECTANGLE)
+    listed = F.when(F.col("id") % 4 == 1, F.array(F.lit("a"), F.when(F.col("id") % 3 == 0, "b,c").otherwise("b"))).when(F.col("id") % 4 == 2, F.array_repeat(F.lit("twelve chars"), (F.col("id") % 30).cast("int")))
+    new = own.where("id % 4 <> 0").select("sheet", F.col("id").alias("step"), F.lit(None).cast("string").alias("id"), *W.RECTANGLE, listed.alias("listed"))
+    return W.validations_added(rules, new).select("sheet", "step", "id", "error_code")
+
+
+def tables_created(s, d):
+    """Suppliers as tables of their nations' workbooks, headed by the customers of the same number."""
+    k = F.col("s_suppkey")
+    own = load(s, d, "supplier").select(
+        F.col("s_nationkey").alias("workbook"), (k % 3).alias("sheet"), k.alias("step"), F.concat(F.get(F.array(*map(F.lit, ("T", "t", "1", "_x.", "a b"))), (k % 5).cast("int")), (k % 4).cast("string")).alias("name"),
+        (k % 9 + 1).alias("top"), F.lit(2).cast("long").alias("left"), (k % 9 + 1 + F.when(k % 7 == 0, 0).otherwise(3)).alias("bottom"), (k % 3 + 3).alias("right"),
+    )
+    c = F.col("c_custkey")
+    cells = load(s, d, "customer").select(F.col("c_nationkey").alias("workbook"), (c % 3).alias("sheet"), (F.floor(c / 3) % 9 + 1).alias("row"), (F.floor(c / 27) % 6 + 1).alias("col"), F.when(c % 5 == 0, "").otherwise(F.col("c_name")).alias("display"), "c_custkey")
+    least = cells.groupBy("workbook", "sheet", "row", "col").agg(F.min_by("display", "c_custkey").alias("display"))
+    old = own.where("step % 11 = 0").select("workbook", F.lower("name").alias("name"))
+    return W.tables_created(old, least, own.where("step % 11 <> 0"))
+
+
+def pivot_cells(s, d):
+    """Orders pivoted by status and priority, written over cells of the nations."""
+    orders = load(s, d, "orders").withColumn("place", F.col("o_orderkey"))
+    nation = load(s, d, "nation")
+    cells = S.to_cells(nation, F.col("n_nationkey") + 1, ["n_nationkey", "n_name", "n_regionkey"])
+    out = S.pivot_written(cells, orders, ["o_orderstatus", "o_orderpriority"], [T_.Metric("count", "o_orderkey", "n"), T_.Metric("maximum", "o_custkey", "last")], "place", "B3:C4", source_at=("data", "A1:Z99"))
+    return out.select("sheet", "row", "col", "num", "str")
+
+
+def filled_formulas(s, d):
+    """A formula filled down all rows of the parts' sheet, over cells that stand there."""
+    cells = S.to_cells(load(s, d, "part"), F.col("p_partkey") + 1, ["p_partkey", "p_size"])
+    last = load(s, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return S.fill_formula(cells, (2, 2, last, 3), "=A1*$A$1+B$1").select("row", "col", "num", "formula")
+
+
+def merged_runs(s, d):
+    """Ten parts a paragraph as runs of three styles, some of them blank."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    style = F.get(F.array(*map(F.lit, ("bold", "", "bold", "code", "bold"))), (size % 5).cast("int"))
+    text = F.when(size % 3 == 0, " ").when(size % 13 == 0, "").otherwise(F.concat(F.lit("p"), k.cast("string")))
+    runs = load(s, d, "part").select(F.floor(k / 10).alias("paragraph"), k.alias("position"), F.when(size == 50, "link").otherwise("text").alias("kind"), style.alias("style"), text.alias("text"))
+    return I.merged_runs(runs).select("paragraph", "position", "kind", "style", "text")
+
+
+def delimiter_scores(s, d):
+    """How well comma, semicolon and tab part each document's lines."""
+    own = load(s, d, "documents")
+    return own.select("doc_id", *(delimiter_score(F.col("text"), c).alias(n) for n, c in (("comma", ","), ("semicolon", ";"), ("tab", "\t"))))
+
+
 def list_items(s, d):
     """Conversation turns as list entries."""
     size = F.length("text")
@@ -102,7 +157,7 @@ def job_results(s, d):
 
 
 def failure_texts(s, d):
-    own = load(s, d, "documents").select("doc_id", "text", J.encoded_failure(F.lit("malformed"), F.substring("text", 1, 3000), F.col("doc_id") % 2 == 0, F.lit("csv"), F.lit(415)).alias("line"))
+    own = load(s, d, "documents").select("doc_id", "text", J.encoded_failure(F.lit("malformed"), F.col("text"), F.col("doc_id") % 2 == 0, F.lit("csv"), F.lit(415)).alias("line"))
     got = J.decoded_failure(F.concat(F.lit("worker said "), "line"))
     lost = J.decoded_failure(F.replace("line", F.lit("version"), F.lit("revision")))
     return own.select("doc_id", F.sha2(got["message"], 256).alias("message"), got["code"].alias("code"), got["retryable"].alias("retryable"), got["status"].alias("status"), lost.isNull().alias("lost"))
@@ -163,6 +218,45 @@ QUERIES = {
         rule_ids,
         f"WITH {RECT}, n AS (SELECT sheet, count(*) AS n FROM r WHERE id % 4 = 0 GROUP BY 1) SELECT sheet, id AS step, 'own-' || id AS id FROM r WHERE id % 4 = 0 UNION ALL SELECT r.sheet, id, CASE WHEN id % 4 = 1 THEN 'given-' || id ELSE 'cf-' || (row_number() OVER (PARTITION BY r.sheet ORDER BY id) + coalesce(n, 0)) END FROM r LEFT JOIN n ON n.sheet = r.sheet WHERE id % 4 <> 0",
     ),
+    "validation_rules": (
+        validation_rules,
+        "WITH p AS (SELECT p_partkey // 40 AS sheet, p_partkey AS id FROM part), n AS (SELECT sheet, count(*) AS n FROM p WHERE id % 4 = 0 GROUP BY 1), b AS (SELECT *, (id % 4 = 1 AND id % 3 = 0) OR (id % 4 = 2 AND (id % 30) * 13 - 1 > 255) AS bad FROM p WHERE id % 4 <> 0) SELECT sheet, id AS step, 'own-' || id AS id, NULL::VARCHAR AS error_code FROM p WHERE id % 4 = 0 "
+        "UNION ALL SELECT b.sheet, id, CASE WHEN NOT bad THEN 'validation-' || (coalesce(n, 0) + row_number() OVER (PARTITION BY b.sheet, bad ORDER BY id)) END, CASE WHEN bad THEN 'invalid-values' END FROM b LEFT JOIN n ON n.sheet = b.sheet",
+    ),
+    "tables_created": (
+        tables_created,
+        "WITH s AS (SELECT s_nationkey AS w, s_suppkey % 3 AS sh, s_suppkey AS k, ['T', 't', '1', '_x.', 'a b'][s_suppkey % 5 + 1] || (s_suppkey % 4) AS name, s_suppkey % 9 + 1 AS t, 2::BIGINT AS l, s_suppkey % 9 + 1 + CASE WHEN s_suppkey % 7 = 0 THEN 0 ELSE 3 END AS b, s_suppkey % 3 + 3 AS r FROM supplier), "
+        "c AS (SELECT c_nationkey AS w, c_custkey % 3 AS sh, c_custkey // 3 % 9 + 1 AS y, c_custkey // 27 % 6 + 1 AS x, arg_min(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END, c_custkey) AS v FROM customer GROUP BY 1, 2, 3, 4), "
+        "e AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'no-rows' WHEN k % 5 IN (2, 4) THEN 'invalid-name' WHEN EXISTS (SELECT 1 FROM s o WHERE o.w = s.w AND o.k % 11 = 0 AND lower(o.name) = lower(s.name)) OR EXISTS (SELECT 1 FROM s o WHERE o.w = s.w AND o.k % 11 <> 0 AND o.k % 7 <> 0 AND o.k % 5 NOT IN (2, 4) AND o.k < s.k AND lower(o.name) = lower(s.name)) THEN 'name-taken' END AS bad FROM s WHERE k % 11 <> 0), "
+        "h AS (SELECT e.w, e.k, list(coalesce(nullif(v, ''), 'Column' || (x.x - 1)) ORDER BY x.x) AS cols FROM e JOIN (SELECT unnest([2, 3, 4, 5]) AS x) x ON x.x <= e.r LEFT JOIN c ON c.w = e.w AND c.sh = e.sh AND c.y = e.t AND c.x = x.x WHERE bad IS NULL GROUP BY 1, 2) "
+        "SELECT e.w AS workbook, sh AS sheet, e.k AS step, name, t AS top, l AS \"left\", b AS bottom, r AS \"right\", cols AS columns, bad AS error_code FROM e LEFT JOIN h ON h.w = e.w AND h.k = e.k",
+    ),
+    "pivot_cells": (
+        pivot_cells,
+        "WITH g AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(*)::DOUBLE AS n, max(o_custkey)::DOUBLE AS m, min(o_orderkey) AS f FROM orders GROUP BY 1, 2), r AS (SELECT *, 3 + row_number() OVER (ORDER BY f) AS y FROM g), "
+        "v AS (SELECT y, 2 AS x, NULL::DOUBLE AS num, s AS str FROM r UNION ALL SELECT y, 3, NULL, p FROM r UNION ALL SELECT y, 4, n, NULL FROM r UNION ALL SELECT y, 5, m, NULL FROM r UNION ALL SELECT 3, unnest([2, 3, 4, 5]), NULL, unnest(['o_orderstatus', 'o_orderpriority', 'n', 'last'])), "
+        "c AS (SELECT n_nationkey + 1 AS y, 1 AS x, n_nationkey::DOUBLE AS num, NULL::VARCHAR AS str FROM nation UNION ALL SELECT n_nationkey + 1, 2, NULL, n_name FROM nation UNION ALL SELECT n_nationkey + 1, 3, n_regionkey, NULL FROM nation) "
+        "SELECT 'sheet1' AS sheet, y AS \"row\", x AS col, num, str FROM v UNION ALL SELECT 'sheet1', y, x, num, str FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.y = c.y AND v.x = c.x)",
+    ),
+    "filled_formulas": (
+        filled_formulas,
+        "WITH m AS (SELECT max(p_partkey) + 1 AS last FROM part) SELECT p_partkey + 1 AS \"row\", 1 AS col, p_partkey::DOUBLE AS num, NULL::VARCHAR AS formula FROM part UNION ALL SELECT p_partkey + 1, 2, p_size, NULL FROM part WHERE p_partkey = 0 "
+        "UNION ALL SELECT y, x, NULL, ['A', 'B'][x - 1] || (y - 1) || '*$A$1+' || ['B', 'C'][x - 1] || '$1' FROM (SELECT unnest(range(2, last + 1)) AS y FROM m), (SELECT unnest([2, 3]) AS x)",
+    ),
+    "merged_runs": (
+        merged_runs,
+        "WITH RECURSIVE r AS (SELECT p_partkey // 10 AS g, p_partkey AS p, CASE WHEN p_size = 50 THEN 'link' ELSE 'text' END AS kind, ['bold', '', 'bold', 'code', 'bold'][p_size % 5 + 1] AS st, CASE WHEN p_size % 3 = 0 THEN ' ' WHEN p_size % 13 = 0 THEN '' ELSE 'p' || p_partkey END AS t FROM part), "
+        "x AS (SELECT g, p, kind, CASE WHEN kind = 'text' AND trim(t) = '' THEN '' ELSE st END AS st, t, row_number() OVER (PARTITION BY g ORDER BY p) AS i FROM r WHERE kind = 'link' OR t <> ''), "
+        "w AS (SELECT DISTINCT g, 0::BIGINT AS i, []::STRUCT(p BIGINT, kind VARCHAR, st VARCHAR, t VARCHAR)[] AS o FROM x UNION ALL SELECT w.g, x.i, CASE WHEN x.kind = 'text' AND len(o) >= 1 AND o[-1].kind = 'text' AND o[-1].st = x.st THEN list_append(o[:-2], {'p': o[-1].p, 'kind': 'text', 'st': x.st, 't': o[-1].t || x.t}) "
+        "WHEN x.kind = 'text' AND x.st <> '' AND x.st <> 'code' AND len(o) >= 2 AND o[-1].kind = 'text' AND o[-1].st = '' AND trim(o[-1].t) = '' AND o[-2].kind = 'text' AND o[-2].st = x.st THEN list_append(o[:-3], {'p': o[-2].p, 'kind': 'text', 'st': x.st, 't': o[-2].t || o[-1].t || x.t}) ELSE list_append(o, {'p': x.p, 'kind': x.kind, 'st': x.st, 't': x.t}) END FROM w JOIN x ON x.g = w.g AND x.i = w.i + 1) "
+        "SELECT g AS paragraph, q.p AS position, q.kind AS kind, q.st AS style, q.t AS text FROM (SELECT g, unnest(o) AS q FROM w QUALIFY i = max(i) OVER (PARTITION BY g))",
+    ),
+    "delimiter_scores": (
+        delimiter_scores,
+        "WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\"([^\"]|\"\")*(\"|$)', '', 'g'), chr(10)) AS ls FROM documents), k AS (SELECT doc_id, d, list_filter(list_transform(ls, lambda x: length(x) - length(replace(x, d, ''))), lambda n: n > 0)[:20] AS ns FROM l, (SELECT unnest([',', ';', chr(9)]) AS d)), "
+        "u AS (SELECT doc_id, d, n, count(*) AS f FROM (SELECT doc_id, d, unnest(ns) AS n FROM k) GROUP BY 1, 2, 3), b AS (SELECT doc_id, d, arg_max(n * f, [f, n]) AS score FROM u GROUP BY 1, 2) "
+        "SELECT doc_id, coalesce(max(CASE WHEN d = ',' THEN score END), 0)::INT AS comma, coalesce(max(CASE WHEN d = ';' THEN score END), 0)::INT AS semicolon, coalesce(max(CASE WHEN d = chr(9) THEN score END), 0)::INT AS tab FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1",
+    ),
     "list_islands": (
         list_items,
         "WITH e AS (SELECT conv_id AS doc_id, turn AS position, length(text) % 3 AS level, length(text) % 2 AS k, turn // 2 AS number FROM conversations), p AS (SELECT *, CASE level WHEN 0 THEN NULL WHEN 1 THEN max(CASE WHEN level < 1 THEN position END) OVER w ELSE max(CASE WHEN level < 2 THEN position END) OVER w END AS lower_at FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "

@@ -100,6 +100,24 @@ def sniffed_delimiter(text: Column) -> Column:
     return F.when(F.size(lines) == 0, ",").otherwise(F.array_max(F.array(*entries))["d"])
 
 
+#: Fixed value: lines that tell how well a delimiter parts a text.
+SCORED_LINES = 20
+
+
+def delimiter_score(text: Column, delimiter: str) -> Column:
+    """The most frequent number of delimiters a line, the greater of equals, times its lines, over the first lines that have any.
+
+    Quoted text, line ends included, is passed over; a quote without an end hides
+    the rest.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r'"(?:""|[^"])*+(?:"|\z)', "")
+    counts = F.transform(F.split(bare, "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
+    first = F.slice(F.filter(counts, lambda n: n > 0), 1, SCORED_LINES)
+    ranked = F.transform(F.array_distinct(first), lambda n: F.struct(F.size(F.filter(first, lambda k: k == n)).alias("lines"), n.alias("n")))
+    best = F.array_max(ranked)
+    return F.coalesce(best["lines"] * best["n"], F.lit(0))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """All values as text, first line as header; the delimiter is told from the first lines."""
     if delimiter is None:
