@@ -145,7 +145,7 @@ CONTAINERS = {
 
 def container_format(mime: Column) -> Column:
     """The format that a zipped document's own media type names; templates are of their document's format."""
-    base = F.regexp_replace(mime, "-template$", "")
+    base = F.regexp_replace(F.trim(mime), "-template$", "")
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in CONTAINERS.items() for x in pair)), base)
 
 

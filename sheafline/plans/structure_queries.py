@@ -58,13 +58,13 @@ def note_numbers(s, d):
 
 
 def unique_slugs(s, d):
-    own = load(s, d, "part").select((F.col("p_partkey") % 10).alias("doc_id"), F.col("p_partkey").alias("position"), X.heading_slug(F.col("p_brand")).alias("slug"))
+    own = load(s, d, "part").select(F.floor(F.col("p_partkey") / 100).alias("doc_id"), F.col("p_partkey").alias("position"), X.heading_slug(F.col("p_brand")).alias("slug"))
     return R.claimed_slugs(own)
 
 
 def link_audit(s, d):
     anchors = unique_slugs(s, d)
-    links = load(s, d, "supplier").select((F.col("s_suppkey") % 10).alias("doc_id"), F.concat(F.lit("brand"), (F.col("s_nationkey") + 1).cast("string")).alias("anchor"), F.col("s_suppkey").alias("link"))
+    links = load(s, d, "supplier").select(F.floor(F.col("s_suppkey") / 5).alias("doc_id"), F.concat(F.lit("brand"), (F.col("s_nationkey") + 1).cast("string")).alias("anchor"), F.col("s_suppkey").alias("link"))
     return R.resolved_links(links, anchors).select("doc_id", "link", F.col("target_position").isNotNull().alias("found"))
 
 
@@ -194,7 +194,7 @@ def iso_durations(s, d):
 
 
 def merge_overlaps(s, d):
-    own = load(s, d, "part").select((F.col("p_partkey") % 3).alias("sheet"), F.col("p_partkey").alias("merge_id"), F.col("p_partkey").alias("top"), (F.col("p_size") % 5).alias("left"), (F.col("p_partkey") + F.col("p_size")).alias("bottom"), (F.col("p_size") % 5 + 1).alias("right"))
+    own = load(s, d, "part").select(F.floor(F.col("p_partkey") / 200).alias("sheet"), F.col("p_partkey").alias("merge_id"), F.col("p_partkey").alias("top"), (F.col("p_size") % 5).alias("left"), (F.col("p_partkey") + F.col("p_size")).alias("bottom"), (F.col("p_size") % 5 + 1).alias("right"))
     return R.overlapping_merges(own)
 
 
@@ -202,7 +202,7 @@ def features(s, d):
     return R.feature_manifest(load(s, d, "events").select((F.col("user_id") % 10).alias("workbook"), F.col("event_type").alias("feature")))
 
 
-SLUGS = "s AS (SELECT p_partkey % 10 AS doc_id, p_partkey AS position, replace(regexp_replace(lower(trim(p_brand)), '[^\\p{L}\\p{N}\\p{M}\\p{Pc} -]', '', 'g'), ' ', '-') AS slug FROM part), a AS (SELECT doc_id, position, slug || CASE WHEN row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) = 1 THEN '' ELSE '-' || (row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) - 1) END AS anchor FROM s)"
+SLUGS = "s AS (SELECT p_partkey // 100 AS doc_id, p_partkey AS position, replace(regexp_replace(lower(trim(p_brand)), '[^\\p{L}\\p{N}\\p{M}\\p{Pc} -]', '', 'g'), ' ', '-') AS slug FROM part), a AS (SELECT doc_id, position, slug || CASE WHEN row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) = 1 THEN '' ELSE '-' || (row_number() OVER (PARTITION BY doc_id, slug ORDER BY position) - 1) END AS anchor FROM s)"
 LETTERS = "CASE WHEN n > 702 THEN chr((65 + ((n - 703) // 676) % 26)::INTEGER) ELSE '' END || CASE WHEN n > 26 THEN chr((65 + ((n - 27) // 26) % 26)::INTEGER) ELSE '' END || chr((65 + (n - 1) % 26)::INTEGER)"
 
 QUERIES = {
@@ -237,7 +237,7 @@ QUERIES = {
         "WITH f AS (SELECT conv_id AS doc_id, role || (length(text) % 5) AS note_id, min(turn) AS first FROM conversations GROUP BY 1, 2) SELECT doc_id, note_id, row_number() OVER (PARTITION BY doc_id ORDER BY first, note_id)::INTEGER AS number FROM f",
     ),
     "unique_slugs": (unique_slugs, f"WITH {SLUGS} SELECT * FROM a"),
-    "link_audit": (link_audit, f"WITH {SLUGS}, l AS (SELECT s_suppkey % 10 AS doc_id, 'brand' || (s_nationkey + 1) AS anchor, s_suppkey AS link FROM supplier) SELECT l.doc_id, link, position IS NOT NULL AS found FROM l LEFT JOIN a ON l.doc_id = a.doc_id AND l.anchor = a.anchor"),
+    "link_audit": (link_audit, f"WITH {SLUGS}, l AS (SELECT s_suppkey // 5 AS doc_id, 'brand' || (s_nationkey + 1) AS anchor, s_suppkey AS link FROM supplier) SELECT l.doc_id, link, position IS NOT NULL AS found FROM l LEFT JOIN a ON l.doc_id = a.doc_id AND l.anchor = a.anchor"),
     "asset_budget": (
         asset_budget,
         "WITH o AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS position, min((l_partkey % 4)::VARCHAR) AS part, min(l_quantity::BIGINT) AS size FROM lineitem GROUP BY 1, 2), f AS (SELECT doc_id, part, min(position) AS position, arg_min(size, position) AS size FROM o GROUP BY 1, 2), t AS (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY position, part ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM f) SELECT doc_id, part, total, total <= 60 AS kept FROM t",
@@ -286,7 +286,7 @@ QUERIES = {
     ),
     "merge_overlaps": (
         merge_overlaps,
-        "WITH m AS (SELECT p_partkey % 3 AS sheet, p_partkey AS id, p_partkey AS t, p_size % 5 AS l, p_partkey + p_size AS b FROM part) SELECT x.sheet, x.id AS a, y.id AS b FROM m x JOIN m y ON x.sheet = y.sheet AND x.id < y.id AND x.t <= y.b AND y.t <= x.b AND x.l <= y.l + 1 AND y.l <= x.l + 1",
+        "WITH m AS (SELECT p_partkey // 200 AS sheet, p_partkey AS id, p_partkey AS t, p_size % 5 AS l, p_partkey + p_size AS b FROM part) SELECT x.sheet, x.id AS a, y.id AS b FROM m x JOIN m y ON x.sheet = y.sheet AND x.id < y.id AND x.t <= y.b AND y.t <= x.b AND x.l <= y.l + 1 AND y.l <= x.l + 1",
     ),
     "feature_manifest": (features, "SELECT user_id % 10 AS workbook, event_type AS feature, count(*) AS n FROM events GROUP BY 1, 2"),
 }

@@ -21,12 +21,12 @@ from sheafline.streaming import jobs as J
 def sheet_rows(s, d):
     """Parts as rectangles: sheet, merge id, top, left, bottom, right."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    return load(s, d, "part").select((key % 3).alias("sheet"), key.alias("id"), key.alias("top"), (size % 5 + 1).cast("long").alias("left"), (key + size % 4).alias("bottom"), (size % 5 + 2).cast("long").alias("right"))
+    return load(s, d, "part").select(F.floor(key / 200).alias("sheet"), key.alias("id"), key.alias("top"), (size % 5 + 1).cast("long").alias("left"), (key + size % 4).alias("bottom"), (size % 5 + 2).cast("long").alias("right"))
 
 
 def format_ranges(s, d):
     part = load(s, d, "part")
-    cells = part.select((F.col("p_partkey") % 3).alias("sheet"), F.col("p_partkey").alias("row"), F.lit(2).cast("long").alias("col"), F.col("p_name").alias("str"), F.create_map(F.lit("font"), F.col("p_brand"), F.lit("fill"), F.lit("none")).alias("style"))
+    cells = part.select(F.floor(F.col("p_partkey") / 200).alias("sheet"), F.col("p_partkey").alias("row"), F.lit(2).cast("long").alias("col"), F.col("p_name").alias("str"), F.create_map(F.lit("font"), F.col("p_brand"), F.lit("fill"), F.lit("none")).alias("style"))
     commands = sheet_rows(s, d).select("sheet", F.col("id").alias("step"), *W.RECTANGLE, F.create_map(F.lit("fill"), F.col("id").cast("string")).alias("style"))
     out = W.formatted_ranges(cells, commands)
     return out.select("sheet", "row", "col", "str", F.try_element_at("style", F.lit("fill")).alias("fill"), F.try_element_at("style", F.lit("font")).alias("font"))
@@ -34,7 +34,7 @@ def format_ranges(s, d):
 
 def axis_sizes(s, d):
     part = load(s, d, "part")
-    axes = part.select((F.col("p_partkey") % 3).alias("sheet"), F.lit("row").alias("axis"), F.col("p_partkey").alias("index"), F.col("p_size").cast("double").alias("size"), F.lit(False).alias("hidden"))
+    axes = part.select(F.floor(F.col("p_partkey") / 200).alias("sheet"), F.lit("row").alias("axis"), F.col("p_partkey").alias("index"), F.col("p_size").cast("double").alias("size"), F.lit(False).alias("hidden"))
     commands = sheet_rows(s, d).select("sheet", F.lit("row").alias("axis"), F.col("top").alias("first"), F.col("bottom").alias("last"), F.col("id").alias("step"), F.when(F.col("id") % 2 == 0, F.col("right").cast("double")).alias("size"), F.when(F.col("id") % 5 == 0, F.lit(True)).alias("hidden"))
     return W.resized(axes, commands)
 
@@ -182,18 +182,18 @@ def turn_containment(s, d):
     return own.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(D.text_containment(F.col("text"), F.col("later")), 9).alias("share"))
 
 
-RECT = "r AS (SELECT p_partkey % 3 AS sheet, p_partkey AS id, p_partkey AS t, (p_size % 5 + 1)::BIGINT AS l, p_partkey + p_size % 4 AS b, (p_size % 5 + 2)::BIGINT AS rt FROM part)"
+RECT = "r AS (SELECT p_partkey // 200 AS sheet, p_partkey AS id, p_partkey AS t, (p_size % 5 + 1)::BIGINT AS l, p_partkey + p_size % 4 AS b, (p_size % 5 + 2)::BIGINT AS rt FROM part)"
 GRAMS = "list_distinct(list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' ')))"
 
 QUERIES = {
     "format_ranges": (
         format_ranges,
-        f"WITH {RECT}, p AS (SELECT sheet, id, unnest(range(t, b + 1)) AS y, l, rt FROM r), q AS (SELECT sheet, id, y, unnest(range(l, rt + 1)) AS x FROM p), f AS (SELECT sheet, y, x, max(id)::VARCHAR AS fill FROM q GROUP BY 1, 2, 3), c AS (SELECT p_partkey % 3 AS sheet, p_partkey AS y, 2 AS x, p_name, p_brand FROM part) "
+        f"WITH {RECT}, p AS (SELECT sheet, id, unnest(range(t, b + 1)) AS y, l, rt FROM r), q AS (SELECT sheet, id, y, unnest(range(l, rt + 1)) AS x FROM p), f AS (SELECT sheet, y, x, max(id)::VARCHAR AS fill FROM q GROUP BY 1, 2, 3), c AS (SELECT p_partkey // 200 AS sheet, p_partkey AS y, 2 AS x, p_name, p_brand FROM part) "
         "SELECT coalesce(c.sheet, f.sheet) AS sheet, coalesce(c.y, f.y) AS \"row\", coalesce(c.x, f.x) AS col, p_name AS str, coalesce(f.fill, 'none') AS fill, p_brand AS font FROM c FULL JOIN f ON c.sheet = f.sheet AND c.y = f.y AND c.x = f.x",
     ),
     "axis_sizes": (
         axis_sizes,
-        f"WITH {RECT}, c AS (SELECT sheet, unnest(range(t, b + 1)) AS i, id, CASE WHEN id % 2 = 0 THEN rt::DOUBLE END AS size, CASE WHEN id % 5 = 0 THEN true END AS hidden FROM r UNION ALL SELECT p_partkey % 3, p_partkey, -1, p_size::DOUBLE, false FROM part) "
+        f"WITH {RECT}, c AS (SELECT sheet, unnest(range(t, b + 1)) AS i, id, CASE WHEN id % 2 = 0 THEN rt::DOUBLE END AS size, CASE WHEN id % 5 = 0 THEN true END AS hidden FROM r UNION ALL SELECT p_partkey // 200, p_partkey, -1, p_size::DOUBLE, false FROM part) "
         "SELECT sheet, 'row' AS axis, i AS \"index\", arg_max(size, id) FILTER (WHERE size IS NOT NULL) AS size, coalesce(arg_max(hidden, id) FILTER (WHERE hidden IS NOT NULL), false) AS hidden FROM c GROUP BY 1, 3",
     ),
     "merge_changes": (

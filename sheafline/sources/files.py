@@ -30,21 +30,6 @@ def detected(content: Column, path: Column) -> Column:
     )
 
 
-#: Media types of documents and the format each stands for.
-MEDIA_FORMATS = {
-    "application/epub+zip": "epub",
-    "application/vnd.oasis.opendocument.text": "odt",
-    "application/vnd.oasis.opendocument.spreadsheet": "ods",
-    "application/vnd.oasis.opendocument.presentation": "odp",
-}
-
-
-def media_format(mime: Column) -> Column:
-    """The format of a package's declared media type, templates included; else null."""
-    pairs = [F.lit(x) for item in MEDIA_FORMATS.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), F.regexp_replace(F.trim(mime), "-template$", ""))
-
-
 def resolved_format(explicit: Column | None, content: Column, path: Column) -> Column:
     """The format asked for, else the one detected; null where there is none."""
     found = detected(content, path)
