@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sheafline.operators import chains as H
@@ -11,6 +12,7 @@ from sheafline.operators import commands as C
 from sheafline.operators import dependencies as Y
 from sheafline.operators import documents as D
 from sheafline.operators import grid as G
+from sheafline.operators import headers as B
 from sheafline.operators import numbering as N
 from sheafline.operators import portable as V
 from sheafline.operators import structure as R
@@ -180,6 +182,18 @@ def portable_values(s, d):
     return V.measured_values(load(s, d, "events").select(e.alias("id"), F.get(form, (e % 8).cast("int")).alias("json")), V.Limits(max_depth=4))
 
 
+def header_rows(s, d):
+    """A nation's customers as a table under six kinds of first rows."""
+    n, k = F.col("c_nationkey"), F.col("c_custkey")
+    own = load(s, d, "customer").withColumn("row", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
+    body = F.array(F.when(n % 6 == 5, F.col("c_mktsegment")).otherwise(k.cast("string")), F.col("c_name"), F.when(n % 6 == 5, "x").otherwise(F.format_number("c_acctbal", 2)))
+    rows = own.select(n.alias("table_id"), "row", F.posexplode(body).alias("col", "text"))
+    heads = F.array(*(F.array(*map(F.lit, h)) for h in (("Id", "Name", "Balance"), ("a", " A", "b"), ("1", "2", "3"), ("Id", "", "Balance"), ("Id", "Name", "a\nb"), ("BUILDING", "Name", "Mark"))))
+    first = load(s, d, "customer").select(n.alias("table_id")).distinct().select("table_id", F.lit(0).alias("row"), F.posexplode(F.get(heads, F.col("table_id") % 6)).alias("col", "text"))
+    cells = rows.unionByName(first).select("*", F.lit(1).alias("row_span"), F.lit(1).alias("col_span"))
+    return B.header_rows(cells, ["table_id"])
+
+
 LINES = "o AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS part, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY 1, 2)"
 COVERS = "len(list_filter(active, lambda a: a.t <= {row} AND {row} < a.b AND a.l <= {col} AND {col} < a.r)) > 0"
 
@@ -291,6 +305,7 @@ QUERIES = {
     "style_chains": (style_chains, CHAINS),
     "formula_levels": (formula_levels, LEVELS),
     "edge_columns": (edge_columns, EDGES),
+    "header_rows": (header_rows, "WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) SELECT c_nationkey AS table_id, CASE WHEN c_nationkey % 6 = 0 THEN 1 WHEN c_nationkey % 6 = 5 AND NOT bool_or(r <= 50 AND c_mktsegment = 'BUILDING') THEN 1 ELSE 0 END::INT AS header_rows FROM c GROUP BY 1"),
     "ingest_keyed_store": (keyed_store, "SELECT sha256(text) AS sha256, arg_min(doc_id, [doc_id % 3, doc_id]) AS doc_id, arg_min(source, [doc_id % 3, doc_id]) AS source FROM documents GROUP BY 1"),
     "job_states": (job_states, JOBS),
     "note_order": (note_order, NOTES),
