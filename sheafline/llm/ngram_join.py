@@ -475,5 +475,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows without an id are kept; of rows that repeat an id all or none are.
     """
     first = join(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept__id"))
-    kept = docs.join(first, docs["doc_id"].cast("long") == F.col("kept__id"), "left_semi")
+    kept = docs.join(first, docs["doc_id"].cast("long") == first["kept__id"], "left_semi")
     return kept.unionByName(docs.where(docs["doc_id"].isNull()))
