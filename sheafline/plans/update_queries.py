@@ -100,7 +100,8 @@ def tables_created(s, d):
     cells = load(s, d, "customer").select(F.col("c_nationkey").alias("workbook"), (c % 3).alias("sheet"), (F.floor(c / 3) % 9 + 1).alias("row"), (F.floor(c / 27) % 6 + 1).alias("col"), F.when(c % 5 == 0, "").otherwise(F.col("c_name")).alias("display"), "c_custkey")
     least = cells.groupBy("workbook", "sheet", "row", "col").agg(F.min_by("display", "c_custkey").alias("display"))
     old = own.where("step % 11 = 0").select("workbook", F.lower("name").alias("name"))
-    return W.tables_created(old, least, own.where("step % 11 <> 0"))
+    made = W.tables_created(old, least, own.where("step % 11 <> 0"))
+    return made.withColumn("columns", F.array_join("columns", "|"))
 
 
 def pivot_cells(s, d):
@@ -229,7 +230,7 @@ QUERIES = {
         "c AS (SELECT c_nationkey AS w, c_custkey % 3 AS sh, c_custkey // 3 % 9 + 1 AS y, c_custkey // 27 % 6 + 1 AS x, arg_min(CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END, c_custkey) AS v FROM customer GROUP BY 1, 2, 3, 4), "
         "e AS (SELECT *, CASE WHEN k % 7 = 0 THEN 'no-rows' WHEN k % 5 IN (2, 4) THEN 'invalid-name' WHEN EXISTS (SELECT 1 FROM s o WHERE o.w = s.w AND o.k % 11 = 0 AND lower(o.name) = lower(s.name)) OR EXISTS (SELECT 1 FROM s o WHERE o.w = s.w AND o.k % 11 <> 0 AND o.k % 7 <> 0 AND o.k % 5 NOT IN (2, 4) AND o.k < s.k AND lower(o.name) = lower(s.name)) THEN 'name-taken' END AS bad FROM s WHERE k % 11 <> 0), "
         "h AS (SELECT e.w, e.k, list(coalesce(nullif(v, ''), 'Column' || (x.x - 1)) ORDER BY x.x) AS cols FROM e JOIN (SELECT unnest([2, 3, 4, 5]) AS x) x ON x.x <= e.r LEFT JOIN c ON c.w = e.w AND c.sh = e.sh AND c.y = e.t AND c.x = x.x WHERE bad IS NULL GROUP BY 1, 2) "
-        "SELECT e.w AS workbook, sh AS sheet, e.k AS step, name, t AS top, l AS \"left\", b AS bottom, r AS \"right\", cols AS columns, bad AS error_code FROM e LEFT JOIN h ON h.w = e.w AND h.k = e.k",
+        "SELECT e.w AS workbook, sh AS sheet, e.k AS step, name, t AS top, l AS \"left\", b AS bottom, r AS \"right\", array_to_string(cols, '|') AS columns, bad AS error_code FROM e LEFT JOIN h ON h.w = e.w AND h.k = e.k",
     ),
     "pivot_cells": (
         pivot_cells,
