@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,10 +48,26 @@ def normal_sha256(c: Column) -> Column:
     return F.when(hexed.rlike("^[0-9a-f]{64}$"), hexed)
 
 
+#: Sizes of doubles: those whose shortest text may lack digits begin with the first; the second is the first beyond a long, in steps of the third.
+LONG, WHOLE, STEP = 2.0**40, 2.0**63, 2.0**11
+
+
+def all_digits(size: Column, decimals: int) -> Column:
+    """A size from 0 with thousands and decimals, rounded half to even; large ones below 2 ** 74 with every digit they have."""
+    low = F.floor(size)
+    part = F.format_number(size - low, decimals)  # 1 if it is rounded up
+    if decimals:
+        exact = F.concat(F.format_number(low + F.substring(part, 1, 1).cast("long"), 0), F.substring(part, 2, decimals + 1))
+    else:
+        exact = F.format_number(F.rint(size).cast("long"), 0)
+    huge = F.format_number(F.floor(size / STEP).cast("decimal(38,0)") * F.lit(Decimal(int(STEP))), decimals)
+    return F.when((size >= LONG) & (size < WHOLE), exact).when((size >= WHOLE) & (size < WHOLE * STEP), huge).otherwise(F.format_number(size, decimals))
+
+
 def number_display(value: Column, decimals: int = 0, grouping: bool = False, percent: bool = False, accounting: bool = False) -> Column:
     """A number under a simple format: decimals, thousands, per cent, parentheses for negatives."""
     scaled = F.abs(value * 100 if percent else value)
-    digits = F.format_number(scaled, decimals)
+    digits = all_digits(scaled, decimals)
     digits = digits if grouping else F.replace(digits, F.lit(","), F.lit(""))
     body = F.concat(digits, F.lit("%" if percent else ""))
     negative = F.concat(F.lit("("), digits, F.lit(")"), F.lit("%" if percent else "")) if accounting else F.concat(F.lit("-"), body)
@@ -205,7 +222,7 @@ def number_section(value: Column, section: list[tuple[str, str]]) -> Column:
         return F.lit("".join(t for k, t in section if k == "text") + ("%" if "%" in own else ""))
     whole, _, part = own.replace("%", "").partition(".")
     scaled = F.abs(value * 100 if "%" in own else value)
-    shown = F.format_number(scaled, sum(ch in "0#?" for ch in part))
+    shown = all_digits(scaled, sum(ch in "0#?" for ch in part))
     shown = shown if "," in whole else F.replace(shown, F.lit(","), F.lit(""))
     least = whole.count("0") + (len(part) + 1 if part else 0)
     shown = F.when(F.length(shown) < least, F.lpad(shown, least, "0")).otherwise(shown) if whole.count("0") > 1 and "," not in whole else shown

@@ -24,6 +24,31 @@ def test_number_formats(spark):
     assert values(spark, [-50.0, 1234.5, None], lambda c: M.number_display(c, 2, True, accounting=True), "double") == ["(50.00)", "1,234.50", None]
 
 
+def test_numbers_with_all_digits(spark):
+    large = [1234567890123456.8, -1e15, 2251799813685249.5, 1.2345678901234568e18, 1.2345678901234567e19]
+    assert values(spark, large, lambda c: M.number_display(c, 2, True), "double") == ["1,234,567,890,123,456.75", "-1,000,000,000,000,000.00", "2,251,799,813,685,249.50", "1,234,567,890,123,456,768.00", "12,345,678,901,234,567,168.00"]
+    assert values(spark, [2251799813685249.5, 2251799813685248.5], lambda c: M.formatted(c, "0"), "double") == ["2251799813685250", "2251799813685248"]
+
+
+def test_dates_at_the_calendars_end(spark, tmp_path):
+    from sheafline.plans import catalog
+    from tests.oracle import connect, differences
+
+    spark.createDataFrame([(k, 1, 1.0) for k in (2_918_464, 2_918_465, 2_918_466, 2_918_471)], "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/c")
+    next(tmp_path.glob("c/*.parquet")).rename(tmp_path / "customer.parquet")
+    assert differences(spark, connect(str(tmp_path)), *catalog.ALL["number_patterns"], str(tmp_path)) == ""
+
+
+def test_formulas_filled_beyond_the_last_row(spark, tmp_path):
+    from sheafline.plans import catalog
+    from tests.oracle import connect, differences
+
+    spark.createDataFrame([(0, 7), (1_048_578, 8)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/p")
+    next(tmp_path.glob("p/*.parquet")).rename(tmp_path / "part.parquet")
+    query, sql = catalog.ALL["filled_formulas"]
+    assert differences(spark, connect(str(tmp_path)), lambda s, d: query(s, d).where("row > 1048570"), f'SELECT * FROM ({sql}) WHERE "row" > 1048570', str(tmp_path)) == ""
+
+
 def test_markers(spark):
     assert values(spark, [1, 4, 9, 1994, 3999, 0, 4000], X.roman_marker, "int") == ["i", "iv", "ix", "mcmxciv", "mmmcmxcix", "0", "4000"]
     assert values(spark, [1, 26, 27, 702, 703], X.alpha_marker, "int") == ["a", "z", "aa", "zz", "aaa"]
