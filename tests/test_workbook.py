@@ -122,3 +122,22 @@ def test_delimiter_scores(spark):
     cases = {'a,b\n"x,y\n,",c\n': (2, 0), "a;b;c\nd;e;f\n1;2\n,": (1, 4), "": (0, 0), None: (0, 0), "x,y\n" * 30: (20, 0), "a,b,c\nd,e\n": (2, 0), '"open,\n,': (0, 0), '"a""b,"",c': (0, 0)}
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [tuple(r) for r in df.select(delimiter_score(F.col("t"), ","), delimiter_score(F.col("t"), ";")).collect()] == list(cases.values())
+
+
+def test_sheets_of_queries_grow_with_their_tables(spark, tmp_path):
+    from sheafline.plans import catalog
+    from tests.oracle import connect, differences
+
+    spark.createDataFrame([(k, k * 7 % 50 + 1) for k in range(900)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/p")
+    next(tmp_path.glob("p/*.parquet")).rename(tmp_path / "part.parquet")
+    for name in ("merge_overlaps", "object_collisions", "rule_ids"):
+        query, sql = catalog.ALL[name]
+        assert differences(spark, connect(str(tmp_path)), query, sql, str(tmp_path)) == ""
+        assert {r.sheet for r in query(spark, str(tmp_path)).select("sheet").distinct().collect()} <= {0, 1, 2}
+
+
+def test_rules_are_numbered_across_blocks(spark):
+    new = spark.createDataFrame([(s, k, None) for s in (1, 2) for k in range(0, 40, 3)], "sheet long, step long, id string").selectExpr("*", "1L AS top", "1L AS left", "1L AS bottom", "1L AS right")
+    rules = new.where("false").unionByName(new.where("sheet = 2 AND step = 0").selectExpr("sheet", "-1L AS step", "'x' AS id", "top", "left", "bottom", "right"))
+    got = {(r.sheet, r.step): r.id for r in W.rules_added(rules, new, "cf", block=5).collect()}
+    assert got == {(s, 3 * i): f"cf-{i + s}" for s in (1, 2) for i in range(14)} | {(2, -1): "x"}
