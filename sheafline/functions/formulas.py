@@ -28,17 +28,25 @@ def shifted(formula: Column, rows: int | Column, columns: int | Column) -> Colum
     reads like an address (``LOG10``) moves like one.
     """
 
-    def moved(token: Column) -> Column:
+    # a lambda's variable is computed once, a column that it stands for at each use: so each step has its own
+    def read(token: Column) -> Column:
         address = F.substring_index(token, "!", -1)
-        sheet = F.substr(token, F.lit(1), F.length(token) - F.length(address))
-        at = address_parts(address)
-        column = at["column"] + F.when(at["pinned_column"], 0).otherwise(columns)
+        at = F.when(F.length(address).between(2, 12) & address.rlike(r"^\$?[A-Za-z]{1,3}\$?[1-9][0-9]{0,6}$"), address_parts(address))
+        return F.struct(token.alias("token"), F.substr(token, F.lit(1), F.length(token) - F.length(address)).alias("sheet"), at.alias("at"))
+
+    def moved(t: Column) -> Column:
+        at = t["at"]
+        column = (at["column"] + F.when(at["pinned_column"], 0).otherwise(columns)).cast("int")
         row = at["row"] + F.when(at["pinned_row"], 0).otherwise(rows)
-        text = F.concat(sheet, F.when(at["pinned_column"], "$").otherwise(""), letters_column(column), F.when(at["pinned_row"], "$").otherwise(""), row.cast("string"))
-        on_sheet = column.between(1, MAX_COLUMNS) & row.between(1, MAX_ROWS)
-        return F.when(at.isNull(), token).when(on_sheet, text).otherwise("#REF!")
+        return F.struct(t["token"].alias("token"), t["sheet"].alias("sheet"), at.alias("at"), column.alias("column"), row.alias("row"))
+
+    def written(t: Column) -> Column:
+        at = t["at"]
+        text = F.concat(t["sheet"], F.when(at["pinned_column"], "$").otherwise(""), letters_column(t["column"]), F.when(at["pinned_row"], "$").otherwise(""), t["row"].cast("string"))
+        on_sheet = t["column"].between(1, MAX_COLUMNS) & t["row"].between(1, MAX_ROWS)
+        return F.when(at.isNull(), t["token"]).when(on_sheet, text).otherwise("#REF!")
 
-    return F.array_join(F.transform(tokens(formula), moved), "")
+    return F.array_join(F.transform(F.transform(F.transform(tokens(formula), read), moved), written), "")
 
 
 def quoted_sheet(name: str) -> str:

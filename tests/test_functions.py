@@ -19,6 +19,12 @@ def test_formula_moves(spark):
     assert values(spark, cases, lambda c: L.shifted(c, 2, 3)) == ["D3+$B3+F$2+$D$4", '"A1"&D3', "ABCD12+LOJ12(D3)", "'My sheet'!D3", None]
 
 
+def test_formula_moves_are_dealt_to_tasks(spark):
+    from sheafline.plans import catalog
+
+    assert catalog.ALL["formula_shift"][0](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
+
+
 def test_number_formats(spark):
     assert values(spark, [0.125], lambda c: M.number_display(c, 1, percent=True), "double") == ["12.5%"]
     assert values(spark, [-50.0, 1234.5, None], lambda c: M.number_display(c, 2, True, accounting=True), "double") == ["(50.00)", "1,234.50", None]
