@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheafline.operators.rounds import dealt
+
 #: What an inline style counts for, and what important declarations count for above all others.
 INLINE, IMPORTANT = 1000, 10_000
+#: Elements of a task; each meets some ten declarations.
+PER_TASK = 20_000
 #: The properties that the cascade decides on.
 PROPERTIES = ("bold", "italic", "strike", "hidden")
 
@@ -68,11 +72,12 @@ def cascaded(elements: DataFrame, rules: DataFrame) -> DataFrame:
         F.transform(seen, lambda c: F.struct(F.lit(None).cast("string").alias("tag"), c.alias("class"))),
         F.transform(seen, lambda c: F.struct(tag.alias("tag"), c.alias("class"))),
     )
+    n = elements.count()
     asked = elements.select("page_id", "element", F.explode(keys).alias("k")).select("page_id", "element", F.to_json("k").alias("k"))
     given = rules.select("page_id", F.to_json(F.struct("tag", "class")).alias("k"), "weight", "rule_no", "said_no", "property", "value")
-    met = asked.join(given, ["page_id", "k"]).drop("k")
+    met = dealt(asked, n, PER_TASK, "page_id", "k").join(dealt(given, n, PER_TASK, "page_id", "k"), ["page_id", "k"]).drop("k")
     inline = elements.where("style is not null").select("page_id", "element", F.posexplode(declarations(F.col("style"))).alias("said_no", "d"))
     own = inline.select("page_id", "element", (INLINE + F.when(F.col("d.important"), IMPORTANT).otherwise(0)).alias("weight"), F.lit(0).cast("long").alias("rule_no"), "said_no", "d.property", "d.value")
-    said = met.unionByName(own)
+    said = dealt(met.unionByName(own), n, PER_TASK, "page_id", "element")
     last = lambda p: F.max_by(F.when(F.col("property") == p, F.col("value")), F.when(F.col("property") == p, F.struct("weight", "rule_no", "said_no"))).alias(p)
     return said.groupBy("page_id", "element").agg(*map(last, PROPERTIES))

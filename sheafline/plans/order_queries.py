@@ -17,7 +17,7 @@ from sheafline.operators import numbering as N
 from sheafline.operators import portable as V
 from sheafline.operators import structure as R
 from sheafline.operators import styles as A
-from sheafline.operators.rounds import shared_dir
+from sheafline.operators.rounds import dealt, shared_dir
 from sheafline.operators.workbook import RECTANGLE
 from sheafline.plans.table_queries import load
 from sheafline.sources.tiles import read_rectangles, write_tiles
@@ -157,7 +157,8 @@ def style_cascade(s, d):
     tag = F.get(F.array(*map(F.lit, ("p", "b", "h1", "i"))), (k % 4).cast("int"))
     classes = F.array(F.concat(F.lit("c"), (size % 4).cast("string")), F.concat(F.lit("c"), (size % 3).cast("string")))
     elements = own.select("page_id", k.alias("element"), tag.alias("tag"), classes.alias("classes"), style.alias("style"))
-    return A.cascaded(elements, A.style_rules(own.select("page_id", css.alias("css")).distinct()))
+    sheets = dealt(own.select("page_id"), own.count(), 100_000, "page_id").distinct()
+    return A.cascaded(elements, A.style_rules(sheets.select("page_id", css.alias("css"))))
 
 
 def note_order(s, d):

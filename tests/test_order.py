@@ -203,3 +203,17 @@ def test_levels_cycles_and_missing_sheets(spark):
         ("S", 2, 1): (0, None), ("S", 3, 1): (1, None), ("S", 4, 1): (2, None), ("S", 5, 1): (3, None), ("T", 1, 1): (0, None), ("T", 4, 1): (0, "#REF!"),
         ("T", 2, 1): (None, "#CYCLE!"), ("T", 2, 2): (None, "#CYCLE!"), ("T", 3, 1): (None, "#CYCLE!"), ("T", 9, 9): (None, "#CYCLE!"), ("T", 5, 1): (None, "#CYCLE!"),
     }
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from sheafline.operators import rounds, styles
+
+    assert [rounds.tasks_for(spark, n, 10) for n in (0, 40, 41, 1001)] == [4, 4, 5, 101]
+    elements = spark.range(90_000).selectExpr("id % 900 AS page_id", "id AS element", "'p' AS tag", "array('c') AS classes", "CAST(NULL AS string) AS style")
+    rules = styles.style_rules(spark.createDataFrame([(p, "p{font-weight:bold}") for p in range(900)], "page_id long, css string"))
+    assert styles.cascaded(elements, rules).rdd.getNumPartitions() == 5
+
+
+def test_pages_are_dealt_by_their_size(spark):
+    pages = spark.range(200).selectExpr("id AS page_id", "repeat('<p>word</p>', 10000) AS html")
+    assert documents.page_tasks(pages) == 6 and documents.page_tasks(pages.where("false")) == 4
