@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import marker_ordinal
-from sheafline.operators.rounds import running
+from sheafline.operators.rounds import running, tasks_for
 
 LEVELS = 9
 #: Entries of a sequence that make a block.
 BLOCK = 4096
+#: Entries of a task, some kilobytes each with their counters.
+PER_TASK = 25_000
 
 
 def level_numbers(entries: DataFrame, levels: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
@@ -29,8 +31,9 @@ def level_numbers(entries: DataFrame, levels: DataFrame, keys: Sequence[str], bl
     greatest restarts of blocks are composed and then applied within each block,
     so a document's entries are numbered by many tasks.
     """
+    tasks = tasks_for(entries.sparkSession, entries.count(), PER_TASK)
     own = entries.withColumn("level", F.least(F.col("level"), F.lit(LEVELS - 1))).join(levels.select(*keys, "starts", "restarts"), list(keys))
-    counted = running(own, keys, "position", block, sums={f"n{k}": (F.col("level") == k).cast("long") for k in range(LEVELS)})
+    counted = running(own, keys, "position", block, sums={f"n{k}": (F.col("level") == k).cast("long") for k in range(LEVELS)}, tasks=tasks)
 
     def restarted(k: int) -> Column:
         """Where level k restarts: the place, what it had counted, and the value that comes next."""
@@ -40,7 +43,7 @@ def level_numbers(entries: DataFrame, levels: DataFrame, keys: Sequence[str], bl
         had = F.col(f"n{k}") - F.when(mine, 1).otherwise(0)
         return F.when(shallower | mine, F.struct("position", had.alias("had"), F.coalesce(F.when(mine, F.col("start")), F.get("starts", F.lit(k))).cast("long").alias("value")))
 
-    marked = running(counted, keys, "position", block, maxima={f"r{k}": restarted(k) for k in range(LEVELS)})
+    marked = running(counted, keys, "position", block, maxima={f"r{k}": restarted(k) for k in range(LEVELS)}, tasks=tasks)
 
     def value(k: int) -> Column:
         since = F.col(f"n{k}") - F.coalesce(F.col(f"r{k}.had"), F.lit(0))
