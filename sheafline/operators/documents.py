@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from sheafline.functions.text import backtick_fence, marker_ordinal
 from sheafline.operators.grid import placed_cells
+from sheafline.operators.rounds import tasks_for
 
 #: Elements whose text is never shown.
 HIDDEN = r"(?is)<(script|style|head|template|noscript)\b.*?</\1\s*>|<!--.*?-->"
@@ -73,8 +74,18 @@ def html_links(pages: DataFrame) -> DataFrame:
     return found.select("page_id", "position", unescaped(attribute(opening, "href")).alias("target"), plain(F.col("link")).alias("label"))
 
 
-def placed(cut: DataFrame) -> DataFrame:
+#: Characters of markup for a task: its pieces take some ten times that, in each of several sorts.
+PER_TASK = 4_000_000
+
+
+def page_tasks(pages: DataFrame) -> int:
+    size = pages.agg(F.sum(F.length("html"))).first()[0]
+    return tasks_for(pages.sparkSession, size or 0, PER_TASK)
+
+
+def placed(cut: DataFrame, tasks: int) -> DataFrame:
     """Pieces of pages with their list (``depth, list_no, item_no, ordered, form, number``) and table (``table_depth, table_no, row_no, group_no, in_head, cells, cell_no``)."""
+    cut = cut.repartition(tasks, "page_id")
     page = Window.partitionBy("page_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     count = lambda test, w: F.sum(test.cast("int")).over(w)
     tag = F.col("tag")
@@ -115,7 +126,7 @@ def html_lists(pages: DataFrame) -> DataFrame:
     null in lists without numbers.  Numbers begin at ``start``, or at the number of
     items where a list is ``reversed``, and go on from an item's own ``value``.
     """
-    items = placed(pieces(pages)).where("depth > 0 AND item_no > 0").withColumn("text", plain(F.col("body")))
+    items = placed(pieces(pages), page_tasks(pages)).where("depth > 0 AND item_no > 0").withColumn("text", plain(F.col("body")))
     one = items.groupBy("page_id", "depth", "list_no", "item_no").agg(F.first("ordered").alias("ordered"), F.first("number").alias("number"), in_order(F.col("text")).alias("text"))
     return one.select("page_id", "depth", "list_no", "item_no", "ordered", F.when(F.col("ordered"), F.col("number")).alias("number"), "text")
 
@@ -131,11 +142,12 @@ def html_tables(pages: DataFrame) -> DataFrame:
     row span of 0 means all rows to ``last_row``, the last one of the row group.
     """
     group = Window.partitionBy("page_id", "table_depth", "table_no", "group_no")
-    own = placed(pieces(pages)).where("table_depth > 0").withColumn("last_row", F.max("row_no").over(group))
+    tasks = page_tasks(pages)
+    own = placed(pieces(pages), tasks).where("table_depth > 0").withColumn("last_row", F.max("row_no").over(group))
     cells = own.where("cell_no > 0").withColumn("text", plain(F.col("body")))
     is_cell = F.col("tag").isin("td", "th")
     spans = {"row_span": F.least(span("rowspan"), F.lit(65_534)), "col_span": F.greatest(F.lit(1), F.least(span("colspan"), F.lit(1000))), "last_row": F.col("last_row"), "in_head": F.col("in_head")}
-    return cells.groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(
+    return cells.repartition(tasks, "page_id").groupBy("page_id", "table_depth", "table_no", "row_no", "cell_no").agg(
         F.bool_or(F.col("tag") == "th").alias("header"), *(F.max(F.when(is_cell, c)).alias(n) for n, c in spans.items()), in_order(F.col("text")).alias("text")
     )
 
@@ -219,7 +231,7 @@ def html_markdown(pages: DataFrame) -> DataFrame:
     code = F.col("tag") == "pre"
     markup = F.when(code, F.regexp_replace("body", TAG, "")).otherwise(F.regexp_replace(signed(F.col("body")), TAG, " "))
     # texts are read before pages are dealt, as a Python step would hide how its rows lie
-    read = placed(pieces(pages).withColumn("raw", unescaped(markup)).drop("body"))
+    read = placed(pieces(pages).withColumn("raw", unescaped(markup)).drop("body"), page_tasks(pages))
     text = F.when(code, F.when(F.trim(F.regexp_replace("raw", r"\s+", " ")) != "", fenced(F.col("raw"))).otherwise("")).otherwise(settled(F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))))
     cell = (F.col("table_depth") > 0) & (F.col("cell_no") > 0)
     item = ~cell & (F.col("depth") > 0) & (F.col("item_no") > 0) & (F.col("table_depth") <= 0)
