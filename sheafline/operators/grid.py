@@ -8,20 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.operators.rounds import running, stages
+from sheafline.operators.rounds import running, stages, tasks_for
 
 #: Rows of a table that make a block.
 BLOCK = 4096
+#: Cells of a task.
+PER_TASK = 50_000
 
 
-def row_runs(rows: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
+def row_runs(rows: DataFrame, keys: Sequence[str], block: int = BLOCK, tasks: int | None = None) -> DataFrame:
     """Adds ``run`` to ``keys, row, reach``: consecutive rows whose spans end within them.
 
     A row starts a run if no earlier row's cell reaches it.
     """
-    met = running(rows, keys, "row", block, maxima={"met": F.col("reach")}, last=-1)
+    met = running(rows, keys, "row", block, maxima={"met": F.col("reach")}, last=-1, tasks=tasks)
     starts = F.when(F.col("met") > F.col("row"), 0).otherwise(1)
-    return running(met, keys, "row", block, sums={"run": starts}).drop("met")
+    return running(met, keys, "row", block, sums={"run": starts}, tasks=tasks).drop("met")
 
 
 class Carry:
@@ -94,22 +96,23 @@ def placed_cells(cells: DataFrame, keys: Sequence[str], block: int = BLOCK) -> D
 
     with stages(spark) as stage:
         own = stage(own)
+        tasks = tasks_for(spark, own.count(), PER_TASK)
         rows = own.groupBy(*keys, "row").agg(F.max(F.col("row") + F.col("row_span")).alias("reach"), F.bool_or("filled").alias("shown"))
-        runs = stage(row_runs(rows, keys, block).withColumn("place", F.floor(F.col("row") / block)))
+        runs = stage(row_runs(rows, keys, block, tasks).withColumn("place", F.floor(F.col("row") / block)))
         # what is known of a whole table or run meets its rows block by block, so that a tall table's rows stay apart
         ends = runs.where("shown").groupBy(*keys).agg(F.max("row").alias("end_row"))
         sizes = runs.groupBy(*keys, "run").agg((F.max(F.col("reach") - F.col("row")) > 1).alias("spanned"))
         blocks = runs.select(*keys, "place").distinct().join(ends, list(keys))
         at = runs.join(sizes, [*keys, "run"]).join(blocks, [*keys, "place"]).where("row <= end_row")
-        known = own.join(at.select(*keys, "row", "run", "spanned", "end_row"), [*keys, "row"])
+        known = own.repartition(tasks, *keys, "row").join(at.select(*keys, "row", "run", "spanned", "end_row"), [*keys, "row"])
         known = stage(known.withColumn("row_room", F.col("end_row") - F.col("row") + 1).drop("end_row"))
 
         widths = Window.partitionBy(*keys, "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-        plain = known.where("not spanned").withColumn("c", F.coalesce(F.sum("col_span").over(widths), F.lit(0)))
-        tangled = known.where("spanned").select(*names).repartition(*keys, "run").sortWithinPartitions(*keys, "run", "row", "cell")
+        plain = known.where("not spanned").repartition(tasks, *keys, "row").withColumn("c", F.coalesce(F.sum("col_span").over(widths), F.lit(0)))
+        tangled = known.where("spanned").select(*names).repartition(tasks, *keys, "run").sortWithinPartitions(*keys, "run", "row", "cell")
         both = plain.select(*names, "c").unionByName(tangled.mapInArrow(place, schema)).drop("run")
         ends = known.select(*keys, "row", "cell", "row_room")
-        out = both.join(ends, [*keys, "row", "cell"]).withColumn("row_span", F.least("row_span", "row_room")).drop("row_room", "last_row", "filled")
+        out = both.repartition(tasks, *keys, "row", "cell").join(ends, [*keys, "row", "cell"]).withColumn("row_span", F.least("row_span", "row_room")).drop("row_room", "last_row", "filled")
         return stage(out, keep=True)
 
 
