@@ -98,20 +98,21 @@ def formula_levels(cells: DataFrame) -> DataFrame:
     """
     spark = cells.sparkSession
     node = ["of", "axis", "line", "size", "nth"]
+    big = lambda df: df.hint("merge")  # noqa: E731  (small on disk, not in memory: the driver would build it for a broadcast)
     with stages(spark) as stage:
         named = cells.withColumn("of", F.lower(F.col("sheet").cast("string")))
         formulas = named.where("formula is not null").select(*PLACE, "of", formula_words(F.col("formula")).alias("words"))
         formulas = stage(formulas.select(*PLACE, "of", references("words").alias("refs")))
         boxes = formulas.select(*PLACE, "of", F.explode("refs").alias("box")).withColumn("of", F.coalesce("box.sheet", "of"))
-        broken = boxes.join(named.select("of").distinct(), "of", "left_anti").select(*PLACE).distinct().withColumn("error_code", F.lit("#REF!"))
+        broken = boxes.join(big(named.select("of").distinct()), "of", "left_anti").select(*PLACE).distinct().withColumn("error_code", F.lit("#REF!"))
         needs = boxes.select(*PLACE, "of", F.explode(below(F.col("box"))).alias("n")).select(*PLACE, "of", "n.*")
         holds = formulas.select(*PLACE, "of", F.explode(above(F.col("row"), F.col("col"))).alias("n")).select(*PLACE, "of", "n.*")
-        needs = stage(needs.join(holds.select(*node).distinct(), node, "left_semi"))  # stretches without formulas never wait
-        holds = stage(holds.join(needs.select(*node).distinct(), node, "left_semi"))
+        needs = stage(needs.join(big(holds.select(*node).distinct()), node, "left_semi"))  # stretches without formulas never wait
+        holds = stage(holds.join(big(needs.select(*node).distinct()), node, "left_semi"))
         open_, done, level = formulas.select(*PLACE), None, 0
         while True:
-            waiting = needs.join(open_, list(PLACE), "left_semi").join(holds.join(open_, list(PLACE), "left_semi").select(*node).distinct(), node, "left_semi").select(*PLACE).distinct()
-            split = stage(open_.join(waiting.withColumn("waits", F.lit(True)), list(PLACE), "left"))
+            waiting = needs.join(big(open_), list(PLACE), "left_semi").join(big(holds.join(big(open_), list(PLACE), "left_semi").select(*node).distinct()), node, "left_semi").select(*PLACE).distinct()
+            split = stage(open_.join(big(waiting.withColumn("waits", F.lit(True))), list(PLACE), "left"))
             ready = split.where("waits is null").select(*PLACE, F.lit(level).alias("level"))
             if ready.isEmpty():
                 break
@@ -120,5 +121,5 @@ def formula_levels(cells: DataFrame) -> DataFrame:
             level += 1
         stuck = open_.select(*PLACE, F.lit(None).cast("int").alias("level"), F.lit("#CYCLE!").alias("cycle"))
         levels = stuck if done is None else done.withColumn("cycle", F.lit(None).cast("string")).unionByName(stuck)
-        out = levels.join(broken, list(PLACE), "left").select(*PLACE, "level", F.coalesce("cycle", "error_code").alias("error_code"))
+        out = levels.join(big(broken), list(PLACE), "left").select(*PLACE, "level", F.coalesce("cycle", "error_code").alias("error_code"))
         return stage(out, keep=True)

@@ -217,3 +217,12 @@ def test_tasks_grow_with_the_rows(spark):
 def test_pages_are_dealt_by_their_size(spark):
     pages = spark.range(200).selectExpr("id AS page_id", "repeat('<p>word</p>', 10000) AS html")
     assert documents.page_tasks(pages) == 6 and documents.page_tasks(pages.where("false")) == 4
+
+
+def test_formula_levels_broadcast_nothing(spark, monkeypatch):
+    plans = []
+    write = type(spark.range(0)).write
+    monkeypatch.setattr(type(spark.range(0)), "write", property(lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write.fget(df))[1]))
+    cells = spark.createDataFrame([("S", 1, 1, "1"), ("S", 2, 1, "A1"), ("S", 3, 1, "SUM(A1:A2)")], "sheet string, row long, col long, formula string")
+    assert sorted(r.level for r in dependencies.formula_levels(cells).collect()) == [0, 1, 2]
+    assert plans and not any("BroadcastExchange" in p for p in plans)
