@@ -1,7 +1,9 @@
 """The life of ingestion jobs as a keyed stream: commands in, transitions out.
 
-A job's state lies in Spark's state store under its id.  A command either moves
-the job on, which raises its revision by one, or is refused; both give a row.
+On a stream a job's state lies in Spark's state store under its id; on a table,
+which no batch follows, tasks take jobs one after the other and keep the state of
+one.  A command either moves the job on, which raises its revision by one, or is
+refused; both give a row.
 Leases are fenced: who renews or updates must show the token of the running
 lease before it ends, and a claim makes a new token, so a worker that was thought
 lost can't write any more.  Two timers stand in event time: the end of a lease
@@ -15,10 +17,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from sheafline.operators.rounds import dealt
+
 # States, phases, and the fields of a job that no update may name.
 FINAL = ("succeeded", "failed", "cancelled")
 FIRST_PHASE = "acquire-source"
@@ -29,6 +34,8 @@ PATCH = {"state": "state", "phase": "phase", "nextAttemptAt": "next_attempt_at",
 COMMANDS = "job_id string, seq long, at timestamp, kind string, key string, max_attempts int, worker string, token string, duration_ms long, patch string"
 OUT = "job_id string, seq long, at_ms long, kind string, outcome string, state string, phase string, revision long, attempt int, token string, lease_until long, next_attempt_at long, error_code string"
 STATE = "job string"
+#: Commands of a table that a task takes.
+PER_TASK = 100_000
 
 Job = dict[str, Any]
 
@@ -108,9 +115,6 @@ def frame(rows: list[dict[str, Any]]) -> pd.DataFrame:
 class Jobs(StatefulProcessor):
     """Applies a job's commands in the order of their time and number, and its timers."""
 
-    def __init__(self, timers: bool):
-        self.timers = timers
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.job = handle.getValueState("job", STATE)
@@ -124,8 +128,6 @@ class Jobs(StatefulProcessor):
 
     def _arm(self, job: Job, watermark: int) -> None:
         """Just the timer that the job waits for now."""
-        if not self.timers:
-            return
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
         wait = job.get("lease_until") if job["state"] == "running" else job.get("next_attempt_at") if job["state"] == "retry-scheduled" else None
@@ -141,7 +143,7 @@ class Jobs(StatefulProcessor):
                 out.append(row(key[0], command["seq"], command["at_ms"], command["kind"], outcome, job))
         if job is not None:
             self._store(job)
-            self._arm(job, timerValues.getCurrentWatermarkInMs() if self.timers else 0)
+            self._arm(job, timerValues.getCurrentWatermarkInMs())
         yield frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -158,6 +160,23 @@ class Jobs(StatefulProcessor):
             yield frame([row(key[0], None, at, "timer", "due", job)])
 
 
+def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The transitions of commands that come sorted by job, time and number; the last job goes on in the next batch."""
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in OUT.split(", "))])
+    job, own = None, None
+    for batch in batches:
+        out, names = [], batch.schema.names
+        for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            command = dict(zip(names, values, strict=True))
+            if command["job_id"] != own:
+                job, own = None, command["job_id"]
+            after, outcome = step(job, command)
+            job = after or job
+            out.append(row(own, command["seq"], command["at_ms"], command["kind"], outcome, job))
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def job_transitions(commands: DataFrame, delay: str = "1 minute") -> DataFrame:
     """One row for each command, and one when a lease ends or a retry comes due.
 
@@ -165,16 +184,17 @@ def job_transitions(commands: DataFrame, delay: str = "1 minute") -> DataFrame:
     timers go by the watermark, ``delay`` after the latest time seen, and commands
     later than that are dropped by Spark.  A job's commands of one batch are taken
     in the order of ``at`` and ``seq``; a job of no id has none.  On a table the
-    commands alone move jobs.  Needs the RocksDB state store on streams.
+    commands alone move jobs; they are dealt to tasks by job, sorted, and taken as
+    they come, so that a task holds a batch and one state whatever the size of a
+    job.  Needs the RocksDB state store on streams.
     """
     names = [c.split()[0] for c in COMMANDS.split(", ")]
     own = commands.select(*names).where("job_id is not null").withColumn("at_ms", F.unix_millis("at"))
-    streaming = commands.isStreaming
-    own = own.withWatermark("at", delay) if streaming else own
-    if not streaming:
-        commands.sparkSession.streams.active  # noqa: B018  (starts what state stores report to, which a table alone doesn't)
-    timed = {"outputMode": "Update", "timeMode": "EventTime" if streaming else "None"}
-    return own.groupBy("job_id").transformWithStateInPandas(statefulProcessor=Jobs(streaming), outputStructType=OUT, **timed)
+    if not commands.isStreaming:
+        ordered = dealt(own.drop("at"), own.count(), PER_TASK, "job_id").sortWithinPartitions("job_id", F.asc_nulls_last("at_ms"), F.asc_nulls_last("seq"))
+        return ordered.mapInArrow(in_order, OUT)
+    keyed = own.withWatermark("at", delay).groupBy("job_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=Jobs(), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
 def observed(transitions: DataFrame, name: str = "jobs") -> DataFrame:

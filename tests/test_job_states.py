@@ -91,3 +91,23 @@ def test_a_table_of_commands(spark):
     got = S.job_transitions(spark.createDataFrame(rows, S.COMMANDS).withColumn("more", F.lit(1))).collect()
     assert sorted((r.job_id, r.seq, r.outcome) for r in got) == [("a", 1, "created"), ("a", 2, "claimed"), ("b", 1, "unknown")]
     assert S.job_transitions(spark.createDataFrame([], S.COMMANDS)).count() == 0
+
+
+def test_a_table_takes_no_call_for_each_job(spark):
+    """Jobs go on from one Arrow batch to the next, by their time, and numbers keep their digits beside a missing one."""
+    big = 2**53 + 1
+    rows = [command(f"j{n}", seq, seq, kind, "w1:1" if kind == "renew" else None) for n in range(39) for seq, kind in enumerate(("create", "claim", "renew", "claim", "cancel", "cancel"))]
+    rows += [command("x", None, 3, "cancel"), command("x", big, 2, "create"), command("x", 4, 1, "renew", "t")]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        table = S.job_transitions(spark.createDataFrame(rows, S.COMMANDS).orderBy(F.rand(1)))
+        plan, got = table._jdf.queryExecution().executedPlan().toString(), table.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert "TransformWithState" not in plan
+    by = {}
+    for r in sorted(got, key=lambda r: (r.job_id, r.at_ms)):
+        by.setdefault(r.job_id, []).append(r)
+    assert [(r.seq, r.outcome) for r in by.pop("x")] == [(4, "unknown"), (big, "created"), (None, "cancelled")]
+    assert len(by) == 39 and all([r.outcome for r in own] == ["created", "claimed", "renewed", "refused", "cancelled", "existing"] and own[-1].revision == 3 for own in by.values())
