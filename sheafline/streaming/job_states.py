@@ -100,8 +100,16 @@ def step(job: Job | None, command: dict[str, Any]) -> tuple[Job | None, str]:
     return changed(job, at, **new), "updated"
 
 
+def whole(value: Any) -> int | None:
+    """A patch's time as a whole number, which text may give too; a fraction is an error."""
+    if isinstance(value, float) and not value.is_integer():
+        raise ValueError(f"not a whole number of milliseconds: {value}")
+    return None if value is None else int(value)
+
+
 def row(job_id: str, seq: int | None, at: int, kind: str, outcome: str, job: Job | None) -> dict[str, Any]:
     shown = {n: (job or {}).get(n) for n in ("state", "phase", "revision", "attempt", "token", "lease_until", "next_attempt_at", "error_code")}
+    shown["next_attempt_at"] = whole(shown["next_attempt_at"])
     return {"job_id": job_id, "seq": seq, "at_ms": at, "kind": kind, "outcome": outcome, **shown}
 
 

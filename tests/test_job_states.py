@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -111,3 +112,11 @@ def test_a_table_takes_no_call_for_each_job(spark):
         by.setdefault(r.job_id, []).append(r)
     assert [(r.seq, r.outcome) for r in by.pop("x")] == [(4, "unknown"), (big, "created"), (None, "cancelled")]
     assert len(by) == 39 and all([r.outcome for r in own] == ["created", "claimed", "renewed", "refused", "cancelled", "existing"] and own[-1].revision == 3 for own in by.values())
+
+
+def test_times_of_patches_are_whole(spark):
+    assert [S.whole(v) for v in (None, 5, 5.0, "12")] == [None, 5, 5, 12]
+    tried = lambda time: S.job_transitions(spark.createDataFrame([command("a", 1, 0, "create"), command("a", 2, 1, "claim"), command("a", 3, 2, "update", "w2:1", nextAttemptAt=time)], S.COMMANDS))
+    assert {r.seq: r.next_attempt_at for r in tried("12").collect()} == {1: None, 2: None, 3: 12}
+    with pytest.raises(Exception, match="1.5"):
+        tried(1.5).collect()
